@@ -1,6 +1,6 @@
 """Registered queries over the supplied tables, with the SQL that checks them."""
 
-from corepart.checks import graph_queries
+from corepart.checks import graph_queries, label_queries
 from corepart.checks.registry import ORACLES, QUERIES
 def flagship(spark, sf): ...
 __all__ = ["ORACLES", "QUERIES", "flagship"]
