@@ -109,7 +109,28 @@ def random_walks_by_part(spark, sf):
     return _steps(w, ["part", "origin", "walk"])
 
 
-@query("biased_walks")
+def sql_biased(p: float, q: float, tries: int) -> list[tuple[str, str]]:
+    """Steps 2 and 3 with numbered tries; `tries` is far beyond what any walker needs."""
+    top = max(1 / p, 1.0, 1 / q)
+    ctes = [*sql_walks("", "es", "v")[:5]]
+    for i in range(2, LENGTH):
+        u = sql_draw("w.origin", "w.walk", "r.try", salt=f"{SEED}:walk:{i}")
+        ok = sql_draw("t.origin", "t.walk", "t.try", salt=f"{SEED}:accept:{i}")
+        keep = ", ".join(f"t.s{j}" for j in range(i))
+        ctes += [
+            (f"t{i}", f"""SELECT w.*, r.try, x.dst AS cand FROM w{i - 1} w, (SELECT range AS try FROM range({tries})) r
+              LEFT JOIN od ON od.src = w.s{i - 1}
+              LEFT JOIN nb x ON x.src = w.s{i - 1} AND x.rk = floor({u} * od.deg)"""),
+            (f"w{i}", f"""SELECT t.origin, t.walk, {keep}, coalesce(t.cand, t.s{i - 1}) AS s{i} FROM t{i} t
+              LEFT JOIN es ON es.src = t.s{i - 2} AND es.dst = t.cand
+              WHERE t.cand IS NULL OR {ok} < (CASE WHEN t.cand = t.s{i - 2} THEN {1 / p}::DOUBLE
+                WHEN es.src IS NOT NULL THEN 1.0::DOUBLE ELSE {1 / q}::DOUBLE END) / {top}::DOUBLE
+              QUALIFY row_number() OVER (PARTITION BY t.origin, t.walk ORDER BY t.try) = 1"""),
+        ]
+    return ctes
+
+
+@query("biased_walks", with_(*NEXT, *sql_biased(0.5, 2.0, 200), select="SELECT origin, walk, s0, s1, s2, s3 FROM w3"))
 def biased_walks(spark, sf):
     w = walks.random_walks(g_next(spark, sf), LENGTH, PER_NODE, SEED, p=0.5, q=2.0)
     return _steps(w, ["origin", "walk"])

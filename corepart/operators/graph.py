@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corepart.functions import draw
 from corepart.operators.order import dense_index
-from corepart.operators.skew import Hubs, find_hubs, lookup
+from corepart.operators.skew import Hubs, find_hubs, lookup, resident
 from corepart.store import Store
 
 
@@ -178,6 +178,7 @@ def pagerank(
     pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     links = lookup(pairs, "src", out_degree.withColumnRenamed("src", "id"), hubs, ("dst",))
     links = store.save(links.select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "links")
+    links = resident(links, "src", hubs, ("dst",))
     ranks = store.save(vertices(edges).withColumn("rank", F.lit(1.0)), "ranks-0")
     for i in range(1, max_iter + 1):
         sent = lookup(links, "src", ranks, hubs, ("dst",))
@@ -191,6 +192,7 @@ def pagerank(
         ranks = nxt.select("id", "rank")
         if tol is not None and (nxt.agg(F.max("moved")).first()[0] or 0.0) <= tol:
             break
+    links.unpersist()
     store.drop("links")
     n, total = ranks.agg(F.count(F.lit(1)), F.sum("rank")).first()
     return ranks.withColumn("rank", F.col("rank") * F.lit(n / total)) if n else ranks
@@ -210,6 +212,7 @@ def components(v: DataFrame, edges: DataFrame, hubs: Hubs | None = None) -> Data
     store = Store(v.sparkSession, "components")
     adj = store.save(adjacency(drop_loops(edges)).distinct(), "adjacency")
     hubs = find_hubs(adj, "nbr") if hubs is None else hubs
+    adj = resident(adj, "nbr", hubs, ("id",))
     ids = v.select("id").distinct()
     state = store.save(ids.select("id", F.col("id").alias("parent"), F.col("id").alias("grand")), "state-0")
     step = 0
@@ -248,6 +251,7 @@ def components(v: DataFrame, edges: DataFrame, hubs: Hubs | None = None) -> Data
             store.drop(tag)
         state = nxt.select("id", "parent", "grand")
         if nxt.where("changed").isEmpty():
+            adj.unpersist()
             store.drop("adjacency")
             return state.select("id", F.col("parent").alias("component"))
 

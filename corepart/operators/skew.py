@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 
 @dataclass(frozen=True)
@@ -27,13 +28,13 @@ class Hubs:
         return F.broadcast(rows)
 
 
-def find_hubs(
-    df: DataFrame, *cols: str, min_rows: int = 100_000, top: int = 10_000, max_fan: int = 1024
-) -> Hubs:
+def find_hubs(df: DataFrame, *cols: str, min_rows: int = 1_000_000, top: int = 100_000) -> Hubs:
     """The at most `top` ids with more than `min_rows` rows, counted over `cols` together.
 
-    Ids outside the top hold at most 1/top of the rows each, so they need no slots.
-    The broadcast made from the result has at most `top` rows, whatever the input size.
+    A slot holds about `min_rows` rows. Ids outside the top hold at most 1/top of all rows each,
+    so they need no slots. The broadcast made from the result has at most `top` rows (some
+    megabytes), whatever the input size; all slots together add one attribute row per
+    `min_rows` rows.
     """
     cols = cols or ("src", "dst")
     counts = (
@@ -44,7 +45,25 @@ def find_hubs(
         .orderBy(F.desc("n"), "id")
         .limit(top)
     )
-    return Hubs(tuple((r.id, min(-(-r.n // min_rows), max_fan)) for r in counts.collect()))
+    return Hubs(tuple((r.id, -(-r.n // min_rows)) for r in counts.collect()))
+
+
+def _with_slots(rows: DataFrame, key: str, hubs: Hubs, spread_by: tuple[str, ...]) -> DataFrame:
+    slot = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col("_fan"), F.lit(1)).cast("bigint"))
+    return rows.join(hubs.table(rows, key), key, "left").withColumn("_slot", slot.cast("int")).drop("_fan")
+
+
+def resident(rows: DataFrame, key: str, hubs: Hubs | None, spread_by: tuple[str, ...]) -> DataFrame:
+    """Keep rows partitioned by `key` (and slot) for many `lookup`s on that key.
+
+    Rounds then shuffle only the small per-vertex side. `rows` should come from a written
+    table: a block lost with its executor is read and partitioned again. Call unpersist() after.
+    """
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    on = [key]
+    if hubs:
+        rows, on = _with_slots(rows, key, hubs, spread_by), [key, "_slot"]
+    return rows.repartition(slices, *on).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def lookup(
@@ -64,15 +83,9 @@ def lookup(
     on = [*by, key]
     if not hubs:
         return rows.join(right, on, how)
-    fan = F.coalesce(F.col("_fan"), F.lit(1))
-    left = (
-        rows.join(hubs.table(rows, key), key, "left")
-        .withColumn("_slot", F.pmod(F.xxhash64(*spread_by), fan.cast("bigint")).cast("int"))
-        .drop("_fan")
-    )
+    left = rows if "_slot" in rows.columns else _with_slots(rows, key, hubs, spread_by)
+    slots = F.sequence(F.lit(0), F.coalesce(F.col("_fan") - 1, F.lit(0)))
     right = (
-        right.join(hubs.table(right, key), key, "left")
-        .withColumn("_slot", F.explode(F.sequence(F.lit(0), fan - 1)))
-        .drop("_fan")
+        right.join(hubs.table(right, key), key, "left").withColumn("_slot", F.explode(slots)).drop("_fan")
     )
     return left.join(right, [*on, "_slot"], how).drop("_slot")

@@ -120,27 +120,35 @@ def random_walks(
 
 
 def _biased_step(index: WalkIndex, at: DataFrame, step: int, seed: int, p: float, q: float, keys) -> DataFrame:
+    """One step by rejection: several numbered tries per job, the first accepted one counts."""
     top = max(1.0 / p, 1.0, 1.0 / q)
     back, near, far = (1.0 / p) / top, 1.0 / top, (1.0 / q) / top
-    known = index.edges.select(*index.by, F.col("src").alias("prev"), F.col("dst").alias("cand"), F.lit(True).alias("adjacent"))
+    known = index.edges.select(
+        *index.by, F.col("src").alias("prev"), F.col("dst").alias("cand"), F.lit(True).alias("adjacent")
+    )
+    weight = (
+        F.when(F.col("cand") == F.col("prev"), back)
+        .when(F.coalesce("adjacent", F.lit(False)), near)
+        .otherwise(far)
+    )
+    accept = F.col("cand").isNull() | (draw(*keys, "try", salt=f"{seed}:accept:{step}") < weight)
     store, done = index.store, []
-    waiting, attempt = store.save(at, f"step-{step}-0"), 0
+    waiting, first, tries = store.save(at, f"step-{step}-0"), 0, 4
     while True:
-        picked = index.pick(waiting, draw(*keys, salt=f"{seed}:walk:{step}:{attempt}"))
-        picked = picked.withColumn("prev", F.element_at("path", -2))
+        numbered = waiting.withColumn("prev", F.element_at("path", -2)).withColumn(
+            "try", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1)))
+        )
+        picked = index.pick(numbered, draw(*keys, "try", salt=f"{seed}:walk:{step}"))
         judged = picked.join(known, [*index.by, "prev", "cand"], "left")
-        weight = (
-            F.when(F.col("cand") == F.col("prev"), back)
-            .when(F.coalesce("adjacent", F.lit(False)), near)
-            .otherwise(far)
+        best = F.min(F.when(accept, F.struct("try", F.coalesce("cand", "cur").alias("next"))))
+        tried = judged.groupBy(*keys).agg(
+            best.alias("best"), F.any_value("path").alias("path"), F.any_value("cur").alias("cur")
         )
-        accept = F.col("cand").isNull() | (draw(*keys, salt=f"{seed}:accept:{step}:{attempt}") < weight)
-        judged = judged.select(*keys, "path", "cur", "cand", accept.alias("accept"))
-        tried = store.save(judged, f"step-{step}-try-{attempt}")
-        grown = F.concat("path", F.array(F.coalesce("cand", "cur")))
-        done.append(tried.where("accept").select(*keys, grown.alias("path")))
-        waiting = tried.where("not accept").select(*keys, "path", "cur")
-        attempt += 1
+        tried = store.save(tried, f"step-{step}-from-{first}")
+        grown = F.concat("path", F.array("best.next"))
+        done.append(tried.where("best is not null").select(*keys, grown.alias("path")))
+        waiting = tried.where("best is null").select(*keys, "path", "cur")
+        first, tries = first + tries, 16
         if waiting.isEmpty():
             break
     out = done[0]

@@ -6,10 +6,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from corepart.operators import graph, labels
-from corepart.operators.skew import Hubs, find_hubs
+from corepart.operators.skew import Hubs, find_hubs, resident
 from corepart.store import Store
 
 
@@ -66,13 +65,10 @@ def _propagate(
     seed: int,
     hubs: Hubs,
 ) -> Partitioning:
-    spark = edges.sparkSession
-    store = Store(spark, "propagate")
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Merged once and kept partitioned by neighbour: rounds shuffle states and label counts,
-    # never the edges. A lost block is rebuilt from the stored table.
-    merged = store.save(graph.weighted_adjacency(edges), "adjacency")
-    adj = merged if hubs else merged.repartition(slices, "nbr").persist(StorageLevel.MEMORY_AND_DISK)
+    store = Store(edges.sparkSession, "propagate")
+    # merged once and kept partitioned by neighbour: rounds shuffle states and label counts,
+    # never the edges
+    adj = resident(store.save(graph.weighted_adjacency(edges), "adjacency"), "nbr", hubs, ("id",))
     state = store.save(state, "state-0")
     out, best = Partitioning(state), 0.0
     try:
@@ -126,8 +122,7 @@ def _propagate(
         store.drop("adjacency")
         store.drop(f"proposal-{len(out.report)}")
     finally:
-        if not hubs:
-            adj.unpersist()
+        adj.unpersist()
     return out
 
 
