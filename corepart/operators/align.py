@@ -7,12 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corepart.operators.graph import restrict
+from corepart.operators.sums import sum_in_two_steps
 
 
 def core_by_count(part_emb: DataFrame, parts: int) -> DataFrame:
@@ -59,14 +58,16 @@ def align_gram(pairs: DataFrame) -> DataFrame:
                 s[1] = s[1] + x.T @ x
                 s[2] = s[2] + x.T @ y
         for part, (n, gram, cross) in sums.items():
-            yield pd.DataFrame({"part": [part], "n": [n], "sums": [np.concatenate([gram.ravel(), cross.ravel()])]})
-
-    rows = pairs.select("part", "x", "y").mapInPandas(partial, "part int, n bigint, sums array<double>")
-    total = rows.groupBy("part").agg(
-        F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("s")
+            yield pd.DataFrame({"part": [part], "s": [np.concatenate([gram.ravel(), cross.ravel(), [n]])]})
+
+    rows = pairs.select("part", "x", "y").mapInPandas(partial, "part int, s array<double>")
+    half = ((F.size("s") - 1) / 2).cast("int")
+    return sum_in_two_steps(rows, "part", "s").select(
+        "part",
+        F.element_at("s", -1).cast("bigint").alias("n"),
+        F.slice("s", F.lit(1), half).alias("gram"),
+        F.slice("s", half + 1, half).alias("cross"),
     )
-    half = (F.size("s") / 2).cast("int")
-    return total.select("part", "n", F.slice("s", F.lit(1), half).alias("gram"), F.slice("s", half + 1, half).alias("cross"))
 
 
 def fit_alignment(part_emb: DataFrame, parts: int, anchor: int, ridge: float = 0.0) -> dict[int, np.ndarray]:

@@ -10,15 +10,15 @@ import time
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from corepart.functions import dot, fast_normal
 from corepart.operators import align, sage, walks
 from corepart.operators.graph import edge_sample
 from corepart.operators.skew import Hubs, find_hubs, lookup
+from corepart.operators.sums import vector_sum
 from corepart.sources import format_embeddings
 from corepart.store import Store
 
@@ -113,7 +113,7 @@ def skip_gram(
                 F.struct(F.lit(target).alias("role"), F.col("dst").alias("id"), F.transform("a", lambda e: e * F.col("g")).alias("d")),
             )
             grads = x.select("part", F.inline(both)).groupBy("part", "role", "id").agg(
-                vector_to_array(Summarizer.sum(array_to_vector("d"))).alias("d")
+                vector_sum("d").alias("d")
             )
             # mean over the pairs of the part's batch; one number per part
             n = [(p, 1.0 / k) for (p, s), k in sorted(sizes.items()) if s == b]
@@ -158,8 +158,10 @@ def train_sage(
 ) -> tuple[dict[int, list], list[dict]]:
     """Weights of both layers per part, and one loss record per step.
 
-    Neighbours are sampled from `edges`; `pairs(part, pair, src, dst)` are the positives. A row
-    of training data is one pair with the sampled blocks of its source, target and negative.
+    Neighbours are sampled from `edges`, once per epoch; `pairs(part, pair, src, dst)` are the
+    positives. A step computes the outputs of the vertices in its batch, joins them with the
+    pairs, and sends the summed output gradients back to the vertices' blocks. The driver gets
+    one gradient per part and step, the size of the weights.
     """
     spark = pairs.sparkSession
     work = Store(spark, "sage")
@@ -180,30 +182,35 @@ def train_sage(
             params[r.part], m[r.part], v[r.part] = map(np.array, (r.params, r.m, r.v))
             step[r.part] = r.step
     batches = batch_count(pairs, batch_size)
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64("part", "pair", F.lit(seed)), F.lit(batches).cast("bigint")).cast("int")
     for epoch in range(first + 1, epochs):
         blocks = work.save(sage.vertex_blocks(feats, edges, fanouts, seed, epoch, hubs), f"blocks-{epoch}")
+        # one wide row per vertex, kept in place; steps move only output-sized vectors
+        blocks = blocks.repartition(slices, "part", "id").persist(StorageLevel.MEMORY_AND_DISK)
         neg = walks.negative_pairs(pairs, edges, 1, seed + epoch, key=("pair",), by=("part",))
         rows = pairs.select("part", "pair", "src", "dst").join(
             neg.select("part", "pair", F.col("neg_dst").alias("neg")), ["part", "pair"]
         )
-        for role, others in (("src", ("dst", "neg")), ("dst", ("src", "neg")), ("neg", ("src", "dst"))):
-            side = blocks.select("part", "id", *[F.col(c).alias(f"{role}_{c}") for c in ("own", "near", "k")])
-            rows = lookup(rows, role, side, hubs, ("pair", *others), ("part",))
-        # read back from files, so that a retried task sees the same batches
-        rows = rows.withColumn("step", bucket)
-        rows = work.save(rows, f"rows-{epoch}", partition_by="step")
+        rows = work.save(rows.withColumn("step", bucket), f"rows-{epoch}", partition_by="step")
         for b in range(batches):
             batch = rows.where(F.col("step") == b)
-            salt = seed * 1_000_003 + epoch * 10_007 + b
-            for r in sage.batch_gradient(batch, params, hidden, fanouts[1], dropout, salt).collect():
-                p, grad = r.part, np.array(r.grad) / (2 * r.n)
+            now = sage.StepSettings(hidden, fanouts[1], dropout, seed * 1_000_003 + epoch * 10_007 + b)
+            ids = batch.select("part", F.explode(F.array("src", "dst", "neg")).alias("id")).distinct()
+            used = blocks.join(ids, ["part", "id"], "left_semi")
+            out = work.save(sage.block_outputs(used, params, now), f"out-{epoch}-{b}")
+            vertex_grads = sage.pair_gradients(batch, out, hubs)
+            for r in sage.weight_gradients(blocks, vertex_grads, params, now).collect():
+                p, (loss, n) = r.part, r.grad[-2:]
+                grad = np.array(r.grad[:-2]) / (2 * n)
                 step[p] += 1
                 m[p] = BETA1 * m[p] + (1 - BETA1) * grad
                 v[p] = BETA2 * v[p] + (1 - BETA2) * grad * grad
                 m_hat, v_hat = m[p] / (1 - BETA1 ** step[p]), v[p] / (1 - BETA2 ** step[p])
                 params[p] = params[p] - lr * m_hat / (np.sqrt(v_hat) + EPS)
-                history.append({"epoch": epoch, "batch": b, "part": p, "loss": r.loss / (2 * r.n)})
+                history.append({"epoch": epoch, "batch": b, "part": p, "loss": loss / (2 * n)})
+            work.drop(f"out-{epoch}-{b}")
+        blocks.unpersist()
         rows_out = [(p, step[p], params[p].tolist(), m[p].tolist(), v[p].tolist()) for p in parts]
         schema = "part int, step int, params array<double>, m array<double>, v array<double>"
         state.save(spark.createDataFrame(rows_out, schema), f"epoch={epoch}")

@@ -1,6 +1,7 @@
 """Gradients, training runs, resuming, alignment."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,21 +10,62 @@ from corepart.plans import embed
 from corepart.store import Store
 
 
+def blocks_of(rng, n, f, d):
+    return rng.normal(size=(n, 2 * d)), rng.normal(size=(n, f, 2 * d)), rng.integers(0, f + 1, n)
+
+
 def test_gradient_agrees_with_finite_differences():
     rng = np.random.default_rng(1)
     d, hidden, n, f = 3, 4, 5, 2
-    params = sage.init_params(d, hidden, 0) + rng.normal(0, 0.1, sage.init_params(d, hidden, 0).size)
-    own, near = rng.normal(size=(3, n, 2 * d)), rng.normal(size=(3, n, f, 2 * d))
-    mask = (rng.random((3, n, f)) < 0.7).astype(float)
-    drop = (rng.random((3, n, hidden)) < 0.5) * 2.0, (rng.random((3, n, f, hidden)) < 0.5) * 2.0
-    loss = lambda p: sage.loss_and_gradient(p, own, near, mask, hidden, drop)[0]
-    grad = sage.loss_and_gradient(params, own, near, mask, hidden, drop)[1]
-    for i in range(0, params.size, 3):
+    params = sage.init_params(d, hidden, 0)
+    params = params + rng.normal(0, 0.1, params.size)
+    own, near, k = blocks_of(rng, n, f, d)
+    drop = sage.dropout_mask(np.arange(n), 1 + f, hidden, 0.5, 3)
+    weight = rng.normal(size=(n, hidden))
+    loss = lambda p: (sage.forward(p, own, near, k, drop)[0] * weight).sum()
+    grad = sage.backward(sage.forward(params, own, near, k, drop)[1], weight, drop)
+    for i in range(params.size):
         step = np.zeros_like(params)
         step[i] = 1e-6
         assert grad[i] == pytest.approx((loss(params + step) - loss(params - step)) / 2e-6, abs=1e-5)
 
 
+def test_a_distributed_step_agrees_with_finite_differences(spark):
+    rng = np.random.default_rng(2)
+    d, hidden, f, n = 2, 3, 2, 6
+    own, near, k = blocks_of(rng, n, f, d)
+    params = sage.init_params(d, hidden, 4)
+    step = sage.StepSettings(hidden, f, 0.3, 11)
+    rows = [(1, i, own[i].tolist(), near[i].ravel().tolist(), int(k[i])) for i in range(n)]
+    blocks = spark.createDataFrame(
+        rows, "part int, id bigint, own array<double>, near array<double>, k int"
+    ).repartition(3)
+    links = [(0, 1, 2), (1, 2, 3), (0, 5, 0), (4, 4, 1)]
+    pairs = spark.createDataFrame(
+        [(1, str(i), *x) for i, x in enumerate(links)], "part int, pair string, src bigint, dst bigint, neg bigint"
+    )
+
+    def loss(p):
+        out = sage.forward(p, own, near, k, step.mask(pd.Series(range(n))))[0]
+        return sum(np.logaddexp(0, -out[s] @ out[t]) + np.logaddexp(0, out[s] @ out[g]) for s, t, g in links)
+
+    outputs = sage.block_outputs(blocks, {1: params}, step)
+    got = sage.weight_gradients(blocks, sage.pair_gradients(pairs, outputs), {1: params}, step).first().grad
+    assert got[-2] == pytest.approx(loss(params)) and got[-1] == len(links)
+    for i in range(0, params.size, 2):
+        h = np.zeros_like(params)
+        h[i] = 1e-6
+        assert got[i] == pytest.approx((loss(params + h) - loss(params - h)) / 2e-6, abs=1e-5)
+
+
+def test_dropout_depends_on_the_vertex_only():
+    ids = np.arange(1000)
+    a = sage.dropout_mask(ids, 3, 8, 0.25, 5)
+    b = sage.dropout_mask(ids[::-1].copy(), 3, 8, 0.25, 5)
+    assert (a == b[::-1]).all() and (a != sage.dropout_mask(ids, 3, 8, 0.25, 6)).any()
+    assert a.mean() == pytest.approx(1.0, abs=0.02) and set(np.unique(a)) == {0.0, 1 / 0.75}
+
+
 @pytest.fixture(scope="module")
 def clusters(spark):
     """Two parts; in each, two groups of vertices with edges inside the groups only."""
