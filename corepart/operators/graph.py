@@ -63,8 +63,17 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def weighted_adjacency(edges: DataFrame) -> DataFrame:
-    """`adjacency` with parallel edges merged: w = how often the pair occurs."""
-    return adjacency(edges).groupBy("id", "nbr").agg(F.count(F.lit(1)).alias("w"))
+    """`adjacency` with parallel edges merged: w = how often the pair occurs.
+
+    Edges are merged before they are doubled, so half as many rows are shuffled.
+    """
+    pairs = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    w = pairs.agg(F.count(F.lit(1)).alias("w"))
+    ends = F.array(
+        F.struct(F.col("a").alias("id"), F.col("b").alias("nbr"), "w"),
+        F.struct(F.col("b").alias("id"), F.col("a").alias("nbr"), "w"),
+    )
+    return w.select(F.inline(ends))
 
 
 def dense_ids(v: DataFrame) -> DataFrame:
@@ -210,7 +219,7 @@ def components(v: DataFrame, edges: DataFrame, hubs: Hubs | None = None) -> Data
     Vertices of `v` without an edge form their own component.
     """
     store = Store(v.sparkSession, "components")
-    adj = store.save(adjacency(drop_loops(edges)).distinct(), "adjacency")
+    adj = store.save(adjacency(undirected(edges)), "adjacency")
     hubs = find_hubs(adj, "nbr") if hubs is None else hubs
     adj = resident(adj, "nbr", hubs, ("id",))
     ids = v.select("id").distinct()

@@ -37,15 +37,15 @@ def find_hubs(df: DataFrame, *cols: str, min_rows: int = 1_000_000, top: int = 1
     `min_rows` rows.
     """
     cols = cols or ("src", "dst")
-    counts = (
-        df.select(F.explode(F.array(*cols)).alias("id"))
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > min_rows)
-        .orderBy(F.desc("n"), "id")
-        .limit(top)
-    )
-    return Hubs(tuple((r.id, -(-r.n // min_rows)) for r in counts.collect()))
+    ids = df.select(F.explode(F.array(*cols)).alias("id"))
+    return hubs_of(ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "n", min_rows, top)
+
+
+def hubs_of(counts: DataFrame, column: str, min_rows: int = 1_000_000, top: int = 100_000) -> Hubs:
+    """The same from a table that already has the row count of every id."""
+    n = F.col(column).alias("n")
+    biggest = counts.select("id", n).where(F.col("n") > min_rows).orderBy(F.desc("n"), "id").limit(top)
+    return Hubs(tuple((r.id, -(-r.n // min_rows)) for r in biggest.collect()))
 
 
 def _with_slots(rows: DataFrame, key: str, hubs: Hubs, spread_by: tuple[str, ...]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corepart.operators import graph, labels
-from corepart.operators.skew import Hubs, find_hubs, resident
+from corepart.operators.skew import Hubs, find_hubs, hubs_of, resident
 from corepart.store import Store
 
 
@@ -32,21 +32,30 @@ class Partitioning:
         )
 
 
-def score_vertices(edges: DataFrame, strategy: str, seed: int, hubs: Hubs | None = None) -> DataFrame:
+def score_vertices(
+    edges: DataFrame, strategy: str, seed: int, hubs: Hubs | None = None, deg: DataFrame | None = None
+) -> DataFrame:
     """(id, score) by "pagerank" or "degree"; any other name gives random scores."""
     if strategy == "pagerank":
         return graph.pagerank(edges, hubs=hubs).withColumnRenamed("rank", "score")
+    deg = graph.degrees(edges) if deg is None else deg
     if strategy == "degree":
-        return graph.degrees(edges).select("id", F.col("degree").cast("double").alias("score"))
-    return graph.random_score(graph.vertices(edges), seed)
+        return deg.select("id", F.col("degree").cast("double").alias("score"))
+    return graph.random_score(deg, seed)
 
 
 def seed_core(
-    edges: DataFrame, parts: int, core_rate: float, strategy: str, seed: int, hubs: Hubs | None = None
+    edges: DataFrame,
+    parts: int,
+    core_rate: float,
+    strategy: str,
+    seed: int,
+    hubs: Hubs | None = None,
+    deg: DataFrame | None = None,
 ) -> tuple[DataFrame, float, int]:
     """Seed state, core threshold and vertex count."""
     store = Store(edges.sparkSession, "seed-core")
-    scores = store.save(score_vertices(edges, strategy, seed, hubs), "scores")
+    scores = store.save(score_vertices(edges, strategy, seed, hubs, deg), "scores")
     n = scores.count()
     threshold = labels.core_threshold(scores, labels.core_size(n, core_rate))
     return labels.seed_labels(scores, threshold, parts, seed), threshold, n
@@ -144,8 +153,10 @@ def partition_with_core(
 
     `max_rounds` counts real rounds; a loop whose counter moves twice per round runs half as many.
     """
-    hubs = find_hubs(edges) if hubs is None else hubs
-    state, threshold, n = seed_core(edges, parts, core_rate, strategy, seed, hubs)
+    # one pass over the edges gives the hubs, the vertices and the degree scores
+    deg = Store(edges.sparkSession, "degrees").save(graph.degrees(edges), "degrees")
+    hubs = hubs_of(deg, "degree") if hubs is None else hubs
+    state, threshold, n = seed_core(edges, parts, core_rate, strategy, seed, hubs, deg)
     caps = labels.capacity(n, parts, slack, core_rate)
     return _propagate(
         edges, state, caps, lam_edge, affinity, threshold, lam_rank, tol, max_rounds, seed, hubs
@@ -164,9 +175,8 @@ def partition_plain(
     hubs: Hubs | None = None,
 ) -> Partitioning:
     """Label propagation without a core: labels 0..P-1. Label 0 is still always a candidate."""
-    hubs = find_hubs(edges) if hubs is None else hubs
-    store = Store(edges.sparkSession, "plain")
-    v = store.save(graph.vertices(edges), "vertices")
+    v = Store(edges.sparkSession, "degrees").save(graph.degrees(edges), "degrees")
+    hubs = hubs_of(v, "degree") if hubs is None else hubs
     caps = labels.capacity(v.count(), parts, slack)
     state = labels.seed_plain(v, parts, seed).withColumn("score", F.lit(None).cast("double"))
     return _propagate(edges, state, caps, lam_edge, affinity, None, 0.0, tol, max_rounds, seed, hubs)
