@@ -6,10 +6,6 @@ from pyspark.sql import functions as F
 
 from corepart import sources
 from corepart.checks.fixtures import *  # noqa: F403
-from corepart.checks.fixtures import (
-    ADJ, ASSIGN, CORE_RATE, DEG, GAP, LABELS, PARTS, ROUTED, SEED, SQL_CHAT, SQL_GEO, SQL_NEXT,
-    SQL_PART_EMB, SQL_RAW, SQL_TRADE, STATE, V, edges_, sql_draw, sql_round, with_,
-)
 from corepart.checks.registry import query, sql_values, values
 from corepart.functions import rounded
 from corepart.operators import graph, order, route

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corepart.checks.fixtures import *  # noqa: F403
-from corepart.checks.fixtures import (
-    ADJ, CORE_RATE, DEG, LABELS, LAM_EDGE, LAM_RANK, PARTS, SEED, SLACK, SQL_GEO, SQL_NEXT, SQL_TRADE,
-    STATE, V, edges_, sql_draw, sql_draw_int, sql_round, with_,
-)
 from corepart.checks.graph_queries import recursive, sql_components, sql_pagerank
 from corepart.checks.registry import query
 from corepart.functions import rounded

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from corepart.checks.fixtures import *  # noqa: F403
-from corepart.checks.fixtures import (
-    ASSIGN, DEG, GAP, LABELS, PARTS, ROUTED, SEED, SQL_FEAT, SQL_GEO, SQL_NEXT, SQL_TRADE, V, edges_,
-    sql_draw_int, sql_round, with_,
-)
 from corepart.checks.graph_queries import recursive, sql_components
 from corepart.checks.registry import query, sql_values, values
 from corepart.functions import draw_int, rounded
