@@ -22,6 +22,7 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -56,8 +57,10 @@ class DedupState:
         self.store = store
         # Not the caller's session: settings of the state stay with this stream.
         self.session = store.spark.newSession()
+        partitions = store.spark.conf.get("spark.sql.shuffle.partitions")
         for key, value in STATE_SETTINGS.items():
             self.session.conf.set(key, value)
+        self.session.conf.set("spark.sql.shuffle.partitions", partitions)
 
     def absorb(self, arrivals: DataFrame) -> None:
         """Add rows (digest, doc_id, file, row); a repeated run after a failure resumes its batch."""
