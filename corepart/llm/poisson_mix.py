@@ -41,11 +41,9 @@ def repetition_rates(sizes: DataFrame, weights: DataFrame, epochs: float = 1.0)
     usable = F.when((F.col("weight") > 0) & (F.col("size") > 0), F.col("weight")).otherwise(0.0)
     known = weights.groupBy(F.col("source").alias("w_source")).agg(F.sum("weight").alias("weight"))
     joined = sizes.join(known, F.col("source").eqNullSafe(F.col("w_source")), "left").withColumn("weight", usable)
-    sums = joined.agg(F.sum("weight").alias("all_weight"), F.sum("size").alias("all_size"))
-    rate = F.lit(epochs) * F.col("all_size") * F.col("weight") / F.col("all_weight") / F.col("size")
-    return joined.crossJoin(F.broadcast(sums)).select(  # one row
-        "source", F.when(F.col("weight") > 0, rate).otherwise(0.0).alias("rate")
-    )
+    sums = joined.agg(F.sum("weight").alias("weight"), F.sum("size").alias("size")).first()
+    rate = F.lit(epochs) * F.lit(sums["size"]) * F.col("weight") / F.lit(sums["weight"]) / F.col("size")
+    return joined.select("source", F.when(F.col("weight") > 0, rate).otherwise(0.0).alias("rate"))
 
 
 def _distribution(mean: Column) -> Column:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from corepart.llm import (  # noqa: F401
+    centroid_language,
     exact_dedup,
+    jaccard_join,
+    leak_match,
     poisson_mix,
     url_rules,
 )
