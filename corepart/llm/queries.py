@@ -9,6 +9,7 @@ from corepart.llm import (  # noqa: F401
     leak_match,
     poisson_mix,
     url_rules,
+    warc_chunks,
 )
 from corepart.llm.registry import ORACLES, QUERIES
 
