@@ -22,7 +22,7 @@ from corepart.llm.registry import query, table
 
 PAIRS, TRIPLES = 1024, 4096
 DIM = PAIRS + TRIPLES
-SAMPLE = 1500  # training texts of each language that the centroids are fitted on
+SAMPLE = 1000  # training texts of each language for the centroids; up to 1000, Spark cuts each task's rows before the shuffle
 CENTROIDS = 4
 ROUNDS = 12
 SLACK = 1.05  # times the greatest training distance, for rejection
@@ -161,7 +161,6 @@ def learn_languages(labelled: DataFrame, sample: int = SAMPLE, centroids: int =
         far = float((1 - (rows @ centres.T).max(1)).max())
         return pd.DataFrame({"lang": group["lang"].iloc[0], "vec": list(centres.astype(float)), "radius": far})
 
-    # Each task cuts its own rows to the sample size before the shuffle.
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     drawn = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).drop("k")
     found = sorted(drawn.groupBy("lang").applyInPandas(fit, "lang string, vec array<double>, radius double").collect())

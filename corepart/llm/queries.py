@@ -8,6 +8,8 @@ from corepart.llm import (  # noqa: F401
     jaccard_join,
     leak_match,
     poisson_mix,
+    token_rollup,
+    toxicity_chain,
     url_rules,
     warc_chunks,
 )
