@@ -8,6 +8,7 @@ from corepart.llm import (  # noqa: F401
     jaccard_join,
     leak_match,
     poisson_mix,
+    radix_repeats,
     token_rollup,
     toxicity_chain,
     url_rules,
