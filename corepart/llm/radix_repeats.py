@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from corepart.llm.jaccard_join import _joined
 from corepart.llm.registry import query, table
+from corepart.llm.saving import save_lean
 from corepart.llm.shingles import BASE, BYTE, mix
 from corepart.store import Store
 
@@ -318,17 +319,6 @@ def merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:] - 1, len(spans) - 1)]], 1)
 
 
-def _save(store: Store, df: DataFrame, tag: str) -> DataFrame:
-    """Write and read back; the shuffle files of the write go at its end, not when the driver collects garbage."""
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = df.sparkSession.conf.get(setting, "false")
-    df.sparkSession.conf.set(setting, "true")
-    try:
-        return store.save(df, tag)
-    finally:
-        df.sparkSession.conf.set(setting, before)
-
-
 def repeated_spans(docs: DataFrame, store: Store, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(id, h, lo, hi): byte spans of rows (id, h, data) covered by strings that start in a smaller id.
 
@@ -340,7 +330,7 @@ def repeated_spans(docs: DataFrame, store: Store, length: int = LENGTH, seed: in
     buckets = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = docs.mapInArrow(_dealer(buckets, length, seed), "bucket int, ids binary, runs binary")
     judged = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_judged, VERDICTS)
-    verdicts = _save(store, judged, "verdicts")
+    verdicts = save_lean(store, judged, "verdicts")
     mixed = (
         verdicts.where("NOT whole")
         .groupBy("id", "h")
@@ -350,7 +340,7 @@ def repeated_spans(docs: DataFrame, store: Store, length: int = LENGTH, seed: in
     own = (F.col("i") == F.col("id")) & (F.col("g") == F.col("h"))
     cut = mixed.join(docs.dropDuplicates(["id", "h"]) if _repeated(docs) else docs, own).select("id", "h", "runs", "data")
     runs = cut.mapInArrow(_cutter(length, seed), CUT).repartition("key").sortWithinPartitions("key", "id")
-    compared = _save(store, runs.mapInArrow(_compared(length), "id bigint, h bigint, lo bigint, hi bigint"), "compared")
+    compared = save_lean(store, runs.mapInArrow(_compared(length), "id bigint, h bigint, lo bigint, hi bigint"), "compared")
     whole = verdicts.where("whole").select("id", "h", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (length - 1)).alias("hi"))
     return whole.unionByName(compared)
 

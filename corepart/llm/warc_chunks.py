@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corepart.llm.registry import query, table
+from corepart.llm.saving import save_lean
 from corepart.store import Store
 
 CHUNK = 1 << 16  # bytes of payload in one row
@@ -306,10 +307,10 @@ def archive_pages(pages: DataFrame, store: Store, payload: str = "html") -> tupl
 
     An empty table gives an empty manifest. Repeated rows are records of their own.
     """
-    chunks = store.save(chunk_table(pages, payload), "chunks")
-    types = store.save(record_types(chunks), "types")
+    chunks = save_lean(store, chunk_table(pages, payload), "chunks")
+    types = save_lean(store, record_types(chunks), "types")
     folder = store.path("archives")
-    manifest = store.save(write_archives(chunks, types, folder), "manifest")
+    manifest = save_lean(store, write_archives(chunks, types, folder), "manifest")
     store.drop("chunks")
     store.drop("types")
     return manifest, folder
