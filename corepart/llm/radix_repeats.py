@@ -34,7 +34,9 @@ from corepart.store import Store
 LENGTH = 50
 SEED = 24
 PIECE = 1 << 19  # bytes hashed at once; under 2 ** 20
-RUNS = 1_000_000  # runs in one bucket of digit 0, about 20 MB, and five times that while it is sorted
+RUNS = 500_000  # runs in one bucket of digit 0, about 12 MB, and eight times that while it is sorted
+BLOCKS = 16  # rows of blocks, and ROWS of texts, that a task gets at once
+ROWS = 1000
 SORTED = 20_000  # runs spread to suffixes at once
 LAST = np.int64(2**63 - 1)  # stands for a null id, which is after all others
 LOW = np.uint64((1 << 20) - 1)
@@ -162,8 +164,10 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One run of each kind stands for all; a later document's copies of it are whole repeats.
         compare = several & mixed & (ids == least_run)
         use = whole | compare
-        for lo in range(0, int(use.sum()), 100_000):
-            pick = np.flatnonzero(use)[lo : lo + 100_000]
+        del new_key, new_run, group, least, several, mixed, least_run, run
+        picked = np.flatnonzero(use)
+        for lo in range(0, len(picked), 100_000):
+            pick = picked[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[pick]),
@@ -329,8 +333,8 @@ def repeated_spans(docs: DataFrame, store: Store, length: int = LENGTH, seed: in
     # One bucket for each task at least: digit 0 is evenly spread, so a part of its range is.
     buckets = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = docs.mapInArrow(_dealer(buckets, length, seed), "bucket int, ids binary, runs binary")
-    judged = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_judged, VERDICTS)
-    verdicts = save_lean(store, judged, "verdicts")
+    judged = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judged, VERDICTS)
+    verdicts = save_lean(store, judged, "verdicts", BLOCKS)
     mixed = (
         verdicts.where("NOT whole")
         .groupBy("id", "h")
@@ -340,7 +344,7 @@ def repeated_spans(docs: DataFrame, store: Store, length: int = LENGTH, seed: in
     own = (F.col("i") == F.col("id")) & (F.col("g") == F.col("h"))
     cut = mixed.join(docs.dropDuplicates(["id", "h"]) if _repeated(docs) else docs, own).select("id", "h", "runs", "data")
     runs = cut.mapInArrow(_cutter(length, seed), CUT).repartition("key").sortWithinPartitions("key", "id")
-    compared = save_lean(store, runs.mapInArrow(_compared(length), "id bigint, h bigint, lo bigint, hi bigint"), "compared")
+    compared = save_lean(store, runs.mapInArrow(_compared(length), "id bigint, h bigint, lo bigint, hi bigint"), "compared", ROWS)
     whole = verdicts.where("whole").select("id", "h", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (length - 1)).alias("hi"))
     return whole.unionByName(compared)
 

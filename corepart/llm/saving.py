@@ -7,18 +7,23 @@ from pyspark.sql import DataFrame
 from corepart.store import Store
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def save_lean(store: Store, df: DataFrame, tag: str) -> DataFrame:
+def save_lean(store: Store, df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
     """Write with zstd and read back.
 
     The write's shuffle files go at its end instead of when the driver next collects garbage.
+    `batch_rows` bounds the rows of an Arrow batch, for tables whose rows are large.
     """
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    before = {key: conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        conf.set(key, value)
     try:
         df.write.mode("overwrite").option("compression", "zstd").parquet(store.path(tag))
     finally:
-        conf.set(CLEANUP, before)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
     return store.read(tag, df.schema)
