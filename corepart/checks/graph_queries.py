@@ -99,13 +99,22 @@ def part_files(spark, sf):
     "part_manifest",
     with_(
         edges_(SQL_TRADE), V, LABELS, ASSIGN, ROUTED,
-        select="SELECT DISTINCT part, 'parts/part_' || (part - 1) || '.txt' AS path, 3 AS epoch FROM routed",
+        select=f"SELECT part, 'file=' || (part - 1) AS folder, 3 AS epoch, count(*) AS n_edges FROM routed"
+        f" WHERE part <= {PARTS} GROUP BY part",
     ),
 )
 def part_manifest(spark, sf):
+    """Every path of the manifest is opened and its lines are counted."""
     e = g_trade(spark, sf)
-    routed = route.route_edges(e, assignment0(e), PARTS, find_hubs(e))
-    return sources.part_manifest(routed, "parts/part_", epoch=3)
+    path = Store(spark, "part-manifest").path("parts")
+    sources.write_parts(route.route_edges(e, assignment0(e), PARTS, find_hubs(e)), path)
+    rows = sources.part_manifest(spark, PARTS, path, epoch=3).collect()  # PARTS rows
+    out = None
+    for r in rows:
+        lines = spark.read.text(r.path).agg(F.count(F.lit(1)).alias("n_edges"))
+        one = lines.select(F.lit(r.part).alias("part"), F.lit(r.path.rsplit("/", 1)[1]).alias("folder"), F.lit(r.epoch).alias("epoch"), "n_edges")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(
@@ -166,11 +175,13 @@ def dense_ids(spark, sf):
 
 @query(
     "running_total",
-    "SELECT o_orderkey, sum(o_custkey) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM orders",
+    "SELECT o_orderkey, sum(CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * o_custkey)"
+    " OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM orders",
 )
 def running_total(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return order.running_total(rows, ["o_orderkey"], "o_custkey").select("o_orderkey", "upto")
+    signed = F.when(F.col("o_orderkey") % 2 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    rows = table(spark, sf, "orders").select("o_orderkey", signed.alias("v"))
+    return order.running_total(rows, ["o_orderkey"], "v").select("o_orderkey", "upto")
 
 
 @query(
@@ -358,6 +369,27 @@ def pagerank_10(spark, sf):
     return graph.pagerank(e, tol=None, max_iter=10).select("id", rounded("rank").alias("rank"))
 
 
+@query(
+    "pagerank_tol",
+    """WITH RECURSIVE it(i, leaf, a, b, moved) AS (
+      SELECT 0, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1e9::DOUBLE
+      UNION ALL
+      SELECT i + 1, 0.15::DOUBLE, na, nb, greatest(abs(na - a), abs(nb - b), abs(0.15::DOUBLE - leaf)) FROM (
+        SELECT *, 0.15::DOUBLE + 0.85::DOUBLE * (leaf * (SELECT count(DISTINCT o_custkey) FROM orders) + b) AS na,
+          0.15::DOUBLE + 0.85::DOUBLE * a AS nb FROM it WHERE moved > 1.0)),
+    last AS (SELECT * FROM it ORDER BY i DESC LIMIT 1),
+    ids AS (SELECT DISTINCT o_custkey + 10 AS id, 0 AS kind FROM orders UNION ALL VALUES (1, 1), (2, 2)),
+    r AS (SELECT id::BIGINT AS id, CASE kind WHEN 0 THEN leaf WHEN 1 THEN a ELSE b END AS rank FROM ids, last)
+    SELECT id, round(rank * (SELECT count(*) / sum(rank) FROM r), 6) + 0.0 AS rank FROM r""",
+)
+def pagerank_tol(spark, sf):
+    """Customers point into a cycle of two, where ranks settle slowly: rounds are not limited."""
+    leaf = table(spark, sf, "orders").select((F.col("o_custkey") + 10).cast("bigint").alias("src")).distinct()
+    cycle = spark.createDataFrame([(1, 2), (2, 1)], "src bigint, dst bigint")
+    e = leaf.withColumn("dst", F.lit(1).cast("bigint")).unionByName(cycle)
+    return graph.pagerank(e, tol=1.0).select("id", rounded("rank").alias("rank"))
+
+
 @query(
     "random_score",
     with_(edges_(SQL_TRADE), V, select=f"SELECT id, {sql_draw('id', salt=f'{SEED}:score')} AS score FROM v"),

@@ -23,12 +23,12 @@ def route_edges(spark, sf):
     "part_core_edges",
     with_(
         ("all_e", SQL_NEXT),
-        ("e", "SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM all_e WHERE src <> dst"),
+        ("e", "SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM all_e"),
         V, LABELS, ASSIGN, ROUTED, select="SELECT part, src, dst FROM routed",
     ),
 )
 def part_core_edges(spark, sf):
-    e = graph.drop_loops(g_next(spark, sf))
+    e = g_next(spark, sf)
     return route.part_with_core_edges(e, assignment0(e), PARTS, find_hubs(e))
 
 

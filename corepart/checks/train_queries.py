@@ -184,14 +184,45 @@ def negative_pairs(spark, sf):
     "negative_pairs_shared",
     with_(
         *NEXT,
-        ("sh", f"""SELECT src, dst, CASE WHEN (SELECT count(*) FROM es) % {K} = 0
-          THEN ((row_number() OVER (ORDER BY src, dst) - 1) // {K})::VARCHAR ELSE src || ':' || dst END AS grp FROM es"""),
-        *sql_negatives(["grp"], "sh"), select="SELECT src, dst, neg, neg_dst FROM ng",
+        ("sh", f"""SELECT src, dst, range AS copy, ((row_number() OVER (ORDER BY src, dst, range) - 1) // {K})::VARCHAR AS grp
+          FROM es, range({K})"""),
+        WEIGHTS, LINE,
+        ("dr", f"""SELECT src, dst, copy, neg, floor({sql_draw('grp', 'neg', salt=f'{SEED}:negative')} * (SELECT max(upto) FROM line))::BIGINT AS t
+          FROM sh, (SELECT range::INTEGER AS neg FROM range({K})) r"""),
+        select="SELECT src, dst, copy::INTEGER AS copy, neg, id AS neg_dst FROM dr JOIN line ON t >= upto - w AND t < upto",
     ),
 )
 def negative_pairs_shared(spark, sf):
+    """K copies of every pair: their number is divisible by K, so K pairs share K targets."""
     e = g_next(spark, sf)
-    return walks.negative_pairs(e.distinct(), e, K, SEED, share=True)
+    copies = e.distinct().withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(K - 1))))
+    return walks.negative_pairs(copies, e, K, SEED, share=True, key=("src", "dst", "copy"))
+
+
+@query(
+    "negative_pairs_shared_by_part",
+    with_(
+        *NEXT,
+        ("pe", "SELECT src % 2 AS part, src, dst FROM es"),
+        ("pairs", f"SELECT part, src, dst, range AS copy FROM pe, range({K}) WHERE part = 0 OR range = 0"),
+        ("sh", f"""SELECT *, CASE WHEN count(*) OVER (PARTITION BY part) % {K} = 0
+          THEN part || ':' || ((row_number() OVER (PARTITION BY part ORDER BY src, dst, copy) - 1) // {K})
+          ELSE part || ':' || src || ':' || dst || ':' || copy END AS grp FROM pairs"""),
+        ("pw", """SELECT part, dst AS id, round(pow(count(*), 0.75) * 1000000)::BIGINT AS w FROM pe GROUP BY part, dst"""),
+        ("line", "SELECT part, id, w, sum(w) OVER (PARTITION BY part ORDER BY id ROWS UNBOUNDED PRECEDING) AS upto FROM pw"),
+        ("top", "SELECT part, max(upto) AS span FROM line GROUP BY part"),
+        ("dr", f"""SELECT part, src, dst, copy, neg, floor({sql_draw('grp', 'neg', salt=f'{SEED}:negative')} * span)::BIGINT AS t
+          FROM sh JOIN top USING (part), (SELECT range::INTEGER AS neg FROM range({K})) r"""),
+        select="""SELECT d.part::BIGINT AS part, src, dst, copy::INTEGER AS copy, neg, id AS neg_dst
+          FROM dr d JOIN line l ON d.part = l.part AND t >= upto - w AND t < upto""",
+    ),
+)
+def negative_pairs_shared_by_part(spark, sf):
+    """Part 0 has K copies of its pairs and shares; part 1 shares only if its own count allows it."""
+    e = g_next(spark, sf).withColumn("part", F.col("src") % 2)
+    copies = F.sequence(F.lit(0), F.when(F.col("part") == 0, F.lit(K - 1)).otherwise(F.lit(0)))
+    pairs = e.distinct().withColumn("copy", F.explode(copies))
+    return walks.negative_pairs(pairs, e, K, SEED, share=True, key=("src", "dst", "copy"), by=("part",))
 
 
 # --- neighbours and layers ----------------------------------------------------------

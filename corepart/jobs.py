@@ -94,7 +94,9 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     if a.job == "degrees":
         graph.top_degree(edges, a.top).show(a.top)
     elif a.job == "connectivity":
-        graph.components_by_part(edges, sources.read_assignment(spark, a.assignment)).show(10_000)
+        found = graph.components_by_part(edges, sources.read_assignment(spark, a.assignment))
+        for row in found.orderBy("part").toLocalIterator():  # one row per part
+            print(row.part, row.n_components)
     elif a.job in ("core", "partition"):
         out = partition.partition_with_core(
             edges, a.parts, a.core_rate, a.slack, a.strategy, a.lam_edge, a.lam_rank,

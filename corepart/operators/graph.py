@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,6 @@ def with_unit_weight(edges: DataFrame) -> DataFrame:
     return edges.withColumn("weight", F.lit(1.0))
 
 
-def map_vertices(v: DataFrame, name: str, value: Column) -> DataFrame:
-    return v.withColumn(name, value)
-
-
 def drop_loops(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("src") != F.col("dst"))
 
@@ -172,15 +170,18 @@ def edge_sample(edges: DataFrame, p: float, seed: int | None = None, key=("src",
 def pagerank(
     edges: DataFrame,
     tol: float | None = 1e-4,
-    max_iter: int = 100,
+    max_iter: int | None = None,
     reset: float = 0.15,
     hubs: Hubs | None = None,
 ) -> DataFrame:
     """(id, rank) over directed edges; ranks are scaled to sum to the vertex count.
 
-    Stops when no rank moves by more than `tol`, or after `max_iter` rounds (tol=None: always).
+    Stops when no rank moves by more than `tol`, however many rounds that takes. With a `max_iter`,
+    not to get there in so many rounds is an error; with tol=None exactly `max_iter` rounds run.
     Rank of vertices without out-edges is not handed on, as in the usual graph libraries.
     """
+    if tol is None and max_iter is None:
+        raise ValueError("without a tolerance the number of rounds must be given")
     store = Store(edges.sparkSession, "pagerank")
     hubs = find_hubs(edges) if hubs is None else hubs
     out_degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
@@ -189,7 +190,7 @@ def pagerank(
     links = store.save(links.select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "links")
     links = resident(links, "src", hubs, ("dst",))
     ranks = store.save(vertices(edges).withColumn("rank", F.lit(1.0)), "ranks-0")
-    for i in range(1, max_iter + 1):
+    for i in count(1):
         sent = lookup(links, "src", ranks, hubs, ("dst",))
         received = sent.groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new_rank = F.lit(reset) + F.lit(1.0 - reset) * F.coalesce("got", F.lit(0.0))
@@ -199,8 +200,13 @@ def pagerank(
         nxt = store.save(nxt, f"ranks-{i}")
         store.drop(f"ranks-{i - 1}")
         ranks = nxt.select("id", "rank")
-        if tol is not None and (nxt.agg(F.max("moved")).first()[0] or 0.0) <= tol:
+        moved = None if tol is None else nxt.agg(F.max("moved")).first()[0] or 0.0
+        if moved is not None and moved <= tol:
             break
+        if i == max_iter:
+            if tol is None:
+                break
+            raise RuntimeError(f"not converged: after {i} rounds a rank still moved by {moved}")
     links.unpersist()
     store.drop("links")
     n, total = ranks.agg(F.count(F.lit(1)), F.sum("rank")).first()

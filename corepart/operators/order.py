@@ -47,13 +47,16 @@ def dense_index(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
 
 
 def running_total(df: DataFrame, order: list[str], value: str, out: str = "upto") -> DataFrame:
-    """Add `out` = sum of the BIGINT column `value` over all rows up to and including this one."""
+    """Add `out` = sum of the BIGINT column `value` over all rows up to and including this one.
+
+    Values may be negative; a null counts as 0.
+    """
     store = Store(df.sparkSession, "running-total")
 
     def accumulate(batches):
         done = 0
         for pdf in batches:
-            local = done + pdf[value].cumsum()
+            local = done + pdf["_value"].cumsum()
             if len(local):
                 done = int(local.iloc[-1])
             yield pdf.assign(_local=local.astype("int64"))
@@ -61,11 +64,11 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str = "upto"
     sorted_rows = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_pid", F.spark_partition_id())
+        .withColumns({"_pid": F.spark_partition_id(), "_value": F.coalesce(F.col(value).cast("bigint"), F.lit(0))})
     )
     schema = T.StructType([*sorted_rows.schema.fields, T.StructField("_local", T.LongType())])
     stored = store.save(sorted_rows.mapInPandas(accumulate, schema), "rows")
-    return _add_offsets(stored, "_local", F.max("_local"), out)
+    return _add_offsets(stored, "_local", F.sum("_value"), out).drop("_value")
 
 
 __all__ = ["dense_index", "running_total"]

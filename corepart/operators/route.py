@@ -101,8 +101,9 @@ def combine_assignment(core: DataFrame, parts: DataFrame) -> DataFrame:
 def part_with_core_edges(
     edges: DataFrame, assignment: DataFrame, parts: int, hubs: Hubs | None = None
 ) -> DataFrame:
-    """(part, src, dst): simple undirected edges inside (part + core), for every part."""
-    return route_edges(graph.undirected(edges), assignment, parts, hubs)
+    """(part, src, dst): simple undirected edges and self-loops inside (part + core), for every part."""
+    ends = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return route_edges(ends, assignment, parts, hubs)
 
 
 def core_degree_mean(edges: DataFrame, core: DataFrame) -> DataFrame:

@@ -196,7 +196,9 @@ def weighted_choice(
     """
     store = Store(draws.sparkSession, "weighted-choice")
     whole = F.round(F.col("weight") * WEIGHT_UNIT).cast("bigint")
-    w = weights.select(*by, "id", whole.alias("w")).where("w > 0")
+    lost = F.raise_error(F.lit("a positive weight is too small: scale the weights up"))
+    kept = F.when((F.col("weight") > 0) & (whole == 0), lost).otherwise(whole)
+    w = weights.select(*by, "id", kept.cast("bigint").alias("w")).where("w > 0")
     line = store.save(running_total(w, [*by, "id"], "w"), "line")
     n, total = line.agg(F.count(F.lit(1)), F.max("upto")).first()
     width = max(1, (total or 0) // max(n, 1))
@@ -233,17 +235,23 @@ def negative_pairs(
     """(by, key, src, neg, neg_dst): k weighted random targets for every positive pair.
 
     `key` identifies a pair. With `share`, k consecutive pairs (in key order) use one set of k
-    targets; if the pair count is not divisible by k, each pair draws its own.
+    targets; if the pair count is not divisible by k, each pair draws its own. With `by`, every
+    graph counts and numbers its own pairs.
     """
     keep = [*by, *key] if "src" in key else [*by, *key, "src"]
     rows = pairs.select(*keep)
     ids = [*by, *key]
-    if share and pairs.count() % k == 0:
+    salt = f"{seed}:negative"
+    u = draw(*ids, "neg", salt=salt)
+    if share:
         rows = dense_index(rows, ids)
-        ids = ["grp"]
-        rows = rows.withColumn("grp", F.floor(F.col("pos") / k))
+        whole = rows.groupBy(*by).agg(F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        # one row per graph
+        rows = rows.join(F.broadcast(whole), list(by)) if by else rows.join(F.broadcast(whole), F.lit(True))
+        rows = rows.withColumn("grp", F.floor((F.col("pos") - F.col("_first")) / k))
+        u = F.when(F.col("_n") % k == 0, draw(*by, "grp", "neg", salt=salt)).otherwise(u)
     draws = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("neg"))
-    draws = draws.withColumn("u", draw(*ids, "neg", salt=f"{seed}:negative"))
+    draws = draws.withColumn("u", u)
     out = weighted_choice(draws, neg_weights(edges, by), by, out="neg_dst")
     return out.select(*keep, "neg", "neg_dst")
 

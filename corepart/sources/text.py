@@ -159,8 +159,12 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def part_manifest(part_edges: DataFrame, path: str, epoch: int | None = None) -> DataFrame:
-    """(part, path[, epoch]): the inputs of each part that has edges; part p reads file p - 1."""
-    file = F.concat(F.lit(path), (F.col("part") - 1).cast("string"), F.lit(".txt"))
-    out = part_edges.select("part").distinct().select("part", file.alias("path"))
+def part_manifest(spark: SparkSession, parts: int, path: str, epoch: int | None = None) -> DataFrame:
+    """(part, path[, epoch]): where `write_parts` put the edges of parts 1 .. `parts`.
+
+    A part without edges has no folder, so readers should allow for a missing path.
+    """
+    part = F.col("id").cast("int")
+    file = F.concat(F.lit(path.rstrip("/") + "/file="), (part - 1).cast("string"))
+    out = spark.range(1, parts + 1).select(part.alias("part"), file.alias("path"))
     return out if epoch is None else out.withColumn("epoch", F.lit(epoch))

@@ -151,3 +151,15 @@ def test_missing_vertices(spark):
     got = {r.id: r.part for r in route.assign_missing(e, a, 3, 1).collect()}
     assert set(got) == {1, 2, 3, 4, 5, 6, 7, 8}  # 9 touches only an assigned non-core vertex
     assert got[4] == got[5] and got[6] == got[8] and all(1 <= got[i] <= 3 for i in range(3, 9))
+
+
+def test_pagerank_says_when_it_has_not_converged(toy):
+    with pytest.raises(RuntimeError, match="not converged"):
+        graph.pagerank(toy, tol=1e-9, max_iter=2)
+
+
+def test_part_graphs_keep_self_loops(spark):
+    e = spark.createDataFrame([(8, 8), (8, 9), (9, 8), (8, 7)], "src bigint, dst bigint")
+    parts = spark.createDataFrame([(7, 2), (8, 1), (9, 1)], "id bigint, part int")
+    got = route.part_with_core_edges(e, parts, 2).collect()
+    assert sorted((r.part, r.src, r.dst) for r in got) == [(1, 8, 8), (1, 8, 9)]

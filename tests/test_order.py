@@ -71,3 +71,17 @@ def test_draw_is_uniform_and_repeatable(spark):
     assert abs(both.stat.corr("u", "x")) < 0.03
     parts = df.select(draw_int("id", salt="p", k=4, start=1).alias("p")).groupBy("p").count().collect()
     assert {p.p for p in parts} == {1, 2, 3, 4} and min(p["count"] for p in parts) > 4700
+
+
+def test_running_total_of_signed_values_and_nulls(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, None if i % 7 == 0 else (5 if i % 2 else -4)) for i in range(400)]
+        df = spark.createDataFrame(rows, "id bigint, w bigint").repartition(4)
+        got = {r.id: r.upto for r in running_total(df, ["id"], "w").collect()}
+        total = 0
+        for i, w in rows:
+            total += w or 0
+            assert got[i] == total
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -123,9 +123,8 @@ def test_event_log(spark):
 
 
 def test_manifest(spark):
-    routed = spark.createDataFrame([(1, 1, 2), (3, 1, 2)], "part int, src bigint, dst bigint")
-    got = sources.part_manifest(routed, "d/part_", 2).orderBy("part").collect()
-    assert [tuple(r) for r in got] == [(1, "d/part_0.txt", 2), (3, "d/part_2.txt", 2)]
+    got = sources.part_manifest(spark, 2, "d/parts/", 2).orderBy("part").collect()
+    assert [tuple(r) for r in got] == [(1, "d/parts/file=0", 2), (2, "d/parts/file=1", 2)]
 
 
 def test_store_uses_the_configured_folder(spark, tmp_path):

@@ -77,6 +77,19 @@ def test_shared_negatives_fall_back(spark):
     assert own.count() == 40 and own.exceptAll(walks.negative_pairs(e, e, 4, 1)).isEmpty()
 
 
+def test_shared_negatives_count_each_part(spark):
+    e = spark.createDataFrame([(p, i, i + 1) for p in (1, 2) for i in range(3)], "part int, src bigint, dst bigint")
+    shared = walks.negative_pairs(e, e, 2, 1, share=True, by=("part",))
+    assert shared.exceptAll(walks.negative_pairs(e, e, 2, 1, by=("part",))).isEmpty()  # 3 pairs each: own draws
+
+
+def test_weights_that_vanish_are_an_error(spark):
+    draws = spark.createDataFrame([(1, 0.5)], "k int, u double")
+    weights = spark.createDataFrame([(1, 1.0), (2, 1e-9)], "id bigint, weight double")
+    with pytest.raises(Exception, match="too small"):
+        walks.weighted_choice(draws, weights).collect()
+
+
 def test_part_graph_drops_bad_and_double_rows(spark):
     raw = spark.createDataFrame(
         [(1, "1", "2"), (1, "1", "2"), (1, "2", "1"), (1, "x", "3"), (2, "5", "9")], "part int, src string, dst string"
