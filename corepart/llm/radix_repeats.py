@@ -82,7 +82,8 @@ def suffix_runs(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> Ite
         whole = (sums[to] - sums[begin]) * inverse[begin]
         offset = (place[begin] - begin).astype(np.uint64)
         run = mix(mix(whole + n.astype(np.uint64)) + offset)
-        yield hashes[place[begin]], run, begin + lo, n
+        # Least hashes are small: mixed again they spread evenly over the buckets.
+        yield mix(hashes[place[begin]]), run, begin + lo, n
 
 
 def _six(values: np.ndarray) -> np.ndarray:
