@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from corepart.llm import shingles
 from corepart.llm.registry import query, table
+from corepart.llm.saving import save_lean
 from corepart.operators.graph import components
 from corepart.store import Store
 
@@ -34,6 +35,7 @@ HASHES = BANDS * ROWS
 STEP = 16  # MinHash values compared before each decision
 TOLERANCE = 1e-6
 BLOCK = 512
+ARROW_ROWS = 1000  # rows a task gets at once
 COLUMNS = 4096  # shingles in one slice of the incidence matrix
 MULTIPLIERS = shingles.mix(np.arange(5001, 5001 + HASHES, dtype=np.uint64)) | np.uint64(1)
 OFFSETS = shingles.mix(np.arange(9001, 9001 + HASHES, dtype=np.uint64))
@@ -202,7 +204,7 @@ def signature_table(docs: DataFrame) -> DataFrame:
 def likely_links(nodes: DataFrame, store: Store, threshold: float, tolerance: float) -> DataFrame:
     """(src, dst): a spanning forest of the pairs left in each block of a band's bucket."""
     sigs = nodes.where(F.col("sig").isNotNull()).select("node", "sig")
-    bands = store.save(sigs.mapInArrow(_banded, "key bigint, node bigint"), "bands")
+    bands = save_lean(store, sigs.mapInArrow(_banded, "key bigint, node bigint"), "bands", ARROW_ROWS)
     buckets = bands.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")
     )
@@ -278,22 +280,22 @@ def jaccard_classes(
     four words equals only one of the same words.
     """
     store = store or Store(docs.sparkSession, "jaccard-join")
-    nodes = store.save(signature_table(docs).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    forest = store.save(likely_links(nodes, store, threshold, tolerance), "forest")
+    nodes = save_lean(store, signature_table(docs).withColumn("node", F.monotonically_increasing_id()), "nodes", ARROW_ROWS)
+    forest = save_lean(store, likely_links(nodes, store, threshold, tolerance), "forest", ARROW_ROWS)
     store.drop("bands")
     ends = forest.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    groups = store.save(components(ends, forest), "groups")
-    found = store.save(verified(docs, nodes, groups, threshold, tolerance), "found")
+    groups = save_lean(store, components(ends, forest), "groups")
+    found = save_lean(store, verified(docs, nodes, groups, threshold, tolerance), "found", ARROW_ROWS)
     whole = found.where("n_blocks = 1").select("node", "root", "links")
     parts = found.where("n_blocks > 1")
-    tied = store.save(parts.where("node <> root").select(F.col("root").alias("src"), F.col("node").alias("dst")).distinct(), "tied")
+    tied = save_lean(store, parts.where("node <> root").select(F.col("root").alias("src"), F.col("node").alias("dst")).distinct(), "tied")
     counts = parts.groupBy("node").agg(F.sum("links").alias("links"))
     if not tied.isEmpty():
         joined = components(counts.select(F.col("node").alias("id")), tied)
         counts = counts.join(joined.withColumnRenamed("id", "node").withColumnRenamed("component", "root"), "node")
     else:
         counts = counts.withColumn("root", F.col("node"))
-    placed = store.save(whole.unionByName(counts.select("node", "root", "links")), "placed")
+    placed = save_lean(store, whole.unionByName(counts.select("node", "root", "links")), "placed")
     known = nodes.join(placed, "node", "left").select(
         "digest", "first_doc", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("n_links")
     )
