@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corepart.checks.fixtures import *  # noqa: F403
 from corepart.checks.registry import query, sql_values, values
 from corepart.functions import rounded
+from corepart.functions.draw import draw
 from corepart.operators import align, route, sage, walks
 from corepart.operators.skew import find_hubs
 from corepart.plans import embed
@@ -348,14 +349,68 @@ def embed_walks(spark, sf):
     return _shape(embed.embed_parts(routed_next(spark, sf), "walks", **TRAIN))
 
 
+PLACES = ("pl", "SELECT part, id, row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS place FROM pv")
+UNIFORM = (
+    "un",
+    f"""SELECT p.part, src, dst, id AS neg_dst FROM pe1 p JOIN (SELECT part, count(*) AS n FROM pv GROUP BY part) c USING (part)
+    JOIN pl ON pl.part = p.part
+      AND place = floor({sql_draw('p.part', 'src', 'dst', '0', salt=f'{SEED}:negative')} * n * 1000000)::BIGINT // 1000000""",
+)
+
+
+@query("walk_negatives", with_(*ROUTED_NEXT, PART_V, PLACES, UNIFORM, select="SELECT part, src, dst, neg_dst FROM un"))
+def walk_negatives(spark, sf):
+    """One target for each pair, drawn from all vertices of its part alike."""
+    e = walks.part_edges_clean(routed_next(spark, sf))
+    return walks.negative_pairs(e, e, 1, SEED, by=("part",), uniform=True).drop("neg")
+
+
 @query(
-    "embed_edges",
+    "skip_gram_step",
     with_(
-        *ROUTED_NEXT[:-1],
-        ("pe1", f"SELECT DISTINCT part, src, dst FROM routed WHERE {sql_draw('part', 'src', 'dst', salt=f'{SEED}:sample')} < 0.5"),
-        PART_V, select=SQL_SHAPE,
+        *ROUTED_NEXT, PART_V, PLACES, UNIFORM,
+        ("x0", f"""SELECT part, id, i, {sql_draw('part', '0', 'id', 'i', salt=f'{SEED}:start')} - 0.5::DOUBLE AS x
+          FROM pv, (SELECT range AS i FROM range(4)) r"""),
+        ("rw", """SELECT *, row_number() OVER () AS rid FROM
+          (SELECT part, src, dst, 1.0::DOUBLE AS y FROM pe1 UNION ALL SELECT part, src, neg_dst, 0.0::DOUBLE FROM un)"""),
+        ("gs", """SELECT rid, 1 / (1 + exp(-sum(a.x * c.x))) - any_value(y) AS g FROM rw
+          JOIN x0 a ON a.part = rw.part AND a.id = src JOIN x0 c ON c.part = rw.part AND c.id = dst AND c.i = a.i GROUP BY rid"""),
+        ("gd", """SELECT part, id, i, sum(d) / (SELECT count(*) FROM pe1 WHERE pe1.part = u.part) AS g FROM (
+          SELECT rw.part, src AS id, c.i, g * c.x AS d FROM rw JOIN gs USING (rid) JOIN x0 c ON c.part = rw.part AND c.id = dst
+          UNION ALL
+          SELECT rw.part, dst, a.i, g * a.x FROM rw JOIN gs USING (rid) JOIN x0 a ON a.part = rw.part AND a.id = src) u
+          GROUP BY part, id, i"""),
+        select=f"""SELECT part, id, i::INTEGER AS pos, {sql_round('x - 0.01::DOUBLE * g / (abs(g) + 1e-8::DOUBLE)')} AS val
+          FROM x0 JOIN gd USING (part, id, i)""",
     ),
 )
+def skip_gram_step(spark, sf):
+    """One step over all pairs of every part, from start values that SQL can repeat."""
+    e = walks.part_edges_clean(routed_next(spark, sf))
+    pairs = e.select("part", F.concat_ws(":", "src", "dst").alias("pair"), "src", "dst")
+    start = F.array(*(draw("part", "role", "id", F.lit(i), salt=f"{SEED}:start") - F.lit(0.5) for i in range(4)))
+    out = embed.skip_gram(pairs, e, dim=4, steps_per_epoch=1, seed=SEED, uniform=True, start=start)
+    return values(out, ["part", "id"], "vec")
+
+
+LINES = ("ln", "SELECT part, src, dst, row_number() OVER (PARTITION BY part, src, dst) AS line FROM routed")
+KEPT = ("kept", f"SELECT part, src, dst FROM ln WHERE {sql_draw('part', 'src', 'dst', 'line', salt=f'{SEED}:sample')} < 0.5")
+
+
+@query(
+    "edge_sentences",
+    with_(
+        *ROUTED_NEXT, LINES, KEPT,
+        ("both_ways", "SELECT part, src, dst FROM kept UNION ALL SELECT part, dst, src FROM kept"),
+        select="SELECT part, src, dst, count(*) AS n FROM both_ways GROUP BY ALL",
+    ),
+)
+def edge_sentences(spark, sf):
+    rows = embed.edge_sentences(routed_next(spark, sf), SEED)
+    return rows.groupBy("part", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("embed_edges", with_(*ROUTED_NEXT[:-1], LINES, KEPT, ("pe1", "SELECT DISTINCT part, src, dst FROM kept"), PART_V, select=SQL_SHAPE))
 def embed_edges(spark, sf):
     return _shape(embed.embed_parts(routed_next(spark, sf), "edges", **TRAIN))
 

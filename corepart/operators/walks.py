@@ -19,14 +19,16 @@ from corepart.store import Store
 WEIGHT_UNIT = 1_000_000  # sampling weights are whole millionths, so that sums are exact
 
 
-def part_edges_clean(part_edges: DataFrame) -> DataFrame:
-    """Distinct directed edges per part, from text or number columns; bad rows are dropped."""
+def part_edge_lines(part_edges: DataFrame) -> DataFrame:
+    """Directed edges per part, from text or number columns; bad rows are dropped."""
     src, dst = F.col("src").try_cast("bigint"), F.col("dst").try_cast("bigint")
-    return (
-        part_edges.select("part", src.alias("src"), dst.alias("dst"))
-        .where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-        .distinct()
-    )
+    rows = part_edges.select("part", src.alias("src"), dst.alias("dst"))
+    return rows.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+
+
+def part_edges_clean(part_edges: DataFrame) -> DataFrame:
+    """The distinct ones of `part_edge_lines`."""
+    return part_edge_lines(part_edges).distinct()
 
 
 def part_vertices(part_edges: DataFrame) -> DataFrame:
@@ -231,8 +233,11 @@ def negative_pairs(
     share: bool = False,
     key: tuple[str, ...] = ("src", "dst"),
     by: tuple[str, ...] = (),
+    uniform: bool = False,
 ) -> DataFrame:
-    """(by, key, src, neg, neg_dst): k weighted random targets for every positive pair.
+    """(by, key, src, neg, neg_dst): k random targets for every positive pair.
+
+    Targets are drawn by in-degree to the power 0.75, or with `uniform` from all vertices alike.
 
     `key` identifies a pair. With `share`, k consecutive pairs (in key order) use one set of k
     targets; if the pair count is not divisible by k, each pair draws its own. With `by`, every
@@ -252,7 +257,12 @@ def negative_pairs(
         u = F.when(F.col("_n") % k == 0, draw(*by, "grp", "neg", salt=salt)).otherwise(u)
     draws = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("neg"))
     draws = draws.withColumn("u", u)
-    out = weighted_choice(draws, neg_weights(edges, by), by, out="neg_dst")
+    if uniform:
+        ends = F.explode(F.array("src", "dst")).alias("id")
+        weights = edges.select(*by, ends).distinct().withColumn("weight", F.lit(1.0))
+    else:
+        weights = neg_weights(edges, by)
+    out = weighted_choice(draws, weights, by, out="neg_dst")
     return out.select(*keep, "neg", "neg_dst")
 
 

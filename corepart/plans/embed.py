@@ -6,11 +6,12 @@ written once per epoch, so an interrupted run continues after its last finished
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -23,6 +24,7 @@ from corepart.sources import format_embeddings
 from corepart.store import Store
 
 BETA1, BETA2, EPS = 0.9, 0.999, 1e-8  # the usual Adam constants
+STEPS = 16  # most steps of an epoch, each a pass over the vectors or blocks
 
 
 def last_epoch(store: Store, epochs: int) -> int:
@@ -31,10 +33,24 @@ def last_epoch(store: Store, epochs: int) -> int:
     return max(done, default=-1)
 
 
-def batch_count(pairs: DataFrame, batch_size: int) -> int:
-    """Steps per epoch: parts step together, so the largest part decides."""
+def batch_count(pairs: DataFrame, batch_size: int, most: int) -> int:
+    """Steps per epoch: parts step together, so the largest part decides.
+
+    A step reads and writes the vectors (or blocks) once, so an epoch has at most `most` steps,
+    whatever the number of pairs; beyond that the batches grow.
+    """
     n = pairs.groupBy("part").count().agg(F.max("count")).first()[0] or 0
-    return max(1, -(-n // batch_size))
+    return min(max(1, -(-n // batch_size)), most)
+
+
+def mask_seed(*numbers: int) -> int:
+    """One seed from (seed, epoch, step), another one for each."""
+    return int.from_bytes(hashlib.md5(":".join(map(str, numbers)).encode()).digest()[:6], "big")
+
+
+def by_step(rows: DataFrame) -> DataFrame:
+    """Rows in order of their step, so that a step's read skips the others' row groups."""
+    return rows.repartitionByRange("step", "part", "pair").sortWithinPartitions("step")
 
 
 # --- skip-gram with distributed vectors ---------------------------------------------
@@ -56,26 +72,31 @@ def skip_gram(
     lr: float = 0.01,
     epochs: int = 1,
     batch_size: int = 2000,
+    steps_per_epoch: int = STEPS,
     negatives: int = 1,
     two_tables: bool = False,
     init_scale: float = 1.0,
     seed: int = 0,
     state_path: str | None = None,
     hubs: Hubs | None = None,
+    uniform: bool = False,
+    start: Column | None = None,
 ) -> DataFrame:
     """(part, id, vec): vectors whose dot products tell true pairs from random ones.
 
     `pairs(part, pair, src, dst)`, `pair` unique per part; negatives are drawn from `edges`.
     The vectors are a table keyed by (part, role, id), never on the driver: each step joins a
     hash bucket of the pairs with them, sums gradients per vector and applies Adam to the
-    touched ones. With `two_tables` targets have vectors of their own (role 1).
+    touched ones. With `two_tables` targets have vectors of their own (role 1). Negatives are
+    drawn by in-degree, or with `uniform` from all vertices of the part. `start` is an array
+    column over (part, role, id) to begin with instead of normal numbers.
     """
     spark = pairs.sparkSession
     work = Store(spark, "skip-gram")
     state = Store(spark, "skip-gram-state", state_path)
     hubs = find_hubs(pairs) if hubs is None else hubs
     target = 1 if two_tables else 0
-    batches = batch_count(pairs, batch_size)
+    batches = batch_count(pairs, batch_size, steps_per_epoch)
     bucket = F.pmod(F.xxhash64("part", "pair", F.lit(seed)), F.lit(batches).cast("bigint")).cast("int")
 
     first = last_epoch(state, epochs)
@@ -85,18 +106,20 @@ def skip_gram(
         ids = walks.part_vertices(edges.unionByName(pairs.select("part", "src", "dst")))
         ids = ids.select("part", F.explode(F.array(*map(F.lit, range(target + 1)))).alias("role"), "id")
         zero = F.array_repeat(F.lit(0.0), dim)
-        start = fast_normal("part", "role", "id", salt=f"{seed}:start", dim=dim, scale=init_scale)
+        if start is None:
+            start = fast_normal("part", "role", "id", salt=f"{seed}:start", dim=dim, scale=init_scale)
         table = work.save(
             ids.select("part", "role", "id", start.alias("vec"), zero.alias("m"), zero.alias("v")), "table"
         )
     for epoch in range(first + 1, epochs):
-        neg = walks.negative_pairs(pairs, edges, negatives, seed + epoch, key=("pair",), by=("part",))
+        neg = walks.negative_pairs(pairs, edges, negatives, seed + epoch, key=("pair",), by=("part",), uniform=uniform)
         rows = (
             pairs.select("part", "pair", "src", "dst", F.lit(1.0).alias("y"))
             .unionByName(neg.select("part", "pair", "src", F.col("neg_dst").alias("dst"), F.lit(0.0).alias("y")))
             .withColumn("step", bucket)
         )
-        rows = work.save(rows, f"rows-{epoch}", partition_by="step")
+        rows = work.save(by_step(rows), f"rows-{epoch}")
+        # at most parts x steps_per_epoch rows
         sizes = {(r.part, r.step): r.n for r in pairs.groupBy("part", bucket.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}
         for b in range(batches):
             t = epoch * batches + b + 1
@@ -152,6 +175,7 @@ def train_sage(
     lr: float = 0.01,
     epochs: int = 1,
     batch_size: int = 2000,
+    steps_per_epoch: int = STEPS,
     seed: int = 0,
     state_path: str | None = None,
     hubs: Hubs | None = None,
@@ -181,7 +205,7 @@ def train_sage(
         for r in state.read(f"epoch={first}").collect():  # one row of weights per part
             params[r.part], m[r.part], v[r.part] = map(np.array, (r.params, r.m, r.v))
             step[r.part] = r.step
-    batches = batch_count(pairs, batch_size)
+    batches = batch_count(pairs, batch_size, steps_per_epoch)
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64("part", "pair", F.lit(seed)), F.lit(batches).cast("bigint")).cast("int")
     for epoch in range(first + 1, epochs):
@@ -192,10 +216,10 @@ def train_sage(
         rows = pairs.select("part", "pair", "src", "dst").join(
             neg.select("part", "pair", F.col("neg_dst").alias("neg")), ["part", "pair"]
         )
-        rows = work.save(rows.withColumn("step", bucket), f"rows-{epoch}", partition_by="step")
+        rows = work.save(by_step(rows.withColumn("step", bucket)), f"rows-{epoch}")
         for b in range(batches):
             batch = rows.where(F.col("step") == b)
-            now = sage.StepSettings(hidden, fanouts[1], dropout, seed * 1_000_003 + epoch * 10_007 + b)
+            now = sage.StepSettings(hidden, fanouts[1], dropout, mask_seed(seed, epoch, b))
             ids = batch.select("part", F.explode(F.array("src", "dst", "neg")).alias("id")).distinct()
             used = blocks.join(ids, ["part", "id"], "left_semi")
             out = work.save(sage.block_outputs(used, params, now), f"out-{epoch}-{b}")
@@ -226,6 +250,22 @@ def _edge_pairs(edges: DataFrame) -> DataFrame:
     return edges.select("part", F.concat_ws(":", "src", "dst").alias("pair"), "src", "dst")
 
 
+def edge_sentences(part_edges: DataFrame, seed: int, fraction: float = 0.5) -> DataFrame:
+    """(part, pair, src, dst): both directions of a random part of the edge lines.
+
+    A line that comes twice is drawn twice. A two-word sentence trains each word on the other.
+    """
+    rows = walks.part_edge_lines(part_edges).groupBy("part", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("part", "src", "dst", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("line"))
+    kept = edge_sample(rows, fraction, seed, key=("part", "src", "dst", "line"))
+    ends = F.array(
+        F.struct(F.col("src"), F.col("dst"), F.lit(0).alias("way")),
+        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("way")),
+    )
+    both = kept.select("part", "line", F.inline(ends))
+    return both.select("part", F.concat_ws(":", "src", "dst", "line", "way").alias("pair"), "src", "dst")
+
+
 def walk_training_pairs(edges: DataFrame, length: int, context: int, per_node: int, seed: int, p=1.0, q=1.0) -> DataFrame:
     """(part, pair, src, dst) from random walks."""
     w = walks.random_walks(edges, length, per_node, seed, p, q, by=("part",))
@@ -260,11 +300,10 @@ def embed_parts(
     edges = work.save(walks.part_edges_clean(part_edges), "edges")
     if method == "walks":
         pairs = work.save(walk_training_pairs(edges, walk_length, context, walks_per_node, seed, p, q), "pairs")
+        options = {"uniform": True, **options}
         return skip_gram(pairs, edges, dim=dim, seed=seed, state_path=state_path, **options)
     if method == "edges":
-        # a two-word sentence trains both of its words on the other one
-        kept = edge_sample(edges, 0.5, seed, key=("part", "src", "dst"))
-        pairs = work.save(_edge_pairs(kept.unionByName(kept.select("part", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()), "pairs")
+        pairs = work.save(edge_sentences(part_edges, seed), "pairs")
         options = {"negatives": 5, "two_tables": True, "init_scale": 1.0 / dim, **options}
         return skip_gram(
             pairs, pairs.select("part", "src", "dst"), dim=dim, seed=seed, state_path=state_path, **options
