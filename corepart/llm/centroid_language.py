@@ -3,8 +3,8 @@
 A text is a vector of hashed letter pairs and triples, weighted by TF-IDF and normalised. The
 inverse document frequencies count all training texts; the centroids are found by spherical
 k-means on a bounded sample of each language. A text gets the language of the centroid with
-the greatest cosine and is rejected when it is farther from it than any training text of that
-language was.
+the greatest cosine and is rejected when it is farther from it than training texts of its size
+and language were: short texts are farther from everything, so the limit depends on the size.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ SAMPLE = 1000  # training texts of each language for the centroids; up to 1000,
 CENTROIDS = 4
 ROUNDS = 12
 SLACK = 1.05  # times the greatest training distance, for rejection
+SIZES = (32, 128, 512, 2048)  # characters from which a limit holds; shorter texts are never too far
 PIECE = 1 << 18  # characters handled at once
 ROWS = 512  # texts in one matrix
 UNKNOWN = "und"
@@ -83,6 +84,26 @@ def unit_rows(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return rows / np.where(length > 0, length, 1)
 
 
+def size_class(counts: np.ndarray) -> int:
+    """0 for the shortest texts, up to len(SIZES); a text has about as many pairs as characters."""
+    return int(np.searchsorted(SIZES, counts[:PAIRS].sum(), "right"))
+
+
+def limits(texts: list[str], idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The greatest distance of texts and of their parts, by size; no less than that of larger ones."""
+    out = np.zeros(len(SIZES) + 1)
+    for size in (None, *SIZES):
+        for lo in range(0, len(texts), ROWS):
+            parts = [t if size is None else t[(len(t) - size) // 2 :][: size + size // 4] for t in texts[lo : lo + ROWS] if size is None or len(t) > size]
+            counted = [c for c, found in map(gram_counts, parts) if found]
+            if counted:
+                far = 1 - (unit_rows(np.stack(counted), idf) @ centres.T).max(1)
+                np.maximum.at(out, [size_class(c) for c in counted], far)
+    out = np.minimum(np.maximum.accumulate(out[::-1])[::-1] * SLACK, 0.999)
+    out[0] = 2.0
+    return out
+
+
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each gram is, and the number of texts; a vector leaves each task as rows."""
 
@@ -120,7 +141,7 @@ def cluster(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 class LanguageModel:
-    """Centroids with their languages, the greatest training distance of each, and the IDF."""
+    """Centroids with their languages, the limit of each for each size, and the IDF."""
 
     def __init__(self, idf: np.ndarray, langs: list[str], centres: np.ndarray, radius: np.ndarray):
         self.idf, self.langs, self.centres, self.radius = idf, langs, centres, radius
@@ -132,11 +153,12 @@ class LanguageModel:
             counted = [gram_counts(t) for t in texts[lo : lo + ROWS]]
             cosine = unit_rows(np.stack([c for c, _ in counted]), self.idf) @ self.centres.T
             best = cosine.argmax(1)
-            for i, (b, (_, found)) in enumerate(zip(best, counted, strict=True)):
+            for i, (b, (c, found)) in enumerate(zip(best, counted, strict=True)):
                 if found:
                     langs[lo + i] = self.langs[b]
                     scores[lo + i] = min(max(float(cosine[i, b]), 0.0), 1.0)
-                    rejected[lo + i] = 1 - cosine[i, b] > self.radius[b]
+                    limit = self.radius[b, size_class(c)]
+                    rejected[lo + i] = 1 - cosine[i, b] > limit
         return langs, scores, rejected
 
 
@@ -158,17 +180,17 @@ def learn_languages(labelled: DataFrame, sample: int = SAMPLE, centroids: int =
             return pd.DataFrame({"lang": [], "vec": [], "radius": []})
         rows = unit_rows(np.stack(counted), shared.value)
         centres = cluster(rows, centroids)
-        far = float((1 - (rows @ centres.T).max(1)).max())
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "vec": list(centres.astype(float)), "radius": far})
+        far = limits(list(group["text"]), shared.value, centres).tolist()
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "vec": list(centres.astype(float)), "radius": [far] * len(centres)})
 
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     drawn = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).drop("k")
-    found = sorted(drawn.groupBy("lang").applyInPandas(fit, "lang string, vec array<double>, radius double").collect())
+    found = sorted(drawn.groupBy("lang").applyInPandas(fit, "lang string, vec array<double>, radius array<double>").collect())
     return LanguageModel(
         idf,
         [r.lang for r in found],
         np.array([r.vec for r in found], np.float32).reshape(len(found), DIM),
-        np.minimum(np.array([r.radius for r in found]) * SLACK, 0.999),
+        np.array([r.radius for r in found]).reshape(len(found), len(SIZES) + 1),
     )
 
 
