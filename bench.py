@@ -31,6 +31,8 @@ HEADLINE = [
     "embed_walks",
     "embed_sage",
     "embed_align",
+    "degree_basket",
+    "pagerank_basket",
 ]
 
 

@@ -37,6 +37,13 @@ def g_next(spark, sf) -> DataFrame:
     return here.join(e.withColumnRenamed("user_id", "dst"), "event_id").select("src", "dst")
 
 
+def g_basket(spark, sf) -> DataFrame:
+    """part → part of the same order, each pair of numbers p < q once."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    a, b = lines.withColumnRenamed("l_partkey", "src"), lines.withColumnRenamed("l_partkey", "dst")
+    return a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
+
+
 def g_geo(spark, sf) -> DataFrame:
     """customer → nation, supplier → nation, nation → region: one component per region."""
     c = table(spark, sf, "customer").select(
@@ -61,6 +68,8 @@ def g_chat(spark, sf) -> DataFrame:
 
 
 SQL_TRADE = "SELECT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem"
+SQL_BASKET = """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
+  ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey"""
 SQL_NEXT = (
     "SELECT a.user_id AS src, b.user_id AS dst FROM events a JOIN events b ON b.event_id = a.event_id + 1"
 )

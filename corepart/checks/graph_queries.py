@@ -369,6 +369,19 @@ def pagerank_10(spark, sf):
     return graph.pagerank(e, tol=None, max_iter=10).select("id", rounded("rank").alias("rank"))
 
 
+@query(
+    "pagerank_basket",
+    with_(edges_(SQL_BASKET), V, *sql_pagerank(5), select=f"SELECT id, {sql_round('rank')} AS rank FROM pr"),
+)
+def pagerank_basket(spark, sf):
+    return graph.pagerank(g_basket(spark, sf), tol=None, max_iter=5).select("id", rounded("rank").alias("rank"))
+
+
+@query("degree_basket", with_(edges_(SQL_BASKET), select="SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id"))
+def degree_basket(spark, sf):
+    return graph.degrees(g_basket(spark, sf))
+
+
 @query(
     "pagerank_tol",
     """WITH RECURSIVE it(i, leaf, a, b, moved) AS (

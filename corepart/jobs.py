@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corepart import sources
 from corepart.operators import graph, route
+from corepart.operators.skew import find_hubs
 from corepart.plans import embed, partition, split
 from corepart.session import builder
 
@@ -65,6 +66,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dim", type=int, default=128)
     p.add_argument("--epochs", type=int, default=1)
     p.add_argument("--batch-size", type=int, default=2000)
+    p.add_argument("--steps-per-epoch", type=int, default=embed.STEPS, help="most passes over the vectors in an epoch")
+    p.add_argument("--walk-length", type=int, default=4)
+    p.add_argument("--context", type=int, default=2)
+    p.add_argument("--p", type=float, default=1.0)
+    p.add_argument("--q", type=float, default=1.0)
+    p.add_argument("--ridge", type=float, default=0.0)
+    p.add_argument("--dedupe", action="store_true", help="one vector for a core vertex that is missing in some part")
     p.add_argument("--state", help="folder for per-epoch state; a rerun continues there")
     job("degrees", "print the highest degrees and their share of the vertices", "edges").add_argument("--top", type=int, default=10)
     job("connectivity", "print the number of components in each part", "edges", "assignment")
@@ -86,7 +94,8 @@ def main(argv: list[str] | None = None, spark=None) -> None:
         edges = sources.read_parts(spark, a.parts_dir)
         _, seconds = embed.embed_job(
             edges, a.parts, a.method, a.out, feats=feats, dim=a.dim, epochs=a.epochs,
-            batch_size=a.batch_size, seed=a.seed, state_path=a.state,
+            batch_size=a.batch_size, steps_per_epoch=a.steps_per_epoch, seed=a.seed, state_path=a.state,
+            walk_length=a.walk_length, context=a.context, p=a.p, q=a.q, ridge=a.ridge, dedupe=a.dedupe,
         )
         print(f"seconds: {seconds:.1f}")
         return
@@ -94,7 +103,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     if a.job == "degrees":
         graph.top_degree(edges, a.top).show(a.top)
     elif a.job == "connectivity":
-        found = graph.components_by_part(edges, sources.read_assignment(spark, a.assignment))
+        found = graph.components_by_part(edges, sources.read_assignment(spark, a.assignment), find_hubs(edges))
         for row in found.orderBy("part").toLocalIterator():  # one row per part
             print(row.part, row.n_components)
     elif a.job in ("core", "partition"):
@@ -110,7 +119,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
             sources.write_core(core.core, a.core_out)
             sources.write_edges(core.edges, a.edges_out)
         else:
-            sources.write_parts(route.route_edges(edges, out.assignment(), a.parts), a.out)
+            sources.write_parts(route.route_edges(edges, out.assignment(), a.parts, find_hubs(edges)), a.out)
     elif a.job == "partition-plain":
         out = partition.partition_plain(
             edges, a.parts, a.slack, a.lam_edge, a.tol, a.max_rounds, a.seed, a.affinity
@@ -120,7 +129,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
         out.assignment().select(F.concat_ws(" ", "id", "part").alias("value")).write.text(a.out)
     elif a.job in ("split", "grow"):
         core = sources.read_core(spark, a.core) if a.job == "split" else graph.grow_core(edges, a.core_size, a.seed)
-        done = split.split_graph(edges, core, a.parts, a.slack, a.tol, a.max_rounds, a.seed, a.affinity)
+        done = split.split_graph(edges, core, a.parts, a.slack, a.tol, a.max_rounds, a.seed, a.affinity, a.lam_edge)
         done.write(a.out, sources.read_features(spark, a.feats) if a.feats else None)
         print(done.report)
     elif a.job == "route":

@@ -300,6 +300,7 @@ def grow_core(edges: DataFrame, size: int, seed: int, hubs: Hubs | None = None)
     salt = f"{seed}:core"
     adj = store.save(adjacency(undirected(edges)), "adjacency")
     hubs = find_hubs(adj, "id") if hubs is None else hubs
+    adj = resident(adj, "id", hubs, ("nbr",))
     first = vertices(edges).agg(F.min_by("id", F.struct(draw("id", salt=salt), "id")).alias("id"))
     core = store.save(first.where("id is not null").withColumn("round", F.lit(0)), "core-0")
     step = 0
@@ -311,6 +312,9 @@ def grow_core(edges: DataFrame, size: int, seed: int, hubs: Hubs | None = None)
         have, found = core.count(), frontier.count()
         room = size - have
         if found == 0 or room <= 0:
+            adj.unpersist()
+            store.drop("adjacency")
+            store.drop(f"frontier-{step}")
             return core
         if found > room:
             ranked = dense_index(frontier.withColumn("u", draw("id", salt=salt)), ["u", "id"])

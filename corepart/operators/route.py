@@ -39,7 +39,11 @@ def route_edges(
 ) -> DataFrame:
     """(part, src, dst): core-core edges go to every part, core-other edges to the other's part,
     edges inside a part to that part; edges between parts and of unassigned vertices are cut."""
-    ends = graph.edge_parts(edges, assignment, hubs)
+    return route_ends(graph.edge_parts(edges, assignment, hubs), parts)
+
+
+def route_ends(ends: DataFrame, parts: int) -> DataFrame:
+    """The same from edges (src, dst, src_part, dst_part) whose ends were looked up before."""
     return ends.select(F.explode(_targets(parts)).alias("part"), "src", "dst")
 
 

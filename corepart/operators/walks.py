@@ -81,7 +81,10 @@ class WalkIndex:
     def pick(self, walkers: DataFrame, u) -> DataFrame:
         """Add `cand`: a uniform out-neighbour of `cur`, null where there is none."""
         at = lookup(walkers, "cur", self.starts, self.hubs, ("origin", "walk"), self.by, "left")
-        at = at.withColumn("pos", F.col("start") + F.floor(u * F.col("deg"))).drop("start", "deg")
+        # Walkers at dead ends get places that no edge has, all different, not one null key.
+        nowhere = F.lit(-1).cast("bigint") - F.pmod(F.xxhash64("origin", "walk"), F.lit(1 << 62))
+        pos = F.coalesce(F.col("start") + F.floor(u * F.col("deg")), nowhere)
+        at = at.withColumn("pos", pos).drop("start", "deg")
         target = self.edges.select("pos", F.col("dst").alias("cand"))
         return at.join(target, "pos", "left").drop("pos")
 

@@ -35,8 +35,9 @@ def route_split(
     hubs = find_hubs(edges) if hubs is None else hubs
     store = Store(edges.sparkSession, "split")
     full = store.save(route.assign_missing(edges, assignment, parts, seed, hubs), "assignment")
-    routed = store.save(route.route_edges(edges, full, parts, hubs), "edges")
-    cut = route.cut_edges(graph.edge_parts(edges, full, hubs), ignore_core=True, attr="part")
+    ends = store.save(graph.edge_parts(edges, full, hubs), "ends")  # looked up once for both
+    routed = store.save(route.route_ends(ends, parts), "edges")
+    cut = route.cut_edges(ends, ignore_core=True, attr="part")
     sizes = {r.part: r.n_vertices for r in route.part_report(full).collect()}  # one row per part
     report = {
         "parts": parts,
@@ -46,6 +47,7 @@ def route_split(
         "missing": route.missing_vertices(edges, assignment).count(),
         "core_degree_mean": route.core_degree_mean(edges, assignment.where(F.col("part") == 0)).first()[0],
     }
+    store.drop("ends")
     return Split(full, routed, report)
 
 
@@ -58,6 +60,7 @@ def split_graph(
     max_rounds: int = 20,
     seed: int = 0,
     affinity: str = "ratio",
+    lam_edge: float = 1.0,
 ) -> Split:
     """Partition the graph outside the core by label propagation, then route every edge.
 
@@ -67,7 +70,7 @@ def split_graph(
     core = core.select("id")
     rest = partition.noncore_edges(edges, core, hubs)
     rest = Store(edges.sparkSession, "split-rest").save(graph.undirected(rest), "edges")
-    placed = partition.partition_plain(rest, parts, slack, tol=tol, max_rounds=max_rounds, seed=seed, affinity=affinity)
+    placed = partition.partition_plain(rest, parts, slack, lam_edge, tol=tol, max_rounds=max_rounds, seed=seed, affinity=affinity)
     return route_split(edges, route.combine_assignment(core, placed.assignment()), parts, seed, hubs)
 
 
