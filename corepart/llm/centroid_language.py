@@ -22,7 +22,7 @@ from corepart.llm.registry import query, table
 
 PAIRS, TRIPLES = 1024, 4096
 DIM = PAIRS + TRIPLES
-SAMPLE = 1000  # training texts of each language for the centroids; up to 1000, Spark cuts each task's rows before the shuffle
+SAMPLE = 1000  # training texts of each language that the centroids are fitted on
 CENTROIDS = 4
 ROUNDS = 12
 SLACK = 1.05  # times the greatest training distance, for rejection
@@ -162,6 +162,22 @@ class LanguageModel:
         return langs, scores, rejected
 
 
+def draw_sample(known: DataFrame, sample: int) -> DataFrame:
+    """At most `sample` rows (text, lang) of each language, by a hash of the text.
+
+    Rows whose hash is beyond four times the share that is wanted stay where they are, so what a
+    language sends to its task doesn't grow with the corpus.
+    """
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    if not counts:
+        return known
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, 4 * sample / r.n))))
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    order = Window.partitionBy("lang").orderBy("place", F.xxhash64("text"), "text")
+    near = known.withColumn("place", place).where(F.col("place") < F.element_at(share, F.col("lang")))
+    return near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("text", "lang")
+
+
 def learn_languages(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> LanguageModel:
     """Fit on rows (text, lang); rows without a language or without text are left out.
 
@@ -183,8 +199,7 @@ def learn_languages(labelled: DataFrame, sample: int = SAMPLE, centroids: int =
         far = limits(list(group["text"]), shared.value, centres).tolist()
         return pd.DataFrame({"lang": group["lang"].iloc[0], "vec": list(centres.astype(float)), "radius": [far] * len(centres)})
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    drawn = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).drop("k")
+    drawn = draw_sample(known, sample)
     found = sorted(drawn.groupBy("lang").applyInPandas(fit, "lang string, vec array<double>, radius array<double>").collect())
     return LanguageModel(
         idf,
