@@ -163,26 +163,41 @@ class LanguageModel:
 
 
 def draw_sample(known: DataFrame, sample: int) -> DataFrame:
-    """At most `sample` rows (text, lang) of each language, by a hash of the text.
+    """Rows (text, lang): min(sample, D) different texts of each language with D of them, by a hash of the text.
 
-    Rows whose hash is beyond four times the share that is wanted stay where they are, so what a
-    language sends to its task doesn't grow with the corpus.
+    The distinct hashes of a language are counted by their number of bits, so the bound below which
+    enough of them lie is known. Rows beyond it stay where they are and copies are left out before
+    the shuffle, so what a language sends to its task doesn't grow with the corpus.
     """
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    h = F.xxhash64("text")
+    marked = known.select("text", "lang", h.alias("h"), F.shiftrightunsigned(h, 1).alias("place"))
+    marked = marked.withColumn("bits", F.length(F.bin("place")))
+    counts: dict[str, dict[int, int]] = {}  # up to 63 rows per language
+    for r in marked.select("lang", "h", "bits").distinct().groupBy("lang", "bits").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r.lang, {})[r.bits] = r.n
     if not counts:
         return known
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, 4 * sample / r.n))))
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    order = Window.partitionBy("lang").orderBy("place", F.xxhash64("text"), "text")
-    near = known.withColumn("place", place).where(F.col("place") < F.element_at(share, F.col("lang")))
-    return near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("text", "lang")
+    bounds = {lang: next((b for b in sorted(n) if sum(n[c] for c in n if c <= b) >= sample), 63) for lang, n in counts.items()}
+    bound = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))
+    near = marked.where(F.col("bits") <= F.element_at(bound, F.col("lang"))).drop("bits")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # about 2 * sample for each language
+        for batch in batches:
+            keys = list(zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist(), strict=True))
+            new = [i for i, key in enumerate(keys) if not (key in seen or seen.add(key))]
+            yield batch.take(pa.array(new, pa.int32()))
+
+    texts = near.mapInArrow(once, "text string, lang string, h bigint, place bigint").dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy("place", "h")
+    return texts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("text", "lang")
 
 
 def learn_languages(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> LanguageModel:
     """Fit on rows (text, lang); rows without a language or without text are left out.
 
-    At most `sample` texts of each language, chosen by a hash of the text, are clustered; all
-    texts count in the document frequencies. The driver holds one vector per centroid. No
+    At most `sample` different texts of each language, chosen by a hash of the text, are clustered;
+    all texts count in the document frequencies. The driver holds one vector per centroid. No
     usable row gives a model that knows no language.
     """
     known = labelled.select("text", "lang").where(F.col("lang").isNotNull() & (F.col("text") != ""))

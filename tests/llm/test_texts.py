@@ -54,6 +54,18 @@ def test_language_awkward_rows(spark, languages):
     assert centroid_language.identify(empty(spark), model).count() == 0
 
 
+def test_language_sample_has_different_texts_despite_copies(spark):
+    few, many = [f"few {i}" for i in range(20)], [f"many {i}" for i in range(3000)]
+    rows = [(t, "aa") for t in few] + [(t, "bb") for t in many] + [(many[5], "cc")] * 3
+    rows += [(few[0], "aa")] * 30000 + [(t, "bb") for t in many[:10]] * 3000
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(8)
+    drawn = [(r.lang, r.text) for r in centroid_language.draw_sample(docs, 50).collect()]
+    assert len(set(drawn)) == len(drawn)
+    by = {lang: {t for k, t in drawn if k == lang} for lang in ("aa", "bb", "cc")}
+    assert by["aa"] == set(few) and len(by["bb"]) == 50 and by["bb"] <= set(many) and by["cc"] == {many[5]}
+    assert sorted(drawn) == sorted((r.lang, r.text) for r in centroid_language.draw_sample(docs.distinct(), 50).collect())
+
+
 def edit_distance(p, t):
     row, best = list(range(len(p) + 1)), len(p)
     for c in t:
