@@ -90,16 +90,24 @@ def size_class(counts: np.ndarray) -> int:
 
 
 def limits(texts: list[str], idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The greatest distance of texts and of their parts, by size; no less than that of larger ones."""
-    out = np.zeros(len(SIZES) + 1)
+    """The greatest distance of texts and of their parts, by size; no less than that of larger ones.
+
+    A size that no text has gets the limit of the next smaller one: larger texts are nearer.
+    """
+    out, seen = np.zeros(len(SIZES) + 1), np.zeros(len(SIZES) + 1, bool)
     for size in (None, *SIZES):
         for lo in range(0, len(texts), ROWS):
             parts = [t if size is None else t[(len(t) - size) // 2 :][: size + size // 4] for t in texts[lo : lo + ROWS] if size is None or len(t) > size]
             counted = [c for c, found in map(gram_counts, parts) if found]
             if counted:
                 far = 1 - (unit_rows(np.stack(counted), idf) @ centres.T).max(1)
-                np.maximum.at(out, [size_class(c) for c in counted], far)
+                sizes = [size_class(c) for c in counted]
+                np.maximum.at(out, sizes, far)
+                seen[sizes] = True
     out = np.minimum(np.maximum.accumulate(out[::-1])[::-1] * SLACK, 0.999)
+    for size in range(1, len(out)):
+        if not seen[size] and seen[:size].any():
+            out[size] = out[size - 1]
     out[0] = 2.0
     return out
 

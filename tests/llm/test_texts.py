@@ -54,6 +54,18 @@ def test_language_awkward_rows(spark, languages):
     assert centroid_language.identify(empty(spark), model).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 6, 40])
+def test_language_of_texts_longer_than_all_learned_ones(spark, n):
+    rnd = random.Random(5)
+    sounds = {"aa": ["ka", "to", "mi", "ra"], "bb": ["schl", "ung", "eit", "ver"]}
+    rows = [(speech(rnd, sounds[lang], n), lang) for lang in list(sounds) * 60]
+    model = centroid_language.learn_languages(spark.createDataFrame(rows, "text string, lang string"))
+    long = [speech(rnd, sounds[lang], words) for lang in sounds for words in (150, 700)]
+    langs, _, rejected = model.judge(long)
+    assert langs == ["aa", "aa", "bb", "bb"] and not rejected.any()
+    assert model.judge(["привет мир как дела сегодня " * 9])[2].all()
+
+
 def test_language_sample_has_different_texts_despite_copies(spark):
     few, many = [f"few {i}" for i in range(20)], [f"many {i}" for i in range(3000)]
     rows = [(t, "aa") for t in few] + [(t, "bb") for t in many] + [(many[5], "cc")] * 3
