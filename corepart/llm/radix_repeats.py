@@ -228,7 +228,7 @@ def sort_suffixes(group: np.ndarray, ids: np.ndarray, suffixes: np.ndarray) -> n
     return out
 
 
-def _compared(length: int):
+def _compared(length: int, seed_size: int = SEED):
     """Runs with their bytes, sorted by key, to the spans (id, h, lo, hi) that repeat."""
 
     def spans(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def _compared(length: int):
         begin = np.append(0, np.cumsum(n + length - 1))[:-1]
         found: list[np.ndarray] = []
         # A hot group is spread one place at a time: suffixes with the seed elsewhere differ.
-        steps = [None] if len(n) <= SORTED else range(int(n.max()))
+        steps = [None] if len(n) <= SORTED else range(length - seed_size + 1)
         seed = np.asarray(rows.column(6)).astype(np.int64)
         for step in steps:
             if step is None:
@@ -345,7 +345,7 @@ def repeated_spans(docs: DataFrame, store: Store, length: int = LENGTH, seed: in
     own = (F.col("i") == F.col("id")) & (F.col("g") == F.col("h"))
     cut = mixed.join(docs.dropDuplicates(["id", "h"]) if _repeated(docs) else docs, own).select("id", "h", "runs", "data")
     runs = cut.mapInArrow(_cutter(length, seed), CUT).repartition("key").sortWithinPartitions("key", "id")
-    compared = save_lean(store, runs.mapInArrow(_compared(length), "id bigint, h bigint, lo bigint, hi bigint"), "compared", ROWS)
+    compared = save_lean(store, runs.mapInArrow(_compared(length, seed), "id bigint, h bigint, lo bigint, hi bigint"), "compared", ROWS)
     whole = verdicts.where("whole").select("id", "h", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (length - 1)).alias("hi"))
     return whole.unionByName(compared)
 

@@ -136,6 +136,26 @@ def test_repeats_against_brute_force(spark, monkeypatch, small):
     radix_repeats._powers.cache_clear()
 
 
+@pytest.mark.parametrize("n", [2, 5, 25])
+def test_hot_seed_at_the_right_edge_of_its_runs(monkeypatch, n):
+    monkeypatch.setattr(radix_repeats, "SORTED", 2)  # one hot seed alone in its batch
+    rnd = random.Random(n)
+    common = rnd.randbytes(n + 49)
+    rows = []
+    for i in range(20):
+        left = rnd.randrange(min(n, 3))  # so many bytes differ from document to document
+        rows.append((7, i, 0, 100, n, rnd.randbytes(left) + common[left:], 26))
+    want, seen = set(), set()
+    for _, i, _, at, _, data, place in rows:
+        for j in range(n):
+            if 0 <= place - j <= 26 and data[j : j + 50] in seen:
+                want.add((i, at + j, at + j + 50))
+        seen |= {data[j : j + 50] for j in range(n)}
+    assert want
+    got = [r for b in radix_repeats._compared(50)(iter([radix_repeats._runs(rows)])) for r in b.to_pylist()]
+    assert {(r["id"], r["lo"], r["hi"]) for r in got} == want
+
+
 def test_repeats_awkward_rows(spark):
     docs = awkward(spark)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
