@@ -135,7 +135,14 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0]
+    """One batch of all rows; its strings have 64-bit offsets, since 2 GiB of text would be split."""
+    if len(parts) == 1:
+        return parts[0]
+    wide = {pa.string(): pa.large_string(), pa.binary(): pa.large_binary()}
+    rows = pa.Table.from_batches(parts)
+    rows = rows.cast(pa.schema([f.with_type(wide.get(f.type, f.type)) for f in rows.schema]))
+    (batch,) = rows.combine_chunks().to_batches()
+    return batch
 
 
 def likely_pairs(sig: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from helpers import DOCS, awkward, empty, jaccard_links, words
 from pyspark.sql import functions as F
@@ -88,6 +89,13 @@ def test_jaccard_join_awkward_rows(spark):
     assert jaccard_join.jaccard_join(empty(spark)).count() == 0
 
 
+def test_joined_units_have_wide_offsets():
+    parts = [pa.RecordBatch.from_pydict({"text": ["a", None], "data": [b"x", b"yy"], "n": [i, 2]}) for i in range(3)]
+    unit = jaccard_join._joined(parts)
+    assert unit.num_rows == 6 and unit.to_pylist() == [r for p in parts for r in p.to_pylist()]
+    assert unit.schema.types == [pa.large_string(), pa.large_binary(), pa.int64()]  # 2 GiB of text stay one batch
+
+
 def test_posterior_bounds():
     assert jaccard_join.fewest_matches(0.8, 1e-6) == tuple(sorted(jaccard_join.fewest_matches(0.8, 1e-6)))
     assert jaccard_join.fewest_matches(0.8, 0.5)[-1] > jaccard_join.fewest_matches(0.8, 1e-6)[-1]
