@@ -121,13 +121,13 @@ class TokenRollup:
         return True
 
     def totals(self) -> DataFrame:
-        """(source, lang, version, docs, tokens, chars); groups whose documents are all gone are left out."""
+        """(source, lang, version, docs, tokens, chars); groups whose sums are all 0 are left out."""
         schema = "source string, lang string, version string, docs bigint, tokens bigint, chars bigint"
         names = self._live()
         if not names:
             return self.store.spark.createDataFrame([], schema)
         rows = self.store.spark.read.schema(schema).parquet(*(self.store.path(f"batches/{n}") for n in names))
-        return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).where("docs <> 0 OR tokens <> 0")
+        return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).where("docs <> 0 OR tokens <> 0 OR chars <> 0")
 
     def _live(self) -> list[str]:
         """The latest snapshot, and the batches that it does not hold."""

@@ -173,6 +173,16 @@ def test_rollup_of_signed_batches(spark):
     assert token_rollup.contributions(empty(spark), "w", lambda: token_rollup.count_words).count() == 0
 
 
+def test_rollup_folds_a_revision_of_chars_before_its_arrival(spark):
+    rows = [("s1", "aa", "w", 1, 5, 10), ("s1", "aa", "w", 1, 5, 25)]
+    first, revised = (spark.createDataFrame([r], "source string, lang string, version string, docs bigint, tokens bigint, chars bigint") for r in rows)
+    rollup = token_rollup.TokenRollup(Store(spark, "test-fold"))
+    rollup.commit("2-revised", token_rollup.signed(first, revised))
+    rollup.compact()
+    rollup.commit("1-arrivals", token_rollup.signed(after=first))
+    assert [tuple(r) for r in rollup.totals().collect()] == rows[1:]
+
+
 def test_bpe_counts_of_pieces_are_those_of_the_whole():
     text = ("The  quick brown\n\nfox's 12 jumps — " + "été " * 3) * 50
     with open(token_rollup.VOCABULARY, "rb") as file:
