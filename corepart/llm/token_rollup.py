@@ -155,6 +155,7 @@ class TokenRollup:
 def op3_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Arrivals with provisional word counts, revised counts, a second tokenizer, repeats deleted.
 
+    What is returned are totals after exact dedup: of equal texts the greatest doc_id counts.
     A batch that is sent again changes nothing.
     """
     store = Store(spark, "token-rollup")
