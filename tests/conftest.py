@@ -3,6 +3,7 @@ import sys
 
 import pytest
 from pyspark.sql import SparkSession
+from toy import TOY
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -24,10 +25,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-TOY = [(1, 2), (1, 3), (1, 4), (2, 3), (4, 5), (5, 6), (4, 6), (6, 7), (7, 8), (8, 8), (1, 2)]
-TOY_LABELS = {1: 0, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2, 7: 1, 8: 2}
-
-
 @pytest.fixture(scope="session")
 def toy(spark):
     return spark.createDataFrame(TOY, "src bigint, dst bigint").cache()

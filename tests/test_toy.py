@@ -1,8 +1,8 @@
 """The hand-checked eight-vertex graph: degrees, seed, scores, proposals, routing."""
 
 import pytest
-from conftest import TOY_LABELS
 from pyspark.sql import functions as F
+from toy import TOY_LABELS
 
 from corepart.operators import graph, labels, route
 from corepart.plans import partition
