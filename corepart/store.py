@@ -38,7 +38,7 @@ class Store:
         self.root = path.rstrip("/") if path else f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, tag: str) -> str:
-        return f"{self.root}/{tag}"
+        return f"{self.root}/{tag}" if tag else self.root
 
     def save(self, df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
         writer = df.write.mode("overwrite")
@@ -62,6 +62,17 @@ class Store:
         fs, path, jvm = self._hadoop(tag)
         return fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
 
+    def names(self, tag: str = "") -> list[str]:
+        """The tables (folders) directly under `tag`."""
+        fs, path, _ = self._hadoop(tag)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def keep_only(self, *tags: str) -> None:
+        """Drop every table but these: what a finished job leaves is its result."""
+        for name in self.names():
+            if name not in tags:
+                self.drop(name)
+
     def drop(self, tag: str) -> None:
         fs, path, _ = self._hadoop(tag)
         fs.delete(path, True)
