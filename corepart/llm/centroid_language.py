@@ -10,14 +10,15 @@ and language were: short texts are farther from everything, so the limit depends
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corepart.llm.kept import kept
 from corepart.llm.registry import query, table
 
 PAIRS, TRIPLES = 1024, 4096
@@ -32,10 +33,9 @@ ROWS = 512  # texts in one matrix
 UNKNOWN = "und"
 
 
-@lru_cache(1)
 def _letters() -> np.ndarray:
     """True for the code points that are letters."""
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return kept("letters", lambda: np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
 
 
 def _low(hashed: np.ndarray, size: int) -> np.ndarray:
@@ -238,19 +238,20 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", name: st
     A null text and one without a letter are `und` with score 0 and are rejected. So is every
     text when no language was learned. Ties go to the first language in order of name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.langs, model.centres, model.radius))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = LanguageModel(*shared.value)
         for batch in batches:
-            langs, scores, rejected = shared.value.judge(batch.column("text").to_pylist())
+            langs, scores, rejected = model.judge(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)],
                 ["row", "lang_pred", "score", "rejected"],
             )
 
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(judge, f"row {kind}, lang_pred string, score double, rejected boolean")
+    schema = T.StructType([rows.schema["row"]]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    return rows.mapInArrow(judge, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -62,10 +62,25 @@ class DedupState:
             self.session.conf.set(key, value)
         self.session.conf.set("spark.sql.shuffle.partitions", partitions)
 
-    def absorb(self, arrivals: DataFrame) -> None:
-        """Add rows (digest, doc_id, file, row); a repeated run after a failure resumes its batch."""
-        arrivals.write.mode("append").parquet(self.store.path("arrivals"))
-        stream = self.session.readStream.schema(ARRIVAL).parquet(self.store.path("arrivals"))
+    def write_batch(self, arrivals: DataFrame, batch: str) -> None:
+        """Store the arrivals under the batch's name, once."""
+        if "/" in batch or not batch or batch[0] in "._":
+            raise ValueError(f"not a name for a batch: {batch!r}")
+        begun = self.store.names("arrivals")
+        open_ones = [b for b in begun if b != batch and not self.store.complete(f"arrivals/{b}")]
+        if open_ones:
+            raise ValueError(f"batch {open_ones[0]!r} was not written to its end: absorb it first")
+        if batch not in begun or not self.store.complete(f"arrivals/{batch}"):
+            arrivals.write.mode("overwrite").parquet(self.store.path(f"arrivals/{batch}"))
+
+    def absorb(self, arrivals: DataFrame, batch: str) -> None:
+        """Add rows (digest, doc_id, file, row) as the batch of this name.
+
+        A batch counts once: after a failure the same call goes on where it stopped, and a batch
+        that was absorbed to its end changes nothing.
+        """
+        self.write_batch(arrivals, batch)
+        stream = self.session.readStream.schema(ARRIVAL).option("recursiveFileLookup", "true").parquet(self.store.path("arrivals"))
         counted = stream.groupBy("digest").agg(
             F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "file", "row")).alias("keep")
         )
@@ -79,7 +94,7 @@ class DedupState:
         job.awaitTermination()
 
     def arrivals(self) -> DataFrame:
-        return self.store.spark.read.schema(ARRIVAL).parquet(self.store.path("arrivals"))
+        return self.store.spark.read.schema(ARRIVAL).option("recursiveFileLookup", "true").parquet(self.store.path("arrivals"))
 
     def table(self) -> DataFrame:
         """(digest, n, keep): keep is the greatest (doc_id, file, row); a null id is the least."""
@@ -97,7 +112,7 @@ def dedup_groups(rows: DataFrame, store: Store, digest=sha256) -> DataFrame:
     """
     state = DedupState(store)
     tagged = rows.select("doc_id", "text", "file", "row", digest(F.col("text")).alias("digest"))
-    state.absorb(tagged.select("digest", "doc_id", "file", "row"))
+    state.absorb(tagged.select("digest", "doc_id", "file", "row"), "all")
     known = store.save(state.table(), "known")
     single = state.arrivals().join(known.where("n = 1"), "digest")
     hits = store.save(tagged.join(known.where("n > 1").select("digest", "keep"), "digest"), "hits")

@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corepart.llm import shingles
+from corepart.llm.kept import kept
 from corepart.llm.registry import query, table
 from corepart.llm.saving import save_lean
 from corepart.operators.graph import components
@@ -41,21 +41,24 @@ MULTIPLIERS = shingles.mix(np.arange(5001, 5001 + HASHES, dtype=np.uint64)) | np
 OFFSETS = shingles.mix(np.arange(9001, 9001 + HASHES, dtype=np.uint64))
 
 
-@lru_cache(8)
 def fewest_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     """For each step, the matches below which a pair is dropped.
 
     With a uniform prior the similarity after m matches of n is Beta(m + 1, n - m + 1), whose
     mass above t is the binomial probability of at most m successes in n + 1 trials.
     """
-    out = []
-    for n in range(STEP, HASHES + 1, STEP):
-        mass, m = 0.0, -1
-        while mass < tolerance:
-            m += 1
-            mass += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
-        out.append(m)
-    return tuple(out)
+
+    def make() -> tuple[int, ...]:
+        out = []
+        for n in range(STEP, HASHES + 1, STEP):
+            mass, m = 0.0, -1
+            while mass < tolerance:
+                m += 1
+                mass += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+            out.append(m)
+        return tuple(out)
+
+    return kept(("fewest", threshold, tolerance), make)
 
 
 def minhashes(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -9,15 +9,17 @@ names a place, where Myers' bit-parallel distance decides.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corepart.llm.kept import kept
 from corepart.llm.registry import query, table
 
 ERROR_RATE = 0.05
@@ -113,13 +115,14 @@ def _whole(body: str, lo: int, hi: int) -> bool:
     return not (lo and body[lo - 1] != " ") and not (hi < len(body) and body[hi] != " ")
 
 
-@lru_cache(2)
-def _matcher(items: tuple[str, ...], error_rate: float) -> LeakMatcher:
-    return LeakMatcher(list(items), error_rate)
+def _matcher(block: tuple, error_rate: float) -> LeakMatcher:
+    """The matcher of a block of items; a worker keeps it for the tasks on the same block."""
+    _, texts, name = block
+    return kept(("matcher", name, error_rate), lambda: LeakMatcher(list(texts), error_rate))
 
 
 def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[Broadcast]:
-    """The distinct items as broadcasts of bounded size, of (ids, texts), one after the other.
+    """The distinct items as broadcasts of bounded size, of (ids, texts, a name), one after the other.
 
     The driver holds one block at a time. Items without letter and digit are left out.
     """
@@ -130,13 +133,13 @@ def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[Broadcast
         if not normal(row.text):
             continue
         if ids and size + len(row.text) > BLOCK_CHARS:
-            yield context.broadcast((tuple(ids), tuple(texts)))
+            yield context.broadcast((tuple(ids), tuple(texts), uuid.uuid4().hex))
             ids, texts, size = [], [], 0
         ids.append(row.item_id)
         texts.append(row.text)
         size += len(row.text)
     if ids:
-        yield context.broadcast((tuple(ids), tuple(texts)))
+        yield context.broadcast((tuple(ids), tuple(texts), uuid.uuid4().hex))
 
 
 def leaks(
@@ -158,8 +161,7 @@ def leaks(
     for block in item_blocks(items, item_id, "text"):
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ids, texts = block.value
-            matcher = _matcher(texts, error_rate)
+            ids, matcher = block.value[0], _matcher(block.value, error_rate)
             for batch in batches:
                 found = [
                     (doc, ids[n], distance, matcher.edits[n])
@@ -180,11 +182,11 @@ def leaks(
 def without_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """The rows of `docs`, all columns, that hold no item."""
     out = docs.select(F.struct("*").alias("doc"), "text")
-    kind = f"doc {out.schema['doc'].dataType.simpleString()}, text string"
+    kind = T.StructType([out.schema["doc"]]).add("text", "string")
     for block in item_blocks(items, "item_id", "text"):
 
         def sift(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(block.value[1], error_rate)
+            matcher = _matcher(block.value, error_rate)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column("text")], pa.bool_()))
 

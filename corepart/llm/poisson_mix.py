@@ -117,6 +117,21 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, epochs: float
     return replicate(docs, rates, seed)
 
 
+def spread(mixed: DataFrame) -> DataFrame:
+    """The documents' own columns, then copy_no and shuffle_key.
+
+    Where a document has a column of that name already, in any case, the added one gets a
+    number: copy_no_2, copy_no_3, ...
+    """
+    taken = {f.name.lower() for f in mixed.schema["row"].dataType.fields}
+
+    def free(name: str) -> str:
+        names = [name, *(f"{name}_{k}" for k in range(2, len(taken) + 3))]
+        return next(n for n in names if n not in taken)
+
+    return mixed.select("row.*", *(F.col(c).alias(free(c)) for c in ("copy_no", "shuffle_key")))
+
+
 SQL = """
 WITH sizes AS (
   SELECT source, coalesce(sum(length(text)), 0)::BIGINT AS size FROM {docs} GROUP BY source),
@@ -145,4 +160,4 @@ FROM {docs} d JOIN (SELECT doc_id, unnest(range(1, n + 1)) AS copy_no FROM count
 @query("op2_poisson_mix", SQL.format(docs="documents"))
 def op2_poisson_mix(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents, repeated to weights that grow with the square root of a source's size."""
-    return mix_sources(table(spark, sf, "documents")).select("row.*", "copy_no", "shuffle_key")
+    return spread(mix_sources(table(spark, sf, "documents")))

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from corepart.llm.jaccard_join import _joined
 from corepart.llm.registry import query, table
 from corepart.llm.saving import save_lean
-from corepart.llm.shingles import BASE, BYTE, mix
+from corepart.llm.shingles import BYTE, _powers, mix
 from corepart.store import Store
 
 LENGTH = 50
@@ -44,23 +43,13 @@ LOW = np.uint64((1 << 20) - 1)
 RUN = np.dtype([("key", "u1", 6), ("run", "u1", 6), ("doc", "<u4"), ("at", "<u4"), ("n", "u1")])
 
 
-@lru_cache(1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        steps = np.full(PIECE + LENGTH + 1, base, np.uint64)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
-
-
 def suffix_runs(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> Iterator[tuple[np.ndarray, ...]]:
     """(key, run, at, n) arrays for the suffixes of a text, piece by piece.
 
     Suffixes at .. at + n - 1 share digit 0 `key`; `run` hashes all bytes they reach and where
     in them the key's substring is.
     """
-    power, inverse = _powers()
+    power, inverse = _powers(PIECE + LENGTH + 1)
     wide = length - seed + 1
     for lo in range(0, len(data) - length + 1, PIECE):
         part = data[lo : lo + PIECE + length - 1]
@@ -284,7 +273,7 @@ def _cutter(length: int, seed: int):
     """(runs, text) of a document to one row per run with its bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power, inverse = _powers()
+        power, inverse = _powers(PIECE + LENGTH + 1)
         for batch in batches:
             out: list[tuple] = []
             for i, h, runs, text in zip(*batch.columns, strict=True):

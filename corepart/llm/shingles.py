@@ -9,12 +9,13 @@ words, so they are the same in every task and run.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from corepart.llm.kept import kept
+
 SIZE = 5
 SLICE = 1 << 20  # bytes of text hashed at once
 WORD = np.zeros(256, bool)
@@ -33,15 +34,18 @@ WEIGHTS = mix(np.arange(1001, 1001 + SIZE, dtype=np.uint64)) | np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 
 
-@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and BASE ** -i modulo 2 ** 64 for i < n."""
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        steps = np.full(n, base, np.uint64)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
+
+    def make() -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            out.append(np.multiply.accumulate(steps))
+        return out[0], out[1]
+
+    return kept(("powers", n), make)
 
 
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -11,13 +11,13 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corepart.llm.kept import kept
 from corepart.llm.registry import query, table
 from corepart.store import Store
 
@@ -39,10 +39,12 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
-@lru_cache(2)
 def _encoding(ranks: bytes) -> tiktoken.Encoding:
-    by_token = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
-    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=by_token, special_tokens={})
+    def make() -> tiktoken.Encoding:
+        by_token = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+        return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=by_token, special_tokens={})
+
+    return kept(("encoding", ranks), make)
 
 
 def count_words(text: str) -> int:
@@ -50,7 +52,8 @@ def count_words(text: str) -> int:
 
 
 def bpe_counter(ranks: bytes) -> Callable[[str], int]:
-    return lambda text: sum(len(_encoding(ranks).encode_ordinary(piece)) for piece in pieces(text))
+    encoding = _encoding(ranks)
+    return lambda text: sum(len(encoding.encode_ordinary(piece)) for piece in pieces(text))
 
 
 def contributions(docs: DataFrame, version: str, counter: Callable[[], Callable[[str], int]]) -> DataFrame:

@@ -150,6 +150,15 @@ class Chain:
             out[:, at] = used.probability(ids, offsets, out[:, :at])
         return out
 
+    def plain(self) -> tuple:
+        """Lists and arrays only: what workers can read that don't have this class."""
+        return self.categories, [(m.weights, m.chain) for m in self.models], [[(m.weights, m.chain) for m in f] for f in self.fold_models]
+
+    @staticmethod
+    def of(plain: tuple) -> Chain:
+        categories, models, folds = plain
+        return Chain(categories, [Linear(*m) for m in models], [[Linear(*m) for m in f] for f in folds])
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text, one column of 0 or 1 per category): at most `sample` labelled documents.
@@ -182,7 +191,7 @@ def train_chain(sample: DataFrame, categories: list[str], store: Store, folds: i
     models = F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda k: k != F.col("fold"))
     for category in categories:
         dealt = rows.select("doc_id", category, "ids", "fold", F.explode(models).alias("model"))
-        fit = _fitting(category, sample.sparkSession.sparkContext.broadcast(chain))
+        fit = _fitting(category, sample.sparkSession.sparkContext.broadcast(chain.plain()))
         found = dealt.groupBy("model").applyInPandas(fit, "model int, weights binary, chain binary").collect()
         fitted = {r.model: Linear(np.frombuffer(r.weights, np.float32), np.frombuffer(r.chain, np.float64)) for r in found}
         none = Linear(np.zeros(FEATURES, np.float32), np.zeros(len(chain.models)))
@@ -195,13 +204,13 @@ def _fitting(category: str, known: Broadcast):
     """The fit of one model on its rows; `known` is the chain up to this category."""
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id", kind="stable")
+        group, chain = group.sort_values("doc_id", kind="stable"), Chain.of(known.value)
         ids = list(group["ids"])
-        before = np.zeros((len(ids), len(known.value.models)))
+        before = np.zeros((len(ids), len(chain.models)))
         for k in group["fold"].unique():  # out-of-fold probabilities of the categories before
             at = np.flatnonzero(group["fold"] == k)
             offsets = np.append(0, np.cumsum([len(ids[i]) for i in at]))
-            before[at] = known.value.predict(np.concatenate([ids[i] for i in at]), offsets, int(k))
+            before[at] = chain.predict(np.concatenate([ids[i] for i in at]), offsets, int(k))
         model = fit_linear(ids, before, group[category].to_numpy())
         return pd.DataFrame(
             {"model": group["model"].iloc[:1], "weights": [model.weights.tobytes()], "chain": [model.chain.tobytes()]}
@@ -215,13 +224,14 @@ def predict_chain(docs: DataFrame, chain: Chain) -> DataFrame:
 
     A null text and an empty one have feature 0 only. Repeated rows are repeated.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Chain(chain.categories, chain.models))
+    shared = docs.sparkSession.sparkContext.broadcast(Chain(chain.categories, chain.models).plain())
     names = [f"p_{c}" for c in chain.categories]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = Chain.of(shared.value)
         for batch in batches:
             for lo, hi, ids, offsets in features(batch.column("text")):
-                found = shared.value.predict(ids, offsets)
+                found = chain.predict(ids, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), *(pa.array(c) for c in found.T)], ["doc_id", *names]
                 )

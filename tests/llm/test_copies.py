@@ -1,6 +1,7 @@
 """Exact deduplication, the shingle join and repeated strings."""
 
 import hashlib
+import os
 import random
 
 import pyarrow as pa
@@ -34,16 +35,30 @@ def test_exact_dedup_tells_colliding_digests_apart(spark):
     assert got == {(i, 8, 35 + i % 5) for i in range(40)}
 
 
+def arrived(spark, lo, hi):
+    digest = F.encode(F.lit("a"), "utf-8").alias("digest")
+    return spark.range(lo, hi).select(digest, F.col("id").alias("doc_id"), F.lit("f").alias("file"), F.col("id").alias("row"))
+
+
 def test_exact_dedup_state_continues(spark):
     state = exact_dedup.DedupState(Store(spark, "test-state"))
     for lo, hi in ((0, 3), (2, 6)):
-        state.absorb(
-            spark.range(lo, hi).select(
-                F.encode(F.lit("a"), "utf-8").alias("digest"), F.col("id").alias("doc_id"), F.lit("f").alias("file"), F.col("id").alias("row")
-            )
-        )
+        state.absorb(arrived(spark, lo, hi), f"from-{lo}")
     (row,) = state.table().collect()
     assert (row.n, row.keep.doc_id) == (7, 5)
+    state.absorb(arrived(spark, 2, 6), "from-2")
+    assert state.table().first().n == 7 and state.arrivals().count() == 7
+
+
+def test_exact_dedup_batch_that_died_counts_once(spark):
+    state = exact_dedup.DedupState(Store(spark, "test-dead"))
+    state.write_batch(arrived(spark, 0, 3), "first")  # and no stream after it
+    state.absorb(arrived(spark, 0, 3), "first")
+    assert state.table().first().n == 3
+    spark.range(1).write.parquet(state.store.path("arrivals/torn"))
+    os.remove(state.store.path("arrivals/torn").removeprefix("file:") + "/_SUCCESS")
+    with pytest.raises(ValueError, match="torn"):
+        state.absorb(arrived(spark, 5, 6), "later")
 
 
 def test_exact_dedup_empty_and_kept_columns(spark):
@@ -131,7 +146,6 @@ def test_repeats_against_brute_force(spark, monkeypatch, small):
     if small:  # pieces, hot groups and buckets that split
         monkeypatch.setattr(radix_repeats, "PIECE", 64)
         monkeypatch.setattr(radix_repeats, "SORTED", 8)
-        radix_repeats._powers.cache_clear()
     rnd = random.Random(7)
     passages = ["".join(rnd.choice("abcd é") for _ in range(n)) for n in (49, 50, 51, 120, 300)]
     rows = []
@@ -141,7 +155,6 @@ def test_repeats_against_brute_force(spark, monkeypatch, small):
     rows += [(100, None), (101, ""), (102, "a" * 400), (103, "a" * 60), (104, "x" + "a" * 49)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert repeats(docs) == sorted(brute_repeats(rows))
-    radix_repeats._powers.cache_clear()
 
 
 @pytest.mark.parametrize("n", [2, 5, 25])

@@ -234,7 +234,32 @@ def test_mixing_counts_are_poisson(spark):
 def test_mixing_awkward_rows(spark):
     docs = awkward(spark)
     out = poisson_mix.mix_sources(docs, epochs=3.0)
-    assert out.select("row.*").columns == docs.columns and out.count() > 0
+    assert out.select("row.*").columns == docs.columns
+    copies = {}
+    for r in out.collect():
+        copies.setdefault((r.row.doc_id, r.row.text), []).append(r.copy_no)
+    assert {k[0] for k in copies} >= {3, None}  # null source and null id are drawn like others
+    assert any(r.row.source is None for r in out.collect())
+    # equal rows draw alike: the repeated document comes twice as often as each of its rows
+    twice = sorted(copies[3, words(0, 39) + " other"])
+    assert twice[::2] == twice[1::2] == list(range(1, len(twice) // 2 + 1))
+
+
+def test_columns_with_clashing_or_odd_names(spark, languages):
+    docs = spark.createDataFrame(
+        [(1, "kato mira tomi rama", "aa", "s", 9, 5, "k", 1.5)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint, Copy_No int, shuffle_key string, `my col` double",
+    )
+    mixed = poisson_mix.spread(poisson_mix.mix_sources(docs, epochs=9.0))
+    assert mixed.columns == [*docs.columns, "copy_no_2", "shuffle_key_2"] and mixed.first()["my col"] == 1.5
+    model = centroid_language.learn_languages(languages[1])
+    assert centroid_language.identify(docs, model).select("row.*").first()["my col"] == 1.5
+    items = spark.createDataFrame([(1, "something else entirely, not in any document")], "item_id bigint, text string")
+    assert leak_match.without_leaks(docs, items).first()["my col"] == 1.5
+
+
+def test_mixing_empty_tables(spark):
+    docs = awkward(spark)
     assert poisson_mix.mix_sources(empty(spark)).count() == 0
     nothing = poisson_mix.mix_sources(docs, empty(spark, "source string, weight double"))
     assert nothing.count() == 0
