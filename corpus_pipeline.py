@@ -13,7 +13,7 @@ from corepart.llm.centroid_language import held_out, identify, learn_languages
 from corepart.llm.exact_dedup import keep_one
 from corepart.llm.jaccard_join import keep_one_of_each
 from corepart.llm.leak_match import without_leaks
-from corepart.llm.poisson_mix import mix_sources
+from corepart.llm.poisson_mix import mix_sources, spread
 from corepart.llm.registry import table
 from corepart.llm.saving import save_lean
 from corepart.store import Store
@@ -26,23 +26,37 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the greatest doc_id stays. Stages are given a scan of Parquet files."""
+    """Of equal texts the greatest doc_id stays. Stages are given a scan of Parquet files.
+
+    A null text equals an empty one; a null id is the least; of rows with one id and text one stays.
+    """
     return keep_one(docs, from_files=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that links of 0.8 or more connect, the least doc_id stays."""
+    """Of texts that links of 0.8 or more connect, the least doc_id stays.
+
+    Texts without a word (null, empty, marks only) are linked to none but their equals.
+    """
     return keep_one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, up to its edits, go."""
+    """Documents that hold a benchmark item, up to its edits, go.
+
+    Null and empty documents and items match nothing; repeated rows are judged alike.
+    """
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to weights that grow with the square root of a source's size."""
-    return mix_sources(docs).select("row.*", "copy_no", "shuffle_key")
+    """Documents repeated to weights that grow with the square root of a source's size.
+
+    A null source is a source of its own; null and empty texts have no size, and sources of such
+    texts alone go. Repeated rows are repeated alike, a null id draws by its text. Columns named
+    like the added copy_no or shuffle_key stay, and the added one gets a number.
+    """
+    return spread(mix_sources(docs))
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("decontaminate", decontaminate), ("mix", mix)]
