@@ -7,6 +7,7 @@ from corepart.llm import (  # noqa: F401
     exact_dedup,
     jaccard_join,
     leak_match,
+    max_sketches,
     poisson_mix,
     radix_repeats,
     token_rollup,
