@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from corepart.llm import (  # noqa: F401
     centroid_language,
+    euler_tour,
     exact_dedup,
     jaccard_join,
     leak_match,
+    learned_partitions,
     max_sketches,
     poisson_mix,
     radix_repeats,
