@@ -155,18 +155,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def fit_sample(vectors: DataFrame, parts: int, sample: int, cover: float) -> tuple[np.ndarray, float] | None:
+def fit_sample(vectors: DataFrame, parts: int, sample: int, cover: float) -> tuple[np.ndarray, float]:
     """Router and mass, fitted in one task on at most `sample` vectors chosen by a hash of the id."""
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(batches)
-        if len(rows):
-            router, mass = learn_parts(np.stack(rows["vec"].to_numpy()).astype(float), parts, cover)
-            yield pd.DataFrame({"n": [router.shape[1]], "router": [router.ravel()], "mass": [mass]})
+        router, mass = learn_parts(np.stack(rows["vec"].to_numpy()).astype(float), parts, cover)
+        yield pd.DataFrame({"n": [router.shape[1]], "router": [router.ravel()], "mass": [mass]})
 
     found = chosen.repartition(1).mapInPandas(fit, "n int, router array<double>, mass double").first()
-    return None if found is None else (np.array(found.router).reshape(-1, found.n), found.mass)
+    return np.array(found.router).reshape(-1, found.n), found.mass
 
 
 def placed(vectors: DataFrame, router: np.ndarray) -> DataFrame:
@@ -261,13 +260,12 @@ def nearest(
     store = Store(vectors.sparkSession, "learned-partitions")
     good = save_lean(store, usable(vectors), "vectors")
     n = good.count()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if parts is None:  # parts grow with the root of the table, so that scans do too
         parts = int(round(n**0.5 / 4))
     parts = max(1, min(parts, PARTS, min(sample, n) // PER_PART))
-    fitted = fit_sample(good, parts, sample, cover)
-    if fitted is None:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    router, mass = fitted
+    router, mass = fit_sample(good, parts, sample, cover)
     index = save_lean(store, placed(good, router), "index")
     asked = usable(queries).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     asks = save_lean(store, routed(asked, router, mass, least), "asks")
