@@ -303,8 +303,12 @@ DOT = "list_dot_product(a.feat::DOUBLE[], b.feat::DOUBLE[])"
 @query(
     "edge_scores",
     with_(
-        *NEXT, SQL_FEAT,
-        select=f"SELECT e.src, e.dst, {sql_round(DOT)} AS score FROM e JOIN feat a ON a.id = src JOIN feat b ON b.id = dst",
+        edges_(SQL_NEXT), NEXT_SET,
+        ("x", "SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings"),
+        ("n", "SELECT count(*) AS n FROM embeddings"),
+        ("ends", "SELECT src, dst, src % n AS a, dst % n AS b FROM es, n"),
+        ("sc", "SELECT src, dst, sum(p.x * q.x) AS z FROM ends JOIN x p ON p.vec_id = a JOIN x q ON q.vec_id = b AND q.i = p.i GROUP BY src, dst"),
+        select=f"SELECT e.src, e.dst, {sql_round('z')} AS score FROM e JOIN sc ON e.src = sc.src AND e.dst = sc.dst",
     ),
 )
 def edge_scores(spark, sf):
@@ -389,10 +393,40 @@ def skip_gram_step(spark, sf):
     e = walks.part_edges_clean(routed_next(spark, sf))
     pairs = e.select("part", F.concat_ws(":", "src", "dst").alias("pair"), "src", "dst")
     start = F.array(*(draw("part", "role", "id", F.lit(i), salt=f"{SEED}:start") - F.lit(0.5) for i in range(4)))
-    out = embed.skip_gram(pairs, e, dim=4, steps_per_epoch=1, seed=SEED, uniform=True, start=start)
+    out = embed.skip_gram(pairs, e, dim=4, batch_size=10**9, seed=SEED, uniform=True, start=start)
     return values(out, ["part", "id"], "vec")
 
 
+BASKET = ("bk", SQL_BASKET)
+
+
+@query(
+    "embed_learns",
+    with_(BASKET, select="SELECT 1 AS part, count(*) AS n_pairs, true AS learned FROM bk"),
+)
+def embed_learns(spark, sf):
+    """Skip-gram on all pairs of the basket graph, in steps of the given batch size: pairs score above drawn ones.
+
+    Four buckets of vertices rotate; `learned` asks for a true pair to beat a drawn one in 55 of 100 cases: baskets are nearly random.
+    """
+    store = Store(spark, "embed-learns")
+    e = store.save(g_basket(spark, sf).withColumn("part", F.lit(1)), "pairs")
+    pairs = e.select("part", F.concat_ws(":", "src", "dst").alias("pair"), "src", "dst")
+    n = e.select(F.explode(F.array("src", "dst"))).distinct().count()
+    size = -(-n // 4) * DIM * 8 * 3
+    options = {"dim": DIM, "lr": 0.05, "epochs": 3, "batch_size": 200, "seed": SEED, "init_scale": 0.3, "bucket_bytes": size}
+    emb = store.save(embed.skip_gram(pairs, e, **options), "vectors").select("id", F.col("vec").alias("feat"))
+    drawn = walks.negative_pairs(pairs, e, 1, SEED + 99, key=("pair",), by=("part",), uniform=True)
+    drawn = drawn.select("pair", F.lit(0).alias("src"), F.col("neg_dst").alias("dst")).drop("src")
+    both = pairs.join(drawn.withColumnRenamed("dst", "other"), "pair").where(F.col("other") != F.col("src"))
+    hubs = find_hubs(e)
+    true = sage.edge_scores(both.select("src", "dst").distinct(), emb, hubs)
+    false = sage.edge_scores(both.select("src", F.col("other").alias("dst")).distinct(), emb, hubs).withColumnsRenamed({"dst": "other", "score": "low"})
+    judged = both.join(true, ["src", "dst"]).join(false, ["src", "other"])
+    won = judged.agg(F.avg((F.col("score") > F.col("low")).cast("double"))).first()[0]
+    return e.groupBy("part").agg(F.count(F.lit(1)).alias("n_pairs")).withColumn("learned", F.lit(won > 0.55))
+
+
 LINES = ("ln", "SELECT part, src, dst, row_number() OVER (PARTITION BY part, src, dst) AS line FROM routed")
 KEPT = ("kept", f"SELECT part, src, dst FROM ln WHERE {sql_draw('part', 'src', 'dst', 'line', salt=f'{SEED}:sample')} < 0.5")
 

@@ -6,6 +6,8 @@ small row per partition carries the offsets. No partition sees more than its ran
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,11 +57,11 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str = "upto"
 
     def accumulate(batches):
         done = 0
-        for pdf in batches:
-            local = done + pdf["_value"].cumsum()
+        for batch in batches:
+            local = done + np.cumsum(np.asarray(batch.column("_value")))
             if len(local):
-                done = int(local.iloc[-1])
-            yield pdf.assign(_local=local.astype("int64"))
+                done = int(local[-1])
+            yield batch.append_column("_local", pa.array(local, pa.int64()))
 
     sorted_rows = (
         df.repartitionByRange(*order)
@@ -67,7 +69,7 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str = "upto"
         .withColumns({"_pid": F.spark_partition_id(), "_value": F.coalesce(F.col(value).cast("bigint"), F.lit(0))})
     )
     schema = T.StructType([*sorted_rows.schema.fields, T.StructField("_local", T.LongType())])
-    stored = store.save(sorted_rows.mapInPandas(accumulate, schema), "rows")
+    stored = store.save(sorted_rows.mapInArrow(accumulate, schema), "rows")
     return _add_offsets(stored, "_local", F.sum("_value"), out).drop("_value")
 
 

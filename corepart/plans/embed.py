@@ -6,25 +6,23 @@ written once per epoch, so an interrupted run continues after its last finished
 
 from __future__ import annotations
 
-import hashlib
+import json
 import time
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from corepart.functions import dot, fast_normal
-from corepart.operators import align, sage, walks
+from corepart.functions import fast_normal
+from corepart.operators import align, buckets, sage, walks
 from corepart.operators.graph import edge_sample
-from corepart.operators.skew import Hubs, find_hubs, lookup
-from corepart.operators.sums import vector_sum
+from corepart.operators.skew import Hubs, find_hubs
 from corepart.sources import format_embeddings
 from corepart.store import Store
 
-BETA1, BETA2, EPS = 0.9, 0.999, 1e-8  # the usual Adam constants
-STEPS = 16  # most steps of an epoch, each a pass over the vectors or blocks
+SYNCS = 8  # averages of the graph layers' weights per epoch, at most
+SHARD_BATCHES = 4  # batches of a shard, whose vertex blocks one task holds
 
 
 def last_epoch(store: Store, epochs: int) -> int:
@@ -33,38 +31,29 @@ def last_epoch(store: Store, epochs: int) -> int:
     return max(done, default=-1)
 
 
-def batch_count(pairs: DataFrame, batch_size: int, most: int) -> int:
-    """Steps per epoch: parts step together, so the largest part decides.
+def begin_run(state: Store, pairs: DataFrame, epochs: int, **settings) -> int:
+    """The last finished epoch of the run in this folder, or -1 for a new one, which is then recorded.
 
-    A step reads and writes the vectors (or blocks) once, so an epoch has at most `most` steps,
-    whatever the number of pairs; beyond that the batches grow.
+    The record holds the settings and a fingerprint of the pairs (their number and an order-free
+    sum of hashes). A folder that holds another run's state is refused.
     """
-    n = pairs.groupBy("part").count().agg(F.max("count")).first()[0] or 0
-    return min(max(1, -(-n // batch_size)), most)
-
-
-def mask_seed(*numbers: int) -> int:
-    """One seed from (seed, epoch, step), another one for each."""
-    return int.from_bytes(hashlib.md5(":".join(map(str, numbers)).encode()).digest()[:6], "big")
-
-
-def by_step(rows: DataFrame) -> DataFrame:
-    """Rows in order of their step, so that a step's read skips the others' row groups."""
-    return rows.repartitionByRange("step", "part", "pair").sortWithinPartitions("step")
+    ends = F.xxhash64("part", "pair", "src", "dst").cast("decimal(20,0)")
+    n, total = pairs.agg(F.count(F.lit(1)), F.sum(ends)).first()
+    own = json.dumps({**settings, "pairs": n, "fingerprint": str(total)}, sort_keys=True)
+    if state.complete("run"):
+        (held,) = state.read("run").collect()
+        if held.run != own:
+            raise ValueError(f"the state in {state.root} is of another run: {held.run}, this one is {own}")
+    else:
+        if any(name.startswith("epoch=") for name in state.names()):
+            raise ValueError(f"the state in {state.root} does not say of which run it is")
+        state.save(pairs.sparkSession.createDataFrame([(own,)], "run string"), "run")
+    return last_epoch(state, epochs)
 
 
 # --- skip-gram with distributed vectors ---------------------------------------------
 
 
-def _adam(g, m, v, step: int, lr: float):
-    """(m, v, change) array columns of one Adam step."""
-    m2 = F.zip_with(m, g, lambda a, b: a * BETA1 + b * (1 - BETA1))
-    v2 = F.zip_with(v, g, lambda a, b: a * BETA2 + b * b * (1 - BETA2))
-    c1, c2 = 1 - BETA1**step, 1 - BETA2**step
-    change = F.zip_with(m2, v2, lambda a, b: a / F.lit(c1) / (F.sqrt(b / F.lit(c2)) + F.lit(EPS)) * F.lit(lr))
-    return m2, v2, change
-
-
 def skip_gram(
     pairs: DataFrame,
     edges: DataFrame,
@@ -72,93 +61,59 @@ def skip_gram(
     lr: float = 0.01,
     epochs: int = 1,
     batch_size: int = 2000,
-    steps_per_epoch: int = STEPS,
     negatives: int = 1,
     two_tables: bool = False,
     init_scale: float = 1.0,
     seed: int = 0,
     state_path: str | None = None,
-    hubs: Hubs | None = None,
     uniform: bool = False,
     start: Column | None = None,
+    bucket_bytes: int = buckets.BUCKET_BYTES,
+    slot: int = buckets.SLOT,
 ) -> DataFrame:
     """(part, id, vec): vectors whose dot products tell true pairs from random ones.
 
     `pairs(part, pair, src, dst)`, `pair` unique per part; negatives are drawn from `edges`.
-    The vectors are a table keyed by (part, role, id), never on the driver: each step joins a
-    hash bucket of the pairs with them, sums gradients per vector and applies Adam to the
-    touched ones. With `two_tables` targets have vectors of their own (role 1). Negatives are
-    drawn by in-degree, or with `uniform` from all vertices of the part. `start` is an array
-    column over (part, role, id) to begin with instead of normal numbers.
+    The vectors are a table keyed by (part, role, id), never on the driver. An epoch is one pass over
+    the examples in steps of `batch_size` pairs with their negatives, however many there are, by rotating bucket pairs
+    (`operators.buckets`): a part whose vectors fit one bucket takes them one after the other,
+    larger parts train disjoint pairs of buckets at the same time. With `two_tables` targets have
+    vectors of their own (role 1). Negatives are drawn by in-degree, or with `uniform` from all
+    vertices of the part. `start` is an array column over (part, role, id) to begin with instead
+    of normal numbers.
     """
     spark = pairs.sparkSession
     work = Store(spark, "skip-gram")
     state = Store(spark, "skip-gram-state", state_path)
-    hubs = find_hubs(pairs) if hubs is None else hubs
     target = 1 if two_tables else 0
-    batches = batch_count(pairs, batch_size, steps_per_epoch)
-    bucket = F.pmod(F.xxhash64("part", "pair", F.lit(seed)), F.lit(batches).cast("bigint")).cast("int")
-
-    first = last_epoch(state, epochs)
+    first = begin_run(state, pairs, epochs, seed=seed, dim=dim, batch_size=batch_size, negatives=negatives, method="skip-gram")
     if first >= 0:
         table = state.read(f"epoch={first}")
     else:
-        ids = walks.part_vertices(edges.unionByName(pairs.select("part", "src", "dst")))
+        ids = walks.part_vertices(edges.select("part", "src", "dst").unionByName(pairs.select("part", "src", "dst")))
         ids = ids.select("part", F.explode(F.array(*map(F.lit, range(target + 1)))).alias("role"), "id")
         zero = F.array_repeat(F.lit(0.0), dim)
         if start is None:
             start = fast_normal("part", "role", "id", salt=f"{seed}:start", dim=dim, scale=init_scale)
-        table = work.save(
-            ids.select("part", "role", "id", start.alias("vec"), zero.alias("m"), zero.alias("v")), "table"
-        )
-    for epoch in range(first + 1, epochs):
+        blank = (zero.alias("m"), zero.alias("v"), F.lit(0).cast("bigint").alias("t"))
+        table = work.save(ids.select(F.col("part").cast("int"), "role", "id", start.alias("vec"), *blank), "table")
+    counts = buckets.bucket_counts(table, dim, bucket_bytes)
+    rounds = max(counts.values(), default=0)
+    for epoch in range(first + 1, epochs if counts else 0):
         neg = walks.negative_pairs(pairs, edges, negatives, seed + epoch, key=("pair",), by=("part",), uniform=uniform)
-        rows = (
-            pairs.select("part", "pair", "src", "dst", F.lit(1.0).alias("y"))
-            .unionByName(neg.select("part", "pair", "src", F.col("neg_dst").alias("dst"), F.lit(0.0).alias("y")))
-            .withColumn("step", bucket)
+        place = F.xxhash64("part", "pair", F.lit(f"{seed}:{epoch}"))
+        rows = pairs.select(F.col("part").cast("int"), place.alias("ord"), "src", "dst", F.lit(1.0).alias("y")).unionByName(
+            neg.select(F.col("part").cast("int"), place.alias("ord"), "src", F.col("neg_dst").alias("dst"), F.lit(0.0).alias("y"))
         )
-        rows = work.save(by_step(rows), f"rows-{epoch}")
-        # at most parts x steps_per_epoch rows
-        sizes = {(r.part, r.step): r.n for r in pairs.groupBy("part", bucket.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        for b in range(batches):
-            t = epoch * batches + b + 1
-            batch = rows.where(F.col("step") == b)
-            ends = table.select("part", "role", "id", "vec")
-            a = ends.where("role = 0").select("part", "id", F.col("vec").alias("a"))
-            c = ends.where(F.col("role") == target).select("part", "id", F.col("vec").alias("c"))
-            x = lookup(batch, "src", a, hubs, ("pair", "dst"), ("part",))
-            x = lookup(x, "dst", c, hubs, ("pair", "src"), ("part",))
-            g = F.lit(1.0) / (F.lit(1.0) + F.exp(-dot(F.col("a"), F.col("c")))) - F.col("y")
-            x = x.withColumn("g", g)
-            both = F.array(
-                F.struct(F.lit(0).alias("role"), F.col("src").alias("id"), F.transform("c", lambda e: e * F.col("g")).alias("d")),
-                F.struct(F.lit(target).alias("role"), F.col("dst").alias("id"), F.transform("a", lambda e: e * F.col("g")).alias("d")),
-            )
-            grads = x.select("part", F.inline(both)).groupBy("part", "role", "id").agg(
-                vector_sum("d").alias("d")
-            )
-            # mean over the pairs of the part's batch; one number per part
-            n = [(p, 1.0 / k) for (p, s), k in sorted(sizes.items()) if s == b]
-            scale = F.create_map(*[F.lit(z) for row in n for z in row]) if n else F.create_map().cast("map<int,double>")
-            grads = grads.select(
-                "part", "role", "id", F.transform("d", lambda e: e * scale[F.col("part")]).alias("d")
-            )
-            m, v, change = _adam(F.col("d"), F.col("m"), F.col("v"), t, lr)
-            seen = F.col("d").isNotNull()
-            nxt = table.join(grads, ["part", "role", "id"], "left").select(
-                "part",
-                "role",
-                "id",
-                F.when(seen, F.zip_with("vec", change, lambda p, s: p - s)).otherwise(F.col("vec")).alias("vec"),
-                F.when(seen, m).otherwise(F.col("m")).alias("m"),
-                F.when(seen, v).otherwise(F.col("v")).alias("v"),
-            )
-            last = b == batches - 1
-            table = state.save(nxt, f"epoch={epoch}") if last else work.save(nxt, f"table-{epoch}-{b}")
-            if b > 0:
-                work.drop(f"table-{epoch}-{b - 1}")
-        work.drop(f"rows-{epoch}")
+        examples, slots = buckets.deal_examples(rows, counts, work, f"rows-{epoch}", slot * (1 + negatives))
+        per_pair = 1 + negatives
+        for r in range(rounds):
+            nxt = buckets.train_round(table, examples, slots, counts, r, dim, lr, batch_size * per_pair, per_pair, target)
+            last = r == rounds - 1
+            table = state.save(nxt, f"epoch={epoch}") if last else work.save(nxt, f"table-{epoch}-{r}")
+            if r > 0:
+                work.drop(f"table-{epoch}-{r - 1}")
+        work.keep_only()
     return table.where("role = 0").select("part", "id", "vec")
 
 
@@ -175,72 +130,68 @@ def train_sage(
     lr: float = 0.01,
     epochs: int = 1,
     batch_size: int = 2000,
-    steps_per_epoch: int = STEPS,
+    syncs: int = SYNCS,
+    shard_batches: int = SHARD_BATCHES,
     seed: int = 0,
     state_path: str | None = None,
     hubs: Hubs | None = None,
+    start: np.ndarray | None = None,
 ) -> tuple[dict[int, list], list[dict]]:
-    """Weights of both layers per part, and one loss record per step.
+    """Weights of both layers per part, and one loss record per part and average.
 
     Neighbours are sampled from `edges`, once per epoch; `pairs(part, pair, src, dst)` are the
-    positives. A step computes the outputs of the vertices in its batch, joins them with the
-    pairs, and sends the summed output gradients back to the vertices' blocks. The driver gets
-    one gradient per part and step, the size of the weights.
+    positives. An epoch takes every pair once, in steps of at most `batch_size`. A part's pairs are
+    dealt to at most `syncs` rounds (one per batch in small parts); in a round, shards of about `shard_batches`
+    batches take their steps on their own and the part goes on with the mean of their weights and
+    moments by pairs. The driver gets one set of weights per part and round.
     """
     spark = pairs.sparkSession
     work = Store(spark, "sage")
     state = Store(spark, "sage-state", state_path)
     hubs = find_hubs(edges) if hubs is None else hubs
-    parts = sorted(r.part for r in edges.select("part").distinct().collect())
+    sizes = {r.part: r.n for r in pairs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per part
+    parts = sorted(sizes)
     head = feats.select(F.size("feat").alias("d")).first()
     if not parts or head is None:
         return {}, []
     d = head.d
-    params = {p: sage.init_params(d, hidden, seed) for p in parts}
-    m = {p: np.zeros_like(params[p]) for p in parts}
-    v = {p: np.zeros_like(params[p]) for p in parts}
+    zero = sage.init_params(d, hidden, seed) if start is None else start
+    states = {p: np.stack([zero, np.zeros_like(zero), np.zeros_like(zero)]) for p in parts}
     step, history = dict.fromkeys(parts, 0), []
-    first = last_epoch(state, epochs)
+    settings = {"seed": seed, "dim": hidden, "batch_size": batch_size, "fanouts": list(fanouts), "dropout": dropout, "method": "sage"}
+    first = begin_run(state, pairs, epochs, **settings)
     if first >= 0:
         for r in state.read(f"epoch={first}").collect():  # one row of weights per part
-            params[r.part], m[r.part], v[r.part] = map(np.array, (r.params, r.m, r.v))
-            step[r.part] = r.step
-    batches = batch_count(pairs, batch_size, steps_per_epoch)
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64("part", "pair", F.lit(seed)), F.lit(batches).cast("bigint")).cast("int")
+            states[r.part], step[r.part] = np.array(r.state).reshape(3, -1), r.step
+    batches = {p: -(-n // batch_size) for p, n in sizes.items()}
+    rounds = {p: min(syncs, b) for p, b in batches.items()}
+    shards = {p: -(-batches[p] // (rounds[p] * shard_batches)) for p in parts}
+
+    def dealt(table: dict[int, int], salt: str) -> Column:
+        return F.pmod(F.xxhash64("part", "pair", F.lit(salt)), buckets.buckets_of(table).cast("bigint")).cast("int")
+
     for epoch in range(first + 1, epochs):
-        blocks = work.save(sage.vertex_blocks(feats, edges, fanouts, seed, epoch, hubs), f"blocks-{epoch}")
-        # one wide row per vertex, kept in place; steps move only output-sized vectors
-        blocks = blocks.repartition(slices, "part", "id").persist(StorageLevel.MEMORY_AND_DISK)
+        owns, near = sage.sampled_blocks(feats, edges, fanouts, seed, epoch, hubs)
+        owns, near = work.save(owns, f"owns-{epoch}"), work.save(near, f"near-{epoch}")
         neg = walks.negative_pairs(pairs, edges, 1, seed + epoch, key=("pair",), by=("part",))
-        rows = pairs.select("part", "pair", "src", "dst").join(
-            neg.select("part", "pair", F.col("neg_dst").alias("neg")), ["part", "pair"]
-        )
-        rows = work.save(by_step(rows.withColumn("step", bucket)), f"rows-{epoch}")
-        for b in range(batches):
-            batch = rows.where(F.col("step") == b)
-            now = sage.StepSettings(hidden, fanouts[1], dropout, mask_seed(seed, epoch, b))
-            ids = batch.select("part", F.explode(F.array("src", "dst", "neg")).alias("id")).distinct()
-            used = blocks.join(ids, ["part", "id"], "left_semi")
-            out = work.save(sage.block_outputs(used, params, now), f"out-{epoch}-{b}")
-            vertex_grads = sage.pair_gradients(batch, out, hubs)
-            for r in sage.weight_gradients(blocks, vertex_grads, params, now).collect():
-                p, (loss, n) = r.part, r.grad[-2:]
-                grad = np.array(r.grad[:-2]) / (2 * n)
-                step[p] += 1
-                m[p] = BETA1 * m[p] + (1 - BETA1) * grad
-                v[p] = BETA2 * v[p] + (1 - BETA2) * grad * grad
-                m_hat, v_hat = m[p] / (1 - BETA1 ** step[p]), v[p] / (1 - BETA2 ** step[p])
-                params[p] = params[p] - lr * m_hat / (np.sqrt(v_hat) + EPS)
-                history.append({"epoch": epoch, "batch": b, "part": p, "loss": loss / (2 * n)})
-            work.drop(f"out-{epoch}-{b}")
-        blocks.unpersist()
-        rows_out = [(p, step[p], params[p].tolist(), m[p].tolist(), v[p].tolist()) for p in parts]
-        schema = "part int, step int, params array<double>, m array<double>, v array<double>"
-        state.save(spark.createDataFrame(rows_out, schema), f"epoch={epoch}")
-        work.drop(f"rows-{epoch}")
-        work.drop(f"blocks-{epoch}")
-    return {p: sage.unpack(params[p], d, hidden) for p in parts}, history
+        rows = pairs.select("part", "pair", "src", "dst").join(neg.select("part", "pair", F.col("neg_dst").alias("neg")), ["part", "pair"])
+        rows = rows.select(
+            F.col("part").cast("int"), dealt(rounds, f"{seed}:{epoch}:round").alias("round"), dealt(shards, f"{seed}:{epoch}:shard").alias("shard"),
+            F.xxhash64("part", "pair", F.lit(f"{seed}:{epoch}")).alias("ord"), "src", "dst", "neg",
+        )
+        rows = work.save(rows.repartition("round", "part", "shard").sortWithinPartitions("round"), f"rows-{epoch}")
+        for r in range(max(rounds.values())):
+            set_ = sage.Training(d, hidden, fanouts[1], dropout, lr, batch_size, (seed, epoch, r))
+            shared = spark.sparkContext.broadcast(states)  # one set of weights per part
+            ready = sage.shard_rows(rows.where(F.col("round") == r).drop("round"), owns, near)
+            for p, (mean, steps, loss, n) in sage.averaged(sage.train_shards(ready, shared, dict(step), set_)).items():
+                states[p], step[p] = mean, steps
+                history.append({"epoch": epoch, "batch": r, "part": p, "loss": loss / (2 * n)})
+            shared.unpersist()
+        rows_out = [(p, step[p], states[p].ravel().tolist()) for p in parts]
+        state.save(spark.createDataFrame(rows_out, "part int, step int, state array<double>"), f"epoch={epoch}")
+        work.keep_only()
+    return {p: sage.unpack(states[p][0], d, hidden) for p in parts}, history
 
 
 # --- methods ------------------------------------------------------------------------

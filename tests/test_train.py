@@ -1,7 +1,6 @@
 """Gradients, training runs, resuming, alignment."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,32 +29,52 @@ def test_gradient_agrees_with_finite_differences():
         assert grad[i] == pytest.approx((loss(params + step) - loss(params - step)) / 2e-6, abs=1e-5)
 
 
-def test_a_distributed_step_agrees_with_finite_differences(spark):
+def test_a_batch_agrees_with_finite_differences(monkeypatch):
+    monkeypatch.setattr(sage, "CHUNK", 2)
     rng = np.random.default_rng(2)
     d, hidden, f, n = 2, 3, 2, 6
-    own, near, k = blocks_of(rng, n, f, d)
+    own, near = rng.normal(size=(n, 2 * d)).astype("float32"), rng.integers(-1, n, (n, f))
+    near = -np.sort(-near, axis=1)  # -1 beyond the end of a list
+    blocks, set_ = sage.Blocks(np.arange(n) + 50, own, near), sage.Training(d, hidden, f, 0.3, 0.1, 10, (1, 2))
     params = sage.init_params(d, hidden, 4)
-    step = sage.StepSettings(hidden, f, 0.3, 11)
-    rows = [(1, i, own[i].tolist(), near[i].ravel().tolist(), int(k[i])) for i in range(n)]
-    blocks = spark.createDataFrame(
-        rows, "part int, id bigint, own array<double>, near array<double>, k int"
-    ).repartition(3)
-    links = [(0, 1, 2), (1, 2, 3), (0, 5, 0), (4, 4, 1)]
-    pairs = spark.createDataFrame(
-        [(1, str(i), *x) for i, x in enumerate(links)], "part int, pair string, src bigint, dst bigint, neg bigint"
-    )
+    pairs = np.array([(0, 1, 2), (1, 2, 3), (0, 5, 0), (4, 4, 1)])
+    grad, loss = sage.batch_gradient(params, blocks, pairs, set_, 11)
 
-    def loss(p):
-        out = sage.forward(p, own, near, k, step.mask(pd.Series(range(n))))[0]
-        return sum(np.logaddexp(0, -out[s] @ out[t]) + np.logaddexp(0, out[s] @ out[g]) for s, t, g in links)
+    def direct(p):
+        out = sage.forward(p, *blocks.chunk(np.arange(n), set_, 11))[0]
+        return sum(np.logaddexp(0, -out[s] @ out[t]) + np.logaddexp(0, out[s] @ out[g]) for s, t, g in pairs)
 
-    outputs = sage.block_outputs(blocks, {1: params}, step)
-    got = sage.weight_gradients(blocks, sage.pair_gradients(pairs, outputs), {1: params}, step).first().grad
-    assert got[-2] == pytest.approx(loss(params)) and got[-1] == len(links)
-    for i in range(0, params.size, 2):
+    assert loss == pytest.approx(direct(params))
+    for i in range(params.size):
         h = np.zeros_like(params)
         h[i] = 1e-6
-        assert got[i] == pytest.approx((loss(params + h) - loss(params - h)) / 2e-6, abs=1e-5)
+        assert grad[i] == pytest.approx((direct(params + h) - direct(params - h)) / 2e-6, abs=1e-5)
+
+
+def test_shards_step_alone_and_are_averaged_by_their_pairs(spark):
+    rng = np.random.default_rng(6)
+    d, hidden, f = 2, 3, 2
+    set_ = sage.Training(d, hidden, f, 0.0, 0.1, 2, (1, 0))
+    own = {(p, i): rng.normal(size=2 * d).astype("float32") for p in (1, 2) for i in range(5)}
+    lists = {(p, i): sorted(rng.choice(5, rng.integers(1, 3), replace=False).tolist()) for p in (1, 2) for i in (0, 1, 3)}
+    owns = spark.createDataFrame([(*k, v.tolist()) for k, v in own.items()], "part int, id bigint, own array<float>")
+    near = spark.createDataFrame([(*k, v) for k, v in lists.items()], "part int, id bigint, near array<bigint>")
+    rows = [(p, s, int(o), *rng.integers(0, 5, 3).tolist()) for p in (1, 2) for s in (0, 1) for o in range(2 + s)]
+    table = spark.createDataFrame(rows, "part int, shard int, ord bigint, src bigint, dst bigint, neg bigint").repartition(3)
+    states = {p: np.stack([sage.init_params(d, hidden, p), *np.zeros((2, sage.init_params(d, hidden, p).size))]) for p in (1, 2)}
+    shared = spark.sparkContext.broadcast(states)
+    got = sage.averaged(sage.train_shards(sage.shard_rows(table, owns, near), shared, {1: 0, 2: 4}, set_))
+    for p in (1, 2):
+        places = np.full((5, f), -1)
+        for i in range(5):
+            places[i, : len(lists.get((p, i), []))] = lists.get((p, i), [])
+        blocks = sage.Blocks(np.arange(5), np.stack([own[p, i] for i in range(5)]), places)
+        want, n, steps = 0.0, 0, 0
+        for s in (0, 1):
+            own_rows = np.array([r[3:] for r in sorted(rows) if r[:2] == (p, s)])
+            state, step, _ = sage.local_steps(states[p], {1: 0, 2: 4}[p], blocks, own_rows, set_, s)
+            want, n, steps = want + len(own_rows) * state, n + len(own_rows), steps + len(own_rows) * step
+        assert np.allclose(got[p][0], want / n) and got[p][1] == round(steps / n) and got[p][3] == n
 
 
 def test_dropout_depends_on_the_vertex_only():
@@ -117,6 +136,57 @@ def test_skip_gram_learns(clusters):
     assert min(separation(emb).values()) > 0
 
 
+def test_rotating_buckets_and_slots_learn(clusters):
+    rows = 4 * 8 * 8 * 3  # four vectors in a bucket, four buckets
+    for options in ({"bucket_bytes": rows}, {"bucket_bytes": rows, "slot": 3}):
+        emb = embed.embed_parts(clusters, "walks", dim=8, epochs=3, batch_size=25, lr=0.2, seed=1, init_scale=0.3, negatives=2, **options)
+        assert emb.select("part", "id").distinct().count() == emb.count() == 32
+        assert min(separation(emb).values()) > 0
+
+
+def test_every_two_buckets_meet_once():
+    for b in range(1, 9):
+        met = []
+        for r in range(b):
+            pairs = {tuple(sorted((i, (r - i) % b))) for i in range(b)}
+            assert sorted(i for p in pairs for i in set(p)) == list(range(b))  # no bucket twice in a round
+            met += pairs
+        assert sorted(met) == [(i, j) for i in range(b) for j in range(i, b)]
+
+
+def test_jobs_do_not_depend_on_the_number_of_pairs(spark, clusters):
+    def jobs(times, method):
+        more = clusters.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times))))
+        pairs = more.select("part", F.concat_ws(":", "src", "dst", "k").alias("pair"), "src", "dst")
+        spark.sparkContext.setJobGroup(f"jobs-{method}-{times}", "")
+        if method == "skip_gram":
+            embed.skip_gram(pairs, clusters, dim=4, batch_size=10)
+        else:
+            feats = clusters.select("part", F.col("src").alias("id")).distinct().withColumn("feat", F.array(F.lit(1.0), F.col("id") / 10))
+            embed.train_sage(pairs, clusters, feats, hidden=4, batch_size=10)
+        spark.sparkContext.setJobGroup("other", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"jobs-{method}-{times}"))
+
+    for method in ("skip_gram", "sage"):
+        few, many = jobs(2, method), jobs(20, method)
+        assert abs(many - few) <= 3  # adaptive execution may add a stage's job
+
+
+def test_state_of_another_run_is_refused(spark, clusters):
+    path = Store(spark, "refuse-test").root
+    opts = {"dim": 4, "batch_size": 200, "seed": 5, "state_path": path}
+    embed.embed_parts(clusters, "walks", **opts)
+    for other in ({"dim": 8}, {"batch_size": 100}, {"seed": 6}):
+        with pytest.raises(ValueError, match="another run"):
+            embed.embed_parts(clusters, "walks", **{**opts, **other})
+    with pytest.raises(ValueError, match="another run"):  # other edges
+        embed.embed_parts(clusters.where("src <> 3"), "walks", **opts)
+    nameless = Store(spark, "refuse-test")
+    nameless.save(spark.range(1), "epoch=0")
+    with pytest.raises(ValueError, match="does not say"):
+        embed.embed_parts(clusters, "walks", dim=4, state_path=nameless.root)
+
+
 def test_two_tables(clusters):
     emb = embed.embed_parts(clusters, "edges", dim=4, batch_size=500, seed=3)
     assert emb.select("part", "id").distinct().count() == emb.count() and emb.count() > 20
