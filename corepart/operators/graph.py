@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corepart.functions import draw
 from corepart.operators.order import dense_index
-from corepart.operators.skew import Hubs, find_hubs, lookup, resident
+from corepart.operators.skew import Hubs, find_hubs, hubs_of, lookup, resident
 from corepart.store import Store
 
 
@@ -167,39 +167,59 @@ def edge_sample(edges: DataFrame, p: float, seed: int | None = None, key=("src",
 # --- iterative operators ------------------------------------------------------------
 
 
+SEND = 0.01  # of the tolerance: smaller changes wait until they have added up to it
+
+
 def pagerank(
     edges: DataFrame,
     tol: float | None = 1e-4,
     max_iter: int | None = None,
     reset: float = 0.15,
     hubs: Hubs | None = None,
+    history: list[dict] | None = None,
 ) -> DataFrame:
     """(id, rank) over directed edges; ranks are scaled to sum to the vertex count.
 
     Stops when no rank moves by more than `tol`, however many rounds that takes. With a `max_iter`,
     not to get there in so many rounds is an error; with tol=None exactly `max_iter` rounds run.
     Rank of vertices without out-edges is not handed on, as in the usual graph libraries.
+
+    A round sends changes of ranks, not ranks: vertices whose rank has settled are silent, and so are
+    those whose changes since they last spoke are within SEND times `tol` (all of these together move
+    a rank by no more than a fraction of `tol`). Without a tolerance every change is sent. `history` gets a
+    record per round: vertices that spoke, links they spoke along, the greatest change.
     """
     if tol is None and max_iter is None:
         raise ValueError("without a tolerance the number of rounds must be given")
     store = Store(edges.sparkSession, "pagerank")
-    hubs = find_hubs(edges) if hubs is None else hubs
-    out_degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    links = lookup(pairs, "src", out_degree.withColumnRenamed("src", "id"), hubs, ("dst",))
+    pairs = store.save(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    hubs = find_hubs(pairs) if hubs is None else hubs
+    fans = store.save(pairs.groupBy("src").agg(F.sum("n").alias("out"), F.count(F.lit(1)).alias("fan")).withColumnRenamed("src", "id"), "fans")
+    links = lookup(pairs, "src", fans.select("id", "out"), hubs, ("dst",))
     links = store.save(links.select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "links")
     links = resident(links, "src", hubs, ("dst",))
-    ranks = store.save(vertices(edges).withColumn("rank", F.lit(1.0)), "ranks-0")
+    ids = vertices(pairs).join(fans.select("id", "fan"), "id", "left")
+    # Every rank starts at 1, and that is the first change; what no neighbour sends is `reset`.
+    one, fan = F.lit(1.0), F.coalesce("fan", F.lit(0).cast("bigint")).alias("fan")
+    state = store.save(ids.select("id", fan, F.lit(reset).alias("rank"), one.alias("waits")), "state-0")
+    least = 0.0 if tol is None else SEND * tol
+    speaks = (F.col("fan") > 0) & (F.abs("waits") > least)
     for i in count(1):
-        sent = lookup(links, "src", ranks, hubs, ("dst",))
-        received = sent.groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new_rank = F.lit(reset) + F.lit(1.0 - reset) * F.coalesce("got", F.lit(0.0))
-        nxt = ranks.join(received.withColumnRenamed("dst", "id"), "id", "left").select(
-            "id", new_rank.alias("rank"), F.abs(new_rank - F.col("rank")).alias("moved")
+        speakers = state.where(speaks).select("id", "waits")
+        sent = lookup(links, "src", speakers, hubs, ("dst",))
+        received = sent.groupBy("dst").agg(F.sum(F.col("waits") * F.col("share")).alias("got"))
+        got = F.lit(1.0 - reset) * F.coalesce("got", F.lit(0.0))
+        change = F.lit(reset - 1.0) + got if i == 1 else got
+        kept = F.when(speaks, F.lit(0.0)).otherwise(F.col("waits")) if i > 1 else F.lit(0.0)
+        nxt = state.join(received.withColumnRenamed("dst", "id"), "id", "left").select(
+            "id", "fan", (F.col("rank") + got).alias("rank"), (kept + change).alias("waits"), F.abs(change).alias("moved")
         )
-        nxt = store.save(nxt, f"ranks-{i}")
-        store.drop(f"ranks-{i - 1}")
-        ranks = nxt.select("id", "rank")
+        nxt = store.save(nxt, f"state-{i}")
+        if history is not None:
+            spoke, along = state.where(speaks).agg(F.count(F.lit(1)), F.coalesce(F.sum("fan"), F.lit(0))).first()
+            history.append({"round": i, "speakers": spoke, "links": along, "moved": nxt.agg(F.max("moved")).first()[0]})
+        store.drop(f"state-{i - 1}")
+        state = nxt.drop("moved")
         moved = None if tol is None else nxt.agg(F.max("moved")).first()[0] or 0.0
         if moved is not None and moved <= tol:
             break
@@ -208,7 +228,8 @@ def pagerank(
                 break
             raise RuntimeError(f"not converged: after {i} rounds a rank still moved by {moved}")
     links.unpersist()
-    store.drop("links")
+    store.keep_only(f"state-{i}")
+    ranks = state.select("id", "rank")
     n, total = ranks.agg(F.count(F.lit(1)), F.sum("rank")).first()
     return ranks.withColumn("rank", F.col("rank") * F.lit(n / total)) if n else ranks
 
@@ -217,58 +238,50 @@ def random_score(v: DataFrame, seed: int) -> DataFrame:
     return v.select("id", draw("id", salt=f"{seed}:score").alias("score"))
 
 
-def components(v: DataFrame, edges: DataFrame, hubs: Hubs | None = None) -> DataFrame:
+def components(v: DataFrame, edges: DataFrame, hubs: Hubs | None = None, history: list[int] | None = None) -> DataFrame:
     """(id, component): the least vertex id reachable over undirected edges.
 
-    Every vertex points to a parent. A round hooks parents to the least grandparent seen
-    across an edge and then halves the pointer chains, so long paths need few rounds.
-    Vertices of `v` without an edge form their own component.
+    Edges are contracted: in a round every vertex joins the one that comes first, in a random
+    order of the round, among itself and its neighbours. Edges are rewritten between these
+    representatives, loops and repetitions go, and the next round has fewer of both. The representatives are then
+    followed back from the last round to the first, with the least id of what they stand
+    for. Rounds grow with the logarithm of the vertices, whatever the length of paths. Vertices of `v`
+    without an edge form their own component. `history` gets the edges of each round.
     """
     store = Store(v.sparkSession, "components")
-    adj = store.save(adjacency(undirected(edges)), "adjacency")
-    hubs = find_hubs(adj, "nbr") if hubs is None else hubs
-    adj = resident(adj, "nbr", hubs, ("id",))
-    ids = v.select("id").distinct()
-    state = store.save(ids.select("id", F.col("id").alias("parent"), F.col("id").alias("grand")), "state-0")
-    step = 0
-    while True:
-        step += 1
-        grand = state.select("id", F.col("grand").alias("seen"))
-        seen = lookup(adj, "nbr", grand, hubs, ("id",)).groupBy("id").agg(F.min("seen").alias("seen"))
-        near = state.join(seen, "id", "left")
-        near = store.save(near, f"near-{step}")
-        hooks = (
-            near.where(F.col("seen").isNotNull())
-            .groupBy("parent")
-            .agg(F.min("seen").alias("hook"))
-            .withColumnRenamed("parent", "id")
-        )
-        moved = store.save(
-            near.join(hooks, "id", "left").select(
-                "id",
-                F.col("parent").alias("old_parent"),
-                F.col("grand").alias("old_grand"),
-                F.least("parent", "grand", "seen", "hook").alias("parent"),
-            ),
-            f"moved-{step}",
-        )
-        # parents become hubs themselves as components grow together
-        parent_hubs = find_hubs(moved, "parent")
-        grands = moved.select("id", F.col("parent").alias("grand"))
-        nxt = lookup(moved, "parent", grands, parent_hubs, ("id",)).select(
-            "id",
-            "parent",
-            "grand",
-            ((F.col("parent") != F.col("old_parent")) | (F.col("grand") != F.col("old_grand"))).alias("changed"),
-        )
-        nxt = store.save(nxt, f"state-{step}")
-        for tag in (f"state-{step - 1}", f"near-{step}", f"moved-{step}"):
-            store.drop(tag)
-        state = nxt.select("id", "parent", "grand")
-        if nxt.where("changed").isEmpty():
-            adj.unpersist()
-            store.drop("adjacency")
-            return state.select("id", F.col("parent").alias("component"))
+    left, rounds = store.save(undirected(edges), "edges-0"), 0
+    least = vertices(left).select("id", F.col("id").alias("least"))
+    while not left.isEmpty():
+        if history is not None:
+            history.append(left.count())
+        order = lambda c, salt=rounds: F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("h"), F.col(c).alias("id"))
+        # One aggregation: who comes first around a vertex, and how many edges it has.
+        ends = F.array(F.struct(F.col("src").alias("id"), order("dst").alias("near")), F.struct(F.col("dst").alias("id"), order("src").alias("near")))
+        near = left.select(F.inline(ends)).groupBy("id").agg(F.min("near").alias("near"), F.count(F.lit(1)).alias("n"))
+        joined = near.join(least, "id").select("id", F.least("near", order("id"))["id"].alias("rep"), "least", "n")
+        reps = store.save(joined, f"reps-{rounds}")
+        big = hubs_of(reps, "n") if hubs is None or rounds else hubs
+        moved = lookup(left, "src", reps.select("id", F.col("rep").alias("a")), big, ("dst",))
+        moved = lookup(moved, "dst", reps.select("id", F.col("rep").alias("b")), big, ("src",))
+        least = store.save(reps.groupBy(F.col("rep").alias("id")).agg(F.min("least").alias("least")), f"least-{rounds + 1}")
+        rounds += 1
+        left = store.save(undirected(moved.select(F.col("a").alias("src"), F.col("b").alias("dst"))), f"edges-{rounds}")
+        store.drop(f"edges-{rounds - 1}")
+    found = least.select("id", F.col("least").alias("component"))
+    for r in reversed(range(rounds)):
+        if r < rounds - 1:  # representatives that had no edge left stand for their own component
+            known = store.read(f"least-{r + 1}").join(found, "id", "left")
+            found = known.select("id", F.coalesce("component", "least").alias("component"))
+        reps = store.read(f"reps-{r}")
+        counts = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("rep", "id")
+        through = lookup(reps.select("id", "rep"), "rep", found, hubs_of(counts, "n"), ("id",)).select("id", "component")
+        found = store.save(through, f"found-{r}")
+        store.drop(f"found-{r + 1}")
+        store.drop(f"reps-{r}")
+    out = v.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    out = store.save(out, "components")
+    store.keep_only("components")
+    return out
 
 
 def largest_component(comp: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from corepart.operators.route import missing_features
 from corepart.operators.skew import Hubs, find_hubs, lookup
 from corepart.store import Store
 
+HOT_VERTICES = 100_000  # that may be broadcast with their numbers of copies
 WEIGHT_UNIT = 1_000_000  # sampling weights are whole millionths, so that sums are exact
 
 
@@ -62,31 +63,84 @@ def part_graph_feats(v: DataFrame, feats: DataFrame, check: bool = True) -> Data
 # --- random walks -------------------------------------------------------------------
 
 
+WALKERS = 1_000_000  # walkers that one row of the index should meet in a step
+
+
 class WalkIndex:
     """Out-neighbours as one globally numbered list: neighbour j of v is row start(v) + j.
 
     A step of a walk is then two equi-joins, whatever the degree; no task holds the
-    neighbour list of a hub.
+    neighbour list of a hub. Both tables lie in buckets of their keys, so a step shuffles walkers
+    only. Where many edges come in, many walkers will stand: with `per_node` walks from every
+    vertex, about per_node times the in-degree. A vertex that expects more than WALKERS of them has its
+    row of `starts`, and where its own edges are few also its list, as many times as needed, and walkers are spread over
+    the copies.
     """
 
-    def __init__(self, edges: DataFrame, by: tuple[str, ...] = (), hubs: Hubs | None = None):
+    def __init__(self, edges: DataFrame, by: tuple[str, ...] = (), per_node: int = 1, walkers: int = WALKERS):
         self.by = by
         self.store = Store(edges.sparkSession, "walk-index")
-        simple = edges.select(*by, "src", "dst").distinct()
-        self.edges = self.store.save(dense_index(simple, [*by, "src", "dst"]), "edges")
-        starts = self.edges.groupBy(*by, "src").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("deg"))
-        self.starts = self.store.save(starts.withColumnRenamed("src", "id"), "starts")
-        self.hubs = find_hubs(self.edges) if hubs is None else hubs
+        simple = self.store.save(edges.select(*by, "src", "dst").distinct(), "simple")
+        ends = F.array(*(F.struct(F.col(c).alias("id"), F.lit(out).alias("out")) for c, out in (("src", 1), ("dst", 0))))
+        degrees = simple.select(*by, F.inline(ends)).groupBy(*by, "id")
+        degrees = degrees.agg(F.sum("out").alias("deg"), (F.count(F.lit(1)) - F.sum("out")).alias("came"))
+        expected = (F.col("came") + 1) * per_node
+        fans = degrees.select(
+            *by, "id", "deg",
+            F.ceil(expected / walkers).cast("int").alias("fan"),
+            F.greatest(F.ceil(expected / (F.greatest("deg", F.lit(1)) * walkers)), F.lit(1)).cast("int").alias("copies"),
+        )
+        self.vertices = self.store.save(fans, "vertices")
+        # A vertex with a fan or copies has more than `walkers` / per_node edges: few, and named to every task.
+        many = self.vertices.where("fan > 1 OR copies > 1").select(*by, "id", "fan", "copies")
+        named = many.orderBy(F.desc("fan"), *by, "id").limit(HOT_VERTICES).collect()
+        schema = self.vertices.select(*by, "id", "fan", "copies").schema
+        self.hot = edges.sparkSession.createDataFrame(named, schema) if named else None
+        copied = simple
+        if self.hot is not None:
+            hot = F.broadcast(self.hot.select(*by, F.col("id").alias("src"), "copies"))
+            copied = simple.join(hot, [*by, "src"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+            copied = copied.drop("copies")
+        else:
+            copied = simple.withColumn("copy", F.lit(0))
+        numbered = dense_index(copied, [*by, "src", "copy", "dst"])
+        self.rows = self.store.save(numbered, "numbered")
+        starts = self.rows.groupBy(*by, "src").agg(F.min("pos").alias("start"), F.count_if(F.col("copy") == 0).alias("deg"))
+        starts = starts.withColumnRenamed("src", "id").withColumn("_slot", F.lit(0))
+        if self.hot is not None:
+            fan = F.broadcast(self.hot.select(*by, "id", "fan", "copies"))
+            starts = starts.drop("_slot").join(fan, [*by, "id"], "left").withColumn("_slot", F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(1)) - 1)))
+            starts = starts.drop("fan")
+        else:
+            starts = starts.withColumn("copies", F.lit(1))
+        starts = starts.withColumn("copies", F.coalesce("copies", F.lit(1)))
+        self.starts = self.store.save_bucketed(starts, "starts", [*by, "id", "_slot"])
+        self.targets = self.store.save_bucketed(self.rows.select("pos", F.col("dst").alias("cand")), "targets", ["pos"])
+        self._known = None
+
+    def known(self) -> DataFrame:
+        """(by, prev, cand, adjacent): the edges, in buckets of both ends."""
+        if self._known is None:
+            rows = self.rows.where("copy = 0").select(*self.by, F.col("src").alias("prev"), F.col("dst").alias("cand"), F.lit(True).alias("adjacent"))
+            self._known = self.store.save_bucketed(rows, "known", [*self.by, "prev", "cand"])
+        return self._known
 
     def pick(self, walkers: DataFrame, u) -> DataFrame:
         """Add `cand`: a uniform out-neighbour of `cur`, null where there is none."""
-        at = lookup(walkers, "cur", self.starts, self.hubs, ("origin", "walk"), self.by, "left")
+        spread = F.xxhash64("origin", "walk", F.lit("spread"))
+        if self.hot is not None:
+            hot = F.broadcast(self.hot.select(*self.by, F.col("id").alias("cur"), "fan"))
+            walkers = walkers.join(hot, [*self.by, "cur"], "left")
+            walkers = walkers.withColumn("_slot", F.pmod(spread, F.coalesce("fan", F.lit(1)).cast("bigint")).cast("int")).drop("fan")
+        else:
+            walkers = walkers.withColumn("_slot", F.lit(0))
+        at = walkers.join(self.starts.withColumnRenamed("id", "cur"), [*self.by, "cur", "_slot"], "left")
         # Walkers at dead ends get places that no edge has, all different, not one null key.
         nowhere = F.lit(-1).cast("bigint") - F.pmod(F.xxhash64("origin", "walk"), F.lit(1 << 62))
-        pos = F.coalesce(F.col("start") + F.floor(u * F.col("deg")), nowhere)
-        at = at.withColumn("pos", pos).drop("start", "deg")
-        target = self.edges.select("pos", F.col("dst").alias("cand"))
-        return at.join(target, "pos", "left").drop("pos")
+        copy = F.pmod(F.xxhash64("origin", "walk", F.lit("copy")), F.col("copies").cast("bigint"))
+        pos = F.coalesce(F.col("start") + copy * F.col("deg") + F.floor(u * F.col("deg")), nowhere)
+        at = at.withColumn("pos", pos).drop("start", "deg", "copies", "_slot")
+        return at.join(self.targets, "pos", "left").drop("pos")
 
 
 def random_walks(
@@ -97,7 +151,7 @@ def random_walks(
     p: float = 1.0,
     q: float = 1.0,
     by: tuple[str, ...] = (),
-    hubs: Hubs | None = None,
+    walkers: int = WALKERS,
 ) -> DataFrame:
     """(by, origin, walk, path): `per_node` walks of `length` vertices from every vertex.
 
@@ -106,9 +160,9 @@ def random_walks(
     elsewhere with weight 1/q. Biased steps draw a uniform neighbour and accept it in proportion
     to its weight, until all walkers have accepted: exact, and no neighbour list is expanded.
     """
-    index = WalkIndex(edges, by, hubs)
+    index = WalkIndex(edges, by, per_node, walkers)
     store, biased = index.store, (p, q) != (1.0, 1.0)
-    verts = index.edges.select(*by, F.explode(F.array("src", "dst")).alias("origin")).distinct()
+    verts = index.vertices.select(*by, F.col("id").alias("origin"))
     walkers = verts.select(
         *by, "origin", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("walk")
     ).withColumn("path", F.array("origin"))
@@ -121,16 +175,16 @@ def random_walks(
             picked = index.pick(at, draw(*keys, salt=f"{seed}:walk:{step}"))
             grown = F.concat("path", F.array(F.coalesce("cand", "cur")))
             walkers = picked.select(*keys, grown.alias("path"))
-    return store.save(walkers, "walks") if biased else walkers
+    out = store.save(walkers, "walks")
+    store.keep_only("walks")
+    return out
 
 
 def _biased_step(index: WalkIndex, at: DataFrame, step: int, seed: int, p: float, q: float, keys) -> DataFrame:
     """One step by rejection: several numbered tries per job, the first accepted one counts."""
     top = max(1.0 / p, 1.0, 1.0 / q)
     back, near, far = (1.0 / p) / top, 1.0 / top, (1.0 / q) / top
-    known = index.edges.select(
-        *index.by, F.col("src").alias("prev"), F.col("dst").alias("cand"), F.lit(True).alias("adjacent")
-    )
+    known = index.known()
     weight = (
         F.when(F.col("cand") == F.col("prev"), back)
         .when(F.coalesce("adjacent", F.lit(False)), near)

@@ -163,3 +163,42 @@ def test_part_graphs_keep_self_loops(spark):
     parts = spark.createDataFrame([(7, 2), (8, 1), (9, 1)], "id bigint, part int")
     got = route.part_with_core_edges(e, parts, 2).collect()
     assert sorted((r.part, r.src, r.dst) for r in got) == [(1, 8, 8), (1, 8, 9)]
+
+
+def test_contraction_has_fewer_edges_in_each_round(spark):
+    import random
+
+    rnd = random.Random(4)
+    path = rnd.sample(range(600), 600)
+    rows = list(zip(path, path[1:], strict=False)) + [(1000, 1000 + i) for i in range(1, 200)] + [(3000 + rnd.randrange(80), 3000 + rnd.randrange(80)) for _ in range(90)]
+    e = spark.createDataFrame(rows, "src bigint, dst bigint").cache()
+    edges = []
+    got = {r.id: r.component for r in graph.components(graph.vertices(e), e, history=edges).collect()}
+    assert all(a > b for a, b in zip(edges, edges[1:], strict=False)) and len(edges) < 14
+    root = {v: v for r in rows for v in r}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in rows:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert got == {v: find(v) for v in root}
+
+
+def test_settled_ranks_are_not_sent_again(spark):
+    """Leaves point into a long chain: after the first rounds only the chain still changes."""
+    rows = [(100 + i, 0) for i in range(300)] + [(i, i + 1) for i in range(40)]
+    e = spark.createDataFrame(rows, "src bigint, dst bigint")
+    seen = []
+    ranks = {r.id: r["rank"] for r in graph.pagerank(e, tol=1e-3, history=seen).collect()}
+    sent = [h["links"] for h in seen]
+    assert sent[0] == 340 and sent[1] == 340 and sent[2] <= 40 and all(a >= b for a, b in zip(sent, sent[1:], strict=False)) and sent[-1] < 10
+    want = dict.fromkeys(ranks, 0.15)
+    want[0] = 0.15 + 0.85 * 300 * 0.15
+    for i in range(40):
+        want[i + 1] = 0.15 + 0.85 * want[i]
+    scale = len(want) / sum(want.values())
+    assert ranks == pytest.approx({k: v * scale for k, v in want.items()}, abs=2e-3)

@@ -57,8 +57,8 @@ def test_lookup_left_join(hub_edges, hubs, state):
         lambda e, s, h: labels.neigh_label_freq(graph.adjacency(e), s, h),
         lambda e, s, h: graph.components(s, e, h),
         lambda e, s, h: partition.noncore_edges(e, s.where("label = 0"), h),
-        lambda e, s, h: walks.random_walks(e, seed=5, hubs=h),
-        lambda e, s, h: walks.random_walks(e, seed=5, p=0.5, q=2.0, hubs=h),
+        lambda e, s, h: walks.random_walks(e, seed=5, walkers=9 if h else 1000),
+        lambda e, s, h: walks.random_walks(e, seed=5, p=0.5, q=2.0, walkers=9 if h else 1000),
         lambda e, s, h: walks.sample_in_neighbors(s.select("id"), e.distinct(), 3, "x", hubs=h),
         lambda e, s, h: graph.grow_core(e, 60, 4, h),
     ],

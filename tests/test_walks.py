@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corepart.operators import walks
+from corepart.store import Store, checkpoint_root
 
 
 def u(*keys, salt):
@@ -108,3 +109,63 @@ def test_missing_features_are_named(spark):
     feats = spark.createDataFrame([(7, [1.0])], "id bigint, feat array<double>")
     with pytest.raises(ValueError, match="8"):
         walks.part_graph_feats(v, feats)
+
+
+def exchanges_below(plan: str, scan: str) -> bool:
+    """True if an Exchange stands between a scan of this table and the join above it."""
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if scan in line)
+    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+    for line in reversed(lines[:at]):
+        own = len(line) - len(line.lstrip(" :+-"))
+        if own < depth:
+            depth = own
+            if "Exchange" in line:
+                return True
+            if "Join" in line:
+                return False
+    raise AssertionError("no join above the scan")
+
+
+@pytest.fixture
+def sort_merge_only(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    for k, v in held.items():
+        spark.conf.set(k, v)
+
+
+def test_a_step_shuffles_walkers_only(spark, hub_edges, sort_merge_only):
+    index = walks.WalkIndex(hub_edges, per_node=2, walkers=20)
+    at = spark.range(100).select(F.col("id").alias("origin"), F.lit(0).alias("walk"), F.col("id").alias("cur"))
+    plan = index.pick(at, F.rand(1))._jdf.queryExecution().executedPlan().toString()
+    for table in ("starts", "targets"):
+        assert not exchanges_below(plan, index.store.tables[table])
+    near = at.select("origin", F.col("cur").alias("prev"), F.lit(1).cast("bigint").alias("cand")).join(index.known(), ["prev", "cand"], "left")
+    assert not exchanges_below(near._jdf.queryExecution().executedPlan().toString(), index.store.tables["known"])
+
+
+def test_walkers_on_a_bipartite_graph_are_spread(spark, sort_merge_only):
+    """All of 4000 vertices point to one of two, which point to three: no copy of a row meets most walkers."""
+    edges = spark.range(4000).select((F.col("id") + 10).alias("src"), (F.col("id") % 2).alias("dst"))
+    back = spark.createDataFrame([(0, 10), (0, 11), (0, 12), (1, 10), (1, 11), (1, 12)], "src bigint, dst bigint")
+    index = walks.WalkIndex(edges.union(back), per_node=2, walkers=100)
+    fans = {r.id: (r.fan, r.copies) for r in index.vertices.where("fan > 1 OR copies > 1").collect()}
+    assert fans == {0: (41, 14), 1: (41, 14)}  # 2001 come in, two walks each, 100 a row
+    at = edges.select(F.col("src").alias("origin"), F.explode(F.array(F.lit(0), F.lit(1))).alias("walk"), F.col("dst").alias("cur"))
+    spread = F.pmod(F.xxhash64("origin", "walk", F.lit("spread")), F.lit(41)).alias("s")
+    met = at.groupBy("cur", spread).count().agg(F.max("count")).first()[0]
+    assert met < 4 * 100
+    picked = index.pick(at, F.rand(3))
+    assert picked.where("cand is null").isEmpty() and picked.count() == 8000
+    shares = {r.cand: r["count"] for r in picked.groupBy("cand").count().collect()}
+    assert set(shares) == {10, 11, 12} and max(shares.values()) < 1.15 * min(shares.values())
+
+
+def test_walks_leave_their_result_only(spark, hub_edges):
+    before = set(Store(spark, "x", checkpoint_root(spark)).names())
+    walks.random_walks(hub_edges, seed=2).count()
+    new = [n for n in Store(spark, "x", checkpoint_root(spark)).names() if n not in before and n.startswith("walk-index")]
+    assert len(new) == 1 and Store(spark, "x", f"{checkpoint_root(spark)}/{new[0]}").names() == ["walks"]
