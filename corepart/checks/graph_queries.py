@@ -10,6 +10,7 @@ from corepart.checks.registry import query, sql_values, values
 from corepart.functions import rounded
 from corepart.operators import graph, order, route
 from corepart.operators.skew import find_hubs
+from corepart.plans import partition
 from corepart.store import Store
 
 # --- scans and sinks ----------------------------------------------------------------
@@ -117,6 +118,86 @@ def part_manifest(spark, sf):
     return out
 
 
+@query(
+    "part_txt_files",
+    with_(edges_(SQL_TRADE), V, LABELS, ASSIGN, ROUTED, select=f"SELECT part, src, dst, 'part_' || (part - 1) || '.txt' AS file FROM routed WHERE part <= {PARTS}"),
+)
+def part_txt_files(spark, sf):
+    """Every file that the manifest names is read back, line by line."""
+    e = g_trade(spark, sf)
+    path = Store(spark, "part-txt").root
+    sources.write_named_parts(route.route_edges(e, assignment0(e), PARTS, find_hubs(e)), path, parts=PARTS)
+    rows = sources.named_manifest(spark, PARTS, path, epoch=0).collect()  # PARTS rows
+    back = sources.parse_edges(spark.read.text([r.path for r in rows]).withColumn("file", F.col("_metadata.file_name")), keep=("file",))
+    names = spark.createDataFrame([(r.part, r.path.rsplit("/", 1)[1]) for r in rows], "part int, file string")
+    return back.join(F.broadcast(names), "file").select("part", "src", "dst", "file")
+
+
+@query(
+    "part_txt_feats",
+    with_(
+        edges_(SQL_NEXT), V, LABELS, ASSIGN, SQL_FEAT,
+        ("pf", f"SELECT p.range::INTEGER AS part, f.id, f.feat FROM asg a JOIN feat f USING (id), range(1, {PARTS} + 1) p WHERE a.part = 0 OR a.part = p.range"),
+        select=sql_values("pf", "part, id", "feat"),
+    ),
+)
+def part_txt_feats(spark, sf):
+    """The feature files hold the core's rows in every part."""
+    e = g_next(spark, sf)
+    path = Store(spark, "part-feats").root
+    rows = route.part_features(feat_map(spark, sf, e), assignment0(e), PARTS)
+    sources.write_named_features(rows, path, parts=PARTS)
+    return values(sources.read_named_features(spark, path), ["part", "id"], "feat")
+
+
+@query("edges_round_trip", with_(edges_(SQL_NEXT), select="SELECT src, dst, count(*) AS n FROM e GROUP BY src, dst"))
+def edges_round_trip(spark, sf):
+    """Edges written as lines and read back, repetitions included."""
+    path = Store(spark, "edge-lines").path("edges")
+    sources.write_edges(g_next(spark, sf), path)
+    return sources.read_edges(spark, path, n_parts=8).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("core_round_trip", with_(edges_(SQL_NEXT), V, LABELS, select="SELECT id, 0 AS part FROM labels0 WHERE label = 0"))
+def core_round_trip(spark, sf):
+    """Core vertices written as `id 0` lines and read back."""
+    path = Store(spark, "core-lines").path("core")
+    sources.write_core(assignment0(g_next(spark, sf)).where("part = 0"), path)
+    return sources.read_core(spark, path)
+
+
+@query(
+    "noncore_round_trip",
+    with_(edges_(SQL_NEXT), V, LABELS, ("core", "SELECT id FROM labels0 WHERE label = 0"),
+          select="SELECT src, dst, count(*) AS n FROM e WHERE src NOT IN (SELECT id FROM core) AND dst NOT IN (SELECT id FROM core) GROUP BY src, dst"),
+)
+def noncore_round_trip(spark, sf):
+    """The edges outside the core, written and read back."""
+    e = g_next(spark, sf)
+    path = Store(spark, "noncore-lines").path("edges")
+    sources.write_edges(partition.noncore_edges(e, assignment0(e).where("part = 0").select("id")), path)
+    return sources.read_edges(spark, path).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "adjacency_file",
+    with_(
+        edges_(SQL_NEXT),
+        ("u", "SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e WHERE src <> dst"),
+        ("a", "SELECT src AS id, dst AS nbr FROM u UNION ALL SELECT dst, src FROM u"),
+        ("ids", "SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT DISTINCT id FROM a)"),
+        select="""SELECT (SELECT count(*) FROM ids) || ' ' || (SELECT count(*) FROM u) || ' 000' AS line
+        UNION ALL SELECT string_agg(j.n::VARCHAR, ' ' ORDER BY j.n) FROM a JOIN ids i ON a.id = i.id
+        JOIN ids j ON a.nbr = j.id GROUP BY i.n""",
+    ),
+)
+def adjacency_file(spark, sf):
+    """Lines streamed to files in rows of twenty neighbours, and read back."""
+    path = Store(spark, "adjacency-file").path("lines")
+    graph.write_adjacency(g_next(spark, sf), path, piece=20)
+    return graph.read_adjacency(spark, path)
+
+
 @query(
     "adjacency_lines",
     with_(

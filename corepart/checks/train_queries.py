@@ -474,6 +474,46 @@ def embed_resume(spark, sf):
     return both.select("part", "id", same.alias("same"))
 
 
+@query("embed_resume_sage", with_(*ROUTED_NEXT, PART_V, select="SELECT part, id, true AS same FROM pv"))
+def embed_resume_sage(spark, sf):
+    """The same for the graph layers: weights, moments and step counts continue where they stopped."""
+    edges = Store(spark, "resume-sage").save(routed_next(spark, sf), "edges")
+    feats = feat_map(spark, sf, g_next(spark, sf))
+    path = Store(spark, "resume-sage-state").root
+    embed.embed_parts(edges, "sage", feats, state_path=path, epochs=1, **TRAIN)
+    continued = embed.embed_parts(edges, "sage", feats, state_path=path, epochs=2, **TRAIN)
+    whole = embed.embed_parts(edges, "sage", feats, epochs=2, **TRAIN)
+    both = continued.join(whole.withColumnRenamed("vec", "other"), ["part", "id"])
+    same = F.forall(F.zip_with("vec", "other", lambda a, b: F.abs(a - b) < 1e-6), lambda x: x)
+    return both.select("part", "id", same.alias("same"))
+
+
+@query(
+    "embed_whole",
+    with_(
+        *ROUTED_NEXT, PART_V,
+        ("held", "SELECT id, count(*) AS n FROM pv GROUP BY id"),
+        ("anchor", "SELECT part FROM pv GROUP BY part ORDER BY count(*) DESC, part LIMIT 1"),
+        select=f"""SELECT id, CASE WHEN n = {PARTS} THEN 1 ELSE n END AS n_rows,
+          id IN (SELECT id FROM pv WHERE part = (SELECT part FROM anchor)) AS as_trained FROM held""",
+    ),
+)
+def embed_whole(spark, sf):
+    """The whole job with training, down to the written lines: the anchor's vectors are those that were
+    trained, the core comes once, and other vertices once per part that has them."""
+    edges = Store(spark, "embed-whole").save(routed_next(spark, sf), "edges")
+    path = Store(spark, "embed-whole").path("lines")
+    options = {**TRAIN, "dim": 4}
+    embed.embed_job(edges, PARTS, "walks", out_path=path, ridge=1e-3, **options)
+    trained = embed.embed_parts(edges, "walks", **options)
+    anchor = align.anchor_part(trained).select("part")
+    anchored = trained.join(F.broadcast(anchor), "part").select("id", F.col("vec").alias("own"))
+    near = F.forall(F.zip_with("vec", "own", lambda a, b: F.abs(a - b) < 1e-6), lambda x: x)
+    lines = parse_embeddings(spark.read.text(path)).join(anchored, "id", "left")
+    found = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.coalesce(near, F.lit(False))).alias("as_trained"))
+    return found
+
+
 # --- alignment ----------------------------------------------------------------------
 
 PE = [SQL_PART_EMB]

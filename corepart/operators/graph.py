@@ -101,6 +101,54 @@ def adjacency_lines(edges: DataFrame) -> DataFrame:
     return header.unionByName(body)
 
 
+PIECE = 1000  # neighbours of a vertex in one row on the way to a file
+
+
+def adjacency_pieces(edges: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(line_no, at, first, value): the lines of `adjacency_lines` in rows of at most `piece` neighbours.
+
+    Rows of all vertices are numbered in one order and cut at every multiple of `piece`, so
+    a hub's list is many rows and never one value.
+    """
+    store = Store(edges.sparkSession, "adjacency-pieces")
+    simple = store.save(undirected(edges), "simple")
+    hubs = find_hubs(simple)
+    ids = store.save(dense_ids(vertices(simple)), "ids")
+    nbrs = lookup(adjacency(simple), "nbr", ids.withColumnRenamed("idx", "nbr_idx"), hubs, ("id",))
+    nbrs = lookup(nbrs, "id", ids, hubs, ("nbr",)).select("idx", "nbr_idx")
+    placed = store.save(dense_index(nbrs, ["idx", "nbr_idx"]), "placed")
+    cut = F.floor(F.col("pos") / piece).alias("cut")
+    rows = placed.groupBy("idx", cut).agg(F.min("pos").alias("at"), F.array_sort(F.collect_list(F.col("nbr_idx") + 1)).alias("l"))
+    starts = placed.groupBy("idx").agg(F.min("pos").alias("start"))
+    text = F.array_join(F.col("l").cast("array<string>"), " ")
+    body = rows.join(starts, "idx").select((F.col("idx") + 1).alias("line_no"), "at", (F.col("at") == F.col("start")).alias("first"), text.alias("value"))
+    header = graph_counts(simple).select(
+        F.lit(0).cast("bigint").alias("line_no"),
+        F.lit(0).cast("bigint").alias("at"),
+        F.lit(True).alias("first"),
+        F.concat_ws(" ", "n_vertices", "n_edges", F.lit("000")).alias("value"),
+    )
+    out = store.save(header.unionByName(body), "pieces")
+    store.keep_only("pieces")
+    return out
+
+
+def write_adjacency(edges: DataFrame, path: str, piece: int = PIECE) -> None:
+    """The text form as files whose contents, one file after the other, are the whole.
+
+    Rows are streamed in order with a blank after each; a line begins with its newline, so lines end with a blank. A vertex
+    is in one file.
+    """
+    rows = adjacency_pieces(edges, piece).repartitionByRange("line_no").sortWithinPartitions("line_no", "at")
+    newline = F.when(F.col("first") & (F.col("line_no") > 0), F.lit("\n")).otherwise(F.lit(""))
+    rows.select(F.concat(newline, "value").alias("value")).write.option("lineSep", " ").text(path)
+
+
+def read_adjacency(spark, path: str) -> DataFrame:
+    """(line): the lines that `write_adjacency` wrote, without outer blanks."""
+    return spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
+
+
 # --- joins between edges and vertex tables ------------------------------------------
 
 

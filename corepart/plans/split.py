@@ -20,8 +20,16 @@ class Split:
     part_edges: DataFrame  # (part, src, dst)
     report: dict
 
-    def write(self, path: str, feats: DataFrame | None = None, parts: int | None = None) -> None:
-        """Edge files under `path`/edges and feature files under `path`/feats, one folder per part."""
+    def write(self, path: str, feats: DataFrame | None = None, parts: int | None = None, named: bool = False) -> None:
+        """Edge files under `path`/edges and feature files under `path`/feats, one folder per part.
+
+        With `named` also `path`/part_0.txt, part_1.txt, ... and, with features, part_0.txt.feat, ...
+        """
+        if named:
+            sources.write_named_parts(self.part_edges, path, parts=self.report["parts"])
+            if feats is not None:
+                rows = route.part_features(feats, self.assignment, parts or self.report["parts"])
+                sources.write_named_features(rows, path, parts=self.report["parts"])
         sources.write_parts(self.part_edges, f"{path}/edges")
         if feats is not None:
             rows = route.part_features(feats, self.assignment, parts or self.report["parts"])

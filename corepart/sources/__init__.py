@@ -10,14 +10,19 @@ from corepart.sources.text import (
     parse_edges,
     parse_embeddings,
     parse_features,
+    named_manifest,
     part_manifest,
     read_assignment,
     read_core,
     read_edges,
     read_features,
+    read_named_features,
+    read_named_parts,
     read_parts,
     write_core,
     write_edges,
+    write_named_features,
+    write_named_parts,
     write_part_features,
     write_parts,
 )
@@ -31,17 +36,22 @@ __all__ = [
     "parse_edges",
     "parse_embeddings",
     "parse_features",
+    "named_manifest",
     "part_manifest",
     "read_assignment",
     "read_core",
     "read_edges",
     "read_features",
+    "read_named_features",
+    "read_named_parts",
     "read_parts",
     "read_stage_events",
     "shuffle_bytes",
     "stage_bytes",
     "write_core",
     "write_edges",
+    "write_named_features",
+    "write_named_parts",
     "write_part_features",
     "write_parts",
 ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +45,12 @@ def write_edges(edges: DataFrame, path: str) -> None:
     edge_lines(edges).write.text(path)
 
 
-def parse_edges(lines: DataFrame) -> DataFrame:
-    """(src, dst): first two whitespace-separated tokens; lines that start with # are skipped."""
+def parse_edges(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, src, dst): first two whitespace-separated tokens; lines that start with # are skipped."""
     kept = lines.where((F.col("value") != "") & ~F.col("value").startswith("#"))
     t = F.col("t")
-    return kept.select(_fields(r"\s+").alias("t")).select(
-        t[0].cast("bigint").alias("src"), t[1].cast("bigint").alias("dst")
+    return kept.select(*keep, _fields(r"\s+").alias("t")).select(
+        *keep, t[0].cast("bigint").alias("src"), t[1].cast("bigint").alias("dst")
     )
 
 
@@ -149,6 +151,70 @@ def write_part_features(part_feats: DataFrame, path: str, first_part: int = 1) -
     _write_by_part(part_feats.select((F.col("part") - first_part).alias("file"), line), path)
 
 
+def _write_named(rows: DataFrame, path: str, suffix: str, order: list[str], parts: int | None) -> None:
+    """One file `part_<file>.txt<suffix>` per value of `file`, its lines in `order`.
+
+    A file is streamed by one task, in sorted order. The files are written under a folder of their own
+    and get their names only after all of them are complete; a run that dies before leaves no
+    named file, and a repeated run replaces them. With `parts` the files 0 .. parts - 1 are all made, also empty ones.
+    """
+    spark = rows.sparkSession
+    store = Store(spark, "named", f"{path.rstrip('/')}/_writing-{uuid.uuid4().hex}")
+    sorted_rows = rows.repartitionByRange("file", F.lit(0)).sortWithinPartitions("file", *order)
+    sorted_rows.select("file", "value").write.partitionBy("file").text(store.root)
+    fs, root, jvm = store._hadoop("")
+    made = set()
+    for folder in store.names():
+        if folder.startswith("file="):
+            k = int(folder.removeprefix("file="))
+            (name,) = [n for n in store.names(folder) if n.startswith("part-")]
+            target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/part_{k}.txt{suffix}")
+            fs.delete(target, False)
+            if not fs.rename(jvm.org.apache.hadoop.fs.Path(store.path(f"{folder}/{name}")), target):
+                raise OSError(f"could not name {target}")
+            made.add(k)
+    for k in set(range(parts or 0)) - made:
+        fs.create(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/part_{k}.txt{suffix}"), True).close()
+    fs.delete(root, True)
+
+
+def write_named_parts(part_edges: DataFrame, path: str, first_part: int = 1, parts: int | None = None) -> None:
+    """`src dst` lines in `path`/part_0.txt, part_1.txt, ...: the files that a part's trainer is given."""
+    line = F.concat_ws(" ", "src", "dst").alias("value")
+    _write_named(part_edges.select((F.col("part") - first_part).alias("file"), "src", "dst", line), path, "", ["src", "dst"], parts)
+
+
+def write_named_features(part_feats: DataFrame, path: str, first_part: int = 1, parts: int | None = None) -> None:
+    """`id f1 … fd` lines in `path`/part_0.txt.feat, part_1.txt.feat, ..."""
+    line = F.concat_ws(" ", F.col("id").cast("string"), F.col("feat").cast("array<string>")).alias("value")
+    _write_named(part_feats.select((F.col("part") - first_part).alias("file"), "id", line), path, ".feat", ["id"], parts)
+
+
+def _read_named(spark: SparkSession, path: str, suffix: str, first_part: int) -> DataFrame:
+    lines = spark.read.option("pathGlobFilter", f"part_*.txt{suffix}").text(path)
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"part_(\d+)\.txt", 1).cast("int")
+    return lines.select((number + first_part).alias("part"), "value")
+
+
+def read_named_parts(spark: SparkSession, path: str, first_part: int = 1) -> DataFrame:
+    """(part, src, dst) written by write_named_parts."""
+    t = F.split("value", " ")
+    return _read_named(spark, path, "", first_part).select("part", t[0].cast("bigint").alias("src"), t[1].cast("bigint").alias("dst"))
+
+
+def read_named_features(spark: SparkSession, path: str, first_part: int = 1) -> DataFrame:
+    """(part, id, feat) written by write_named_features."""
+    rows = parse_embeddings(_read_named(spark, path, ".feat", first_part))
+    return rows.withColumnRenamed("vec", "feat")
+
+
+def named_manifest(spark: SparkSession, parts: int, path: str, epoch: int | None = None) -> DataFrame:
+    """(part, path[, epoch]): the file of each part 1 .. `parts`."""
+    part = F.col("id").cast("int")
+    out = spark.range(1, parts + 1).select(part.alias("part"), F.format_string(f"{path.rstrip('/')}/part_%d.txt", part - 1).alias("path"))
+    return out if epoch is None else out.withColumn("epoch", F.lit(epoch))
+
+
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
     """(part, src, dst) written by write_parts; the part is the file number plus one."""
     t = F.split("value", " ")

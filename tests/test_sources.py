@@ -1,6 +1,7 @@
 """Reading and writing the text formats."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,39 @@ def test_features_reach_the_scan(spark, folder):
     spark.range(10).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("x").alias("other")).write.parquet(path)
     plan = graph.degrees(spark.read.parquet(path))._jdf.queryExecution().toString()
     assert "ReadSchema: struct<src:bigint,dst:bigint>" in plan
+
+
+def test_named_part_files(spark, folder):
+    edges = spark.createDataFrame([(1, 5, 6), (1, 1, 2), (1, 1, 2), (3, 9, 9)], "part int, src bigint, dst bigint")
+    path = folder.path("named")
+    sources.write_named_parts(edges, path, parts=4)
+    assert {f for f in os.listdir(path) if f[0] not in "._"} == {f"part_{k}.txt" for k in range(4)}
+    with open(f"{path}/part_0.txt") as f:
+        assert f.read() == "1 2\n1 2\n5 6\n"  # in order
+    assert os.path.getsize(f"{path}/part_1.txt") == 0
+    back = sorted(map(tuple, sources.read_named_parts(spark, path).collect()))
+    assert back == [(1, 1, 2), (1, 1, 2), (1, 5, 6), (3, 9, 9)]
+    sources.write_named_parts(edges.where("part = 1 AND src = 5"), path, parts=1)  # a repeated run replaces files
+    assert sorted(map(tuple, sources.read_named_parts(spark, path).collect())) == [(1, 5, 6), (3, 9, 9)]
+    feats = spark.createDataFrame([(1, 2, [0.5, 1.0]), (1, 1, [2.0, -1.0])], "part int, id bigint, feat array<double>")
+    sources.write_named_features(feats, path)
+    with open(f"{path}/part_0.txt.feat") as f:
+        assert f.read() == "1 2.0 -1.0\n2 0.5 1.0\n"
+    assert sorted(map(tuple, sources.read_named_features(spark, path).collect())) == [(1, 1, [2.0, -1.0]), (1, 2, [0.5, 1.0])]
+    assert sources.read_named_parts(spark, path).count() == 2  # features are no edges
+
+
+def test_a_hub_line_is_streamed_in_pieces(spark, folder):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(5, 6)], "src bigint, dst bigint")
+    pieces = graph.adjacency_pieces(edges, piece=16)
+    assert pieces.selectExpr("max(size(split(value, ' ')))").first()[0] <= 16
+    assert pieces.where("line_no = 1").count() >= 299 // 16
+    path = folder.path("adjacency")
+    graph.write_adjacency(edges, path, piece=16)
+    text = ""
+    for name in sorted(n for n in os.listdir(path) if n.startswith("part-")):
+        with open(f"{path}/{name}") as f:
+            text += f.read()
+    want = [r.line for r in graph.adjacency_lines(edges).orderBy("line_no").collect()]
+    assert [line.strip() for line in text.split("\n")] == want
+    assert sorted(r.line for r in graph.read_adjacency(spark, path).collect()) == sorted(want)
