@@ -116,6 +116,48 @@ def label_scores(freq: DataFrame, load: DataFrame, lam_edge: float, affinity: st
     return grouped.select("id", "total", F.transform("s", scored).alias("seen"))
 
 
+def label_counts(freq: DataFrame) -> DataFrame:
+    """(id, counts): of each vertex the array of (label, cnt) among its neighbours, at most P + 1 entries."""
+    return freq.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("label", "cnt"))).alias("counts"))
+
+
+def changed_counts(counts: str, changes: str) -> Column:
+    """Counts with signed changes (both arrays of (label, cnt)) added; labels that reach 0 go. No changes: null."""
+    labels = F.array_sort(F.array_distinct(F.concat(F.transform(counts, lambda x: x["label"]), F.transform(changes, lambda x: x["label"]))))
+    zero = F.lit(0).cast("bigint")
+
+    def total(label: Column) -> Column:
+        both = F.filter(F.concat(F.col(counts), F.col(changes)), lambda x: x["label"] == label)
+        return F.struct(label.alias("label"), F.aggregate(both, zero, lambda s, x: s + x["cnt"]).alias("cnt"))
+
+    added = F.filter(F.transform(labels, total), lambda x: x["cnt"] != 0)
+    return F.when(F.col(changes).isNull(), F.col(counts)).otherwise(added)
+
+
+def moved_counts(adj: DataFrame, moves: DataFrame, hubs: Hubs | None = None) -> DataFrame:
+    """(id, changes): what the neighbours' moves (id, old_label, new_label) change in each vertex's counts."""
+    near = lookup(adj, "nbr", moves.select("id", "old_label", "new_label"), hubs, ("id",))
+    signed = F.array(
+        F.struct(F.col("old_label").alias("label"), (-F.col("w")).alias("cnt")), F.struct(F.col("new_label").alias("label"), F.col("w").alias("cnt"))
+    )
+    rows = near.select("id", F.inline(signed)).groupBy("id", "label").agg(F.sum("cnt").alias("cnt"))
+    return rows.groupBy("id").agg(F.collect_list(F.struct("label", "cnt")).alias("changes"))
+
+
+def scores_of_counts(vertices: DataFrame, load: dict[int, float], lam_edge: float, affinity: str = "floor") -> DataFrame:
+    """Add `seen` as `label_scores` gives it, from the vertex's own `counts`: nothing is joined."""
+    if affinity not in ("floor", "ratio"):
+        raise ValueError("affinity is 'floor' or 'ratio'")
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, x: s + x["cnt"])
+
+    def scored(x: Column) -> Column:
+        share = (x["cnt"] == F.col("total")).cast("double") if affinity == "floor" else x["cnt"] / F.col("total")
+        score = F.round(share + F.lit(lam_edge) * (F.lit(1.0) - by_label(load, x["label"])), DIGITS)
+        return F.struct(x["label"].alias("label"), x["cnt"].alias("cnt"), score.alias("score"))
+
+    return vertices.withColumn("total", total).withColumn("seen", F.transform("counts", scored)).drop("total")
+
+
 def _score_of(seen: str, label: Column) -> Column:
     """Score of a label in the array, 0 when the label is not there."""
     hit = F.filter(seen, lambda x: x["label"] == label)
@@ -130,7 +172,11 @@ def core_candidate(
     Its score is the neighbours' score of label 0 (0 when absent) plus a bonus that grows with
     the vertex score; without a threshold there is no bonus.
     """
-    joined = scored.join(state, "id")
+    return with_candidates(scored.join(state, "id"), threshold, lam_rank)
+
+
+def with_candidates(joined: DataFrame, threshold: float | None = None, lam_rank: float = 0.0) -> DataFrame:
+    """The same for rows that have their state already: adds `cands`."""
     bonus = F.lit(0.0) if threshold is None else F.lit(lam_rank) * (F.col("score") / F.lit(threshold) - 1.0)
     zero = F.struct(
         F.lit(0).alias("label"), F.round(_score_of("seen", F.lit(0)) + bonus, DIGITS).alias("score")
@@ -142,11 +188,11 @@ def core_candidate(
     return joined.withColumn("cands", F.concat(others, F.array(zero)))
 
 
-def propose(candidates: DataFrame) -> DataFrame:
+def propose(candidates: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Best candidate per vertex; it moves only if its own label's plain score is lower.
 
     Ties go to the lowest label. (id, old_label, new_label, score, best, cut_all, cut_real);
-    the cut columns count the edge ends whose other end has another label.
+    the cut columns count the edge ends whose other end has another label; then the columns of `keep`.
     """
     best = F.array_max(
         F.transform("cands", lambda x: F.struct(x["score"].alias("score"), (-x["label"]).alias("neg")))
@@ -167,6 +213,7 @@ def propose(candidates: DataFrame) -> DataFrame:
         F.col("b.score").alias("best"),
         count(away).alias("cut_all"),
         count(away_real).alias("cut_real"),
+        *keep,
     )
 
 
@@ -199,13 +246,13 @@ def migration_prob(sizes: DataFrame, wanted: DataFrame, caps: dict[int, float])
     return wanted.join(sizes, "label", "left").select("label", (free / F.col("demand")).alias("prob"))
 
 
-def migrate(proposal: DataFrame, prob: dict[int, float], salt: str) -> DataFrame:
-    """New state: a mover changes its label if its draw is below the target's probability."""
+def migrate(proposal: DataFrame, prob: dict[int, float], salt: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """New state, and the columns of `keep`: a mover changes its label if its draw is below the target's probability."""
     goes = draw("id", salt=salt) < by_label(prob, "new_label")
     label = F.when(F.col("old_label") == F.col("new_label"), F.col("old_label")).otherwise(
         F.when(goes, F.col("new_label")).otherwise(F.col("old_label"))
     )
-    return proposal.select("id", label.alias("label"), "score")
+    return proposal.select("id", label.alias("label"), "score", *keep)
 
 
 def progress(value: float, best: float) -> float:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -75,18 +76,21 @@ def _propagate(
     hubs: Hubs,
 ) -> Partitioning:
     store = Store(edges.sparkSession, "propagate")
-    # merged once and kept partitioned by neighbour: rounds shuffle states and label counts,
-    # never the edges
+    # merged once and kept partitioned by neighbour: only moves are sent along it
     adj = resident(store.save(graph.weighted_adjacency(edges), "adjacency"), "nbr", hubs, ("id",))
     state = store.save(state, "state-0")
+    counts = labels.label_counts(labels.neigh_label_freq(adj, state, hubs))
+    # A vertex keeps its label and its neighbours' label counts in one row, in buckets of its id. A round
+    # scores rows where they are; what is shuffled are the movers and what they change.
+    rows = store.save_bucketed(state.join(counts, "id"), "vertices-0", ["id"])
+    now = Counter({r.label: r.size for r in labels.part_size(rows).collect()})  # P + 1 rows
     out, best = Partitioning(state), 0.0
     try:
         for r in range(1, max_rounds + 1):
-            load = labels.part_load(labels.part_size(state), caps)
-            freq = labels.neigh_label_freq(adj, state, hubs)
-            scored = labels.label_scores(freq, load, lam_edge, affinity)
-            proposal = labels.propose(labels.core_candidate(scored, state, threshold, lam_rank))
-            proposal = store.save(proposal, f"proposal-{r}")
+            load = {p: n / caps[p] for p, n in now.items()}
+            scored = labels.scores_of_counts(rows, load, lam_edge, affinity)
+            proposal = labels.propose(labels.with_candidates(scored, threshold, lam_rank), ("counts",))
+            proposal = store.save_bucketed(proposal, f"proposal-{r}", ["id"], placed=True)
             # at most (P + 1)^2 rows: sizes, demand, objective and cuts in one pass
             cells = proposal.groupBy("old_label", "new_label").agg(
                 F.count(F.lit(1)).alias("n"),
@@ -106,7 +110,14 @@ def _propagate(
                 cut_all += c.cut_all
                 cut_real += c.cut_real
             prob = {p: (caps[p] - sizes.get(p, 0)) / n for p, n in wanted.items()}
-            state = labels.migrate(proposal, prob, f"{seed}:migrate:{r}")
+            placed = labels.migrate(proposal, prob, f"{seed}:migrate:{r}", ("old_label", "counts"))
+            moves = placed.where(F.col("old_label") != F.col("label")).withColumnRenamed("label", "new_label")
+            went = moves.groupBy("old_label", "new_label").agg(F.count(F.lit(1)).alias("n")).collect()  # at most (P + 1)^2
+            now = Counter(sizes)
+            for m in went:
+                now[m.old_label] -= m.n
+                now[m.new_label] += m.n
+            now = Counter({p: n for p, n in now.items() if n})
             moved = labels.progress(value, best)
             out.report.append(
                 {
@@ -120,18 +131,21 @@ def _propagate(
                     "prob": prob,
                     "objective": value,
                     "progress": moved,
+                    "moved": sum(m.n for m in went),
                 }
             )
-            store.drop("state-0" if r == 1 else f"proposal-{r - 1}")
+            changes = labels.moved_counts(adj, moves, hubs)
+            rows = placed.drop("old_label").join(changes, "id", "left")
+            rows = rows.withColumn("counts", labels.changed_counts("counts", "changes")).drop("changes")
+            store.drop("vertices-0" if r == 1 else f"proposal-{r - 1}")
             if moved < tol:
                 out.converged = True
                 break
             best = max(best, value)
-        out.state = store.save(state, "state")
-        store.drop("adjacency")
-        store.drop(f"proposal-{len(out.report)}")
+        out.state = store.save(placed.select("id", "label", "score"), "state")
     finally:
         adj.unpersist()
+        store.keep_only("state")
     return out
 
 

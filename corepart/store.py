@@ -48,16 +48,16 @@ class Store:
         writer.parquet(self.path(tag))
         return self.read(tag, df.schema)
 
-    def save_bucketed(self, df: DataFrame, tag: str, cols: list[str], sort: list[str] | None = None) -> DataFrame:
+    def save_bucketed(self, df: DataFrame, tag: str, cols: list[str], placed: bool = False) -> DataFrame:
         """Write in buckets of `cols`, one file each, and read back as they lie.
 
         Joins and groups on these columns need no shuffle of the table. The buckets are as many as
-        the session's shuffle partitions. They are known to the catalog of this session only, under
-        the table's folder name, until `drop`.
+        the session's shuffle partitions. They are known to the catalog of this session only, until
+        `drop`. `placed` rows come from such a table and are in its buckets already.
         """
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"corepart_{uuid.uuid4().hex}"
-        writer = df.repartition(n, *cols).write.bucketBy(n, *cols).sortBy(*(sort or cols))
+        writer = (df if placed else df.repartition(n, *cols)).write.bucketBy(n, *cols).sortBy(*cols)
         writer.format("parquet").option("path", self.path(tag)).saveAsTable(name)
         self.tables[tag] = name
         return self.spark.table(name)

@@ -39,3 +39,14 @@ def hub_edges(spark):
     rows = [(0, i) for i in range(1, 101)] + [(i, 0) for i in range(101, 151)]
     rows += [(rnd.randrange(1, 200), rnd.randrange(1, 200)) for _ in range(500)]
     return spark.createDataFrame(rows, "src bigint, dst bigint").cache()
+
+
+@pytest.fixture
+def sort_merge_only(spark):
+    """Plans as they are for large tables, and before they run."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    for k, v in held.items():
+        spark.conf.set(k, v)

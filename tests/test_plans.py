@@ -1,10 +1,12 @@
 """Physical plans: what must not be in them, and what must."""
 
 import pytest
+from plan_text import exchanges_below
 from pyspark.sql import functions as F
 
 from corepart.operators import graph, labels, route, walks
 from corepart.operators.skew import resident
+from corepart.plans import partition
 from corepart.store import Store
 
 
@@ -70,3 +72,35 @@ def test_degrees_read_the_edges_once(spark, hub_edges):
     path = Store(spark, "plan-test").path("edges")
     hub_edges.write.parquet(path)
     assert plan(graph.degrees(spark.read.parquet(path))).count("FileScan") == 1
+
+
+def test_label_counts_follow_the_moves(spark, hub_edges):
+    """Counts changed by a round's moves equal counts made anew, also where labels vanish."""
+    adj = graph.weighted_adjacency(hub_edges)
+    ids = graph.vertices(hub_edges)
+    state = ids.select("id", (F.col("id") % 4).cast("int").alias("label"))
+    before = labels.label_counts(labels.neigh_label_freq(adj, state))
+    moves = state.select("id", F.col("label").alias("old_label"), F.pmod(F.xxhash64("id"), F.lit(5)).cast("int").alias("new_label"))
+    moves = moves.where("id % 3 = 0 AND old_label <> new_label")
+    after = state.join(moves.drop("old_label"), "id", "left").select("id", F.coalesce("new_label", "label").alias("label"))
+    changed = before.join(labels.moved_counts(adj, moves), "id", "left").select("id", labels.changed_counts("counts", "changes").alias("counts"))
+    want = labels.label_counts(labels.neigh_label_freq(adj, after))
+    assert sorted(map(str, changed.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_round_does_not_shuffle_the_vertices(spark, hub_edges, sort_merge_only):
+    store = Store(spark, "round-test")
+    adj = graph.weighted_adjacency(hub_edges)
+    state = graph.vertices(hub_edges).select("id", (F.col("id") % 3).cast("int").alias("label"), F.lit(1.0).alias("score"))
+    rows = state.join(labels.label_counts(labels.neigh_label_freq(adj, state)), "id")
+    rows = store.save_bucketed(rows, "vertices", ["id"])
+    moves = rows.where("id % 7 = 0").select("id", F.col("label").alias("old_label"), F.lit(0).alias("new_label"))
+    nxt = rows.join(labels.moved_counts(adj, moves), "id", "left").withColumn("counts", labels.changed_counts("counts", "changes"))
+    scored = labels.propose(labels.with_candidates(labels.scores_of_counts(nxt, {0: 0.5, 1: 0.9, 2: 1.1}, 1.0), 2.0, 0.5), ("counts",))
+    assert not exchanges_below(scored._jdf.queryExecution().executedPlan().toString(), store.tables["vertices"])
+
+
+def test_fewer_and_fewer_move(spark, hub_edges):
+    out = partition.partition_with_core(hub_edges, 3, 0.05, max_rounds=6, seed=3, affinity="ratio", tol=0.0)
+    moved = [r["moved"] for r in out.report]
+    assert moved[0] > moved[-1] and out.state.count() == graph.vertices(hub_edges).count()

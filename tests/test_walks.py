@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from plan_text import exchanges_below
 from pyspark.sql import functions as F
 
 from corepart.operators import walks
@@ -111,32 +112,6 @@ def test_missing_features_are_named(spark):
         walks.part_graph_feats(v, feats)
 
 
-def exchanges_below(plan: str, scan: str) -> bool:
-    """True if an Exchange stands between a scan of this table and the join above it."""
-    lines = plan.splitlines()
-    at = next(i for i, line in enumerate(lines) if scan in line)
-    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
-    for line in reversed(lines[:at]):
-        own = len(line) - len(line.lstrip(" :+-"))
-        if own < depth:
-            depth = own
-            if "Exchange" in line:
-                return True
-            if "Join" in line:
-                return False
-    raise AssertionError("no join above the scan")
-
-
-@pytest.fixture
-def sort_merge_only(spark):
-    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    yield
-    for k, v in held.items():
-        spark.conf.set(k, v)
-
-
 def test_a_step_shuffles_walkers_only(spark, hub_edges, sort_merge_only):
     index = walks.WalkIndex(hub_edges, per_node=2, walkers=20)
     at = spark.range(100).select(F.col("id").alias("origin"), F.lit(0).alias("walk"), F.col("id").alias("cur"))
