@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -286,22 +289,43 @@ def random_score(v: DataFrame, seed: int) -> DataFrame:
     return v.select("id", draw("id", salt=f"{seed}:score").alias("score"))
 
 
-def components(v: DataFrame, edges: DataFrame, hubs: Hubs | None = None, history: list[int] | None = None) -> DataFrame:
+FEW = 1 << 17  # edges between representatives that one task joins up, 2 MB
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (src, dst) to (id, rep): the least id that edges lead to, for every end."""
+    parts = [(np.asarray(b.column("src")), np.asarray(b.column("dst"))) for b in batches]
+    a, b = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    ids, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = places[: len(a)], places[len(a) :]
+    root = np.arange(len(ids))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "rep"])
+
+
+def components(
+    v: DataFrame, edges: DataFrame, hubs: Hubs | None = None, history: list[int] | None = None, few: int = FEW
+) -> DataFrame:
     """(id, component): the least vertex id reachable over undirected edges.
 
     Edges are contracted: in a round every vertex joins the one that comes first, in a random
     order of the round, among itself and its neighbours. Edges are rewritten between these
     representatives, loops and repetitions go, and the next round has fewer of both. The representatives are then
     followed back from the last round to the first, with the least id of what they stand
-    for. Rounds grow with the logarithm of the vertices, whatever the length of paths. Vertices of `v`
-    without an edge form their own component. `history` gets the edges of each round.
+    for. Rounds grow with the logarithm of the vertices, whatever the length of paths. When at most `few` edges are
+    left, a single task joins them up. Vertices of `v` without an edge form their own
+    component. `history` gets the edges of each round.
     """
     store = Store(v.sparkSession, "components")
     left, rounds = store.save(undirected(edges), "edges-0"), 0
     least = vertices(left).select("id", F.col("id").alias("least"))
-    while not left.isEmpty():
+    while (n := left.count()) > few:
         if history is not None:
-            history.append(left.count())
+            history.append(n)
         order = lambda c, salt=rounds: F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("h"), F.col(c).alias("id"))
         # One aggregation: who comes first around a vertex, and how many edges it has.
         ends = F.array(F.struct(F.col("src").alias("id"), order("dst").alias("near")), F.struct(F.col("dst").alias("id"), order("src").alias("near")))
@@ -315,11 +339,17 @@ def components(v: DataFrame, edges: DataFrame, hubs: Hubs | None = None, history
         rounds += 1
         left = store.save(undirected(moved.select(F.col("a").alias("src"), F.col("b").alias("dst"))), f"edges-{rounds}")
         store.drop(f"edges-{rounds - 1}")
-    found = least.select("id", F.col("least").alias("component"))
+    found = left.repartition(1).mapInArrow(_joined_up, "id bigint, rep bigint")  # at most `few` rows
+    if rounds:
+        last = store.save(found.join(least, "id"), "last")
+        tops = last.groupBy("rep").agg(F.min("least").alias("component"))
+        found = last.join(tops, "rep").select("id", "component")
+    else:
+        found = found.withColumnRenamed("rep", "component")
     for r in reversed(range(rounds)):
-        if r < rounds - 1:  # representatives that had no edge left stand for their own component
-            known = store.read(f"least-{r + 1}").join(found, "id", "left")
-            found = known.select("id", F.coalesce("component", "least").alias("component"))
+        # representatives that had no edge left stand for their own component
+        known = store.read(f"least-{r + 1}").join(found, "id", "left")
+        found = known.select("id", F.coalesce("component", "least").alias("component"))
         reps = store.read(f"reps-{r}")
         counts = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("rep", "id")
         through = lookup(reps.select("id", "rep"), "rep", found, hubs_of(counts, "n"), ("id",)).select("id", "component")
