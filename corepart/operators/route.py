@@ -5,12 +5,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corepart.functions import draw_int
 from corepart.operators import graph
-from corepart.operators.skew import Hubs
+from corepart.operators.skew import Hubs, find_hubs, hubs_of, lookup
+from corepart.store import Store
 
 
 def all_parts(parts: int) -> Column:
@@ -68,31 +71,65 @@ def missing_vertices(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     return graph.exclude(graph.vertices(edges), assignment)
 
 
+def _open_ends(ends: DataFrame) -> DataFrame:
+    """(id): the ends without a part of edges (src, dst, src_part, dst_part)."""
+    each = F.array(F.struct(F.col("src").alias("id"), F.col("src_part").alias("p")), F.struct(F.col("dst").alias("id"), F.col("dst_part").alias("p")))
+    return ends.select(F.explode(each).alias("e")).where("e.p = -1").select("e.id")
+
+
+def place_missing(open_edges: DataFrame, parts: int, seed: int) -> DataFrame:
+    """(id, part): a random part for unassigned vertices that touch the core or each other.
+
+    `open_edges` are the edges (src, dst, src_part, dst_part) with at least one end without a part (-1); no others
+    are needed. Unassigned vertices joined by an edge share one part, drawn on their least id.
+    """
+    a, b = F.col("src_part"), F.col("dst_part")
+    loose = open_edges.where((a == -1) & (b == -1)).select("src", "dst")
+    touching = _open_ends(open_edges.where((a <= 0) & (b <= 0))).distinct()  # -1 beside 0 or -1
+    comp = graph.components(_open_ends(open_edges).distinct(), loose)
+    reached = graph.restrict(comp, touching).select(F.col("component").alias("id")).distinct()
+    sizes = comp.groupBy(F.col("component").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    # one component may hold most of them
+    kept = lookup(comp, "component", reached, hubs_of(sizes, "n"), ("id",))
+    return kept.select("id", draw_int("component", salt=f"{seed}:missing", k=parts, start=1).alias("part"))
+
+
 def assign_missing(
     edges: DataFrame, assignment: DataFrame, parts: int, seed: int, hubs: Hubs | None = None
 ) -> DataFrame:
-    """`assignment` plus a random part for unassigned vertices that touch the core or each other.
+    """`assignment` plus a part from `place_missing`.
 
-    Unassigned vertices joined by an edge share one part, drawn on their least id. One that
-    touches only assigned non-core vertices stays unassigned: its edges are cut.
+    A vertex that touches only assigned non-core vertices stays unassigned: its edges are cut.
     """
-    ends = graph.edge_parts(edges, assignment, hubs)
-    a, b = F.col("src_part"), F.col("dst_part")
-    loose = ends.where((a == -1) & (b == -1)).select("src", "dst")
-    touching = (
-        ends.where(((a == -1) & ((b == 0) | (b == -1))) | ((b == -1) & (a == 0)))
-        .select(F.explode(F.array(F.struct(F.col("src").alias("id"), a.alias("p")),
-                                  F.struct(F.col("dst").alias("id"), b.alias("p")))).alias("e"))
-        .where("e.p = -1")
-        .select("e.id")
-        .distinct()
-    )
-    comp = graph.components(missing_vertices(edges, assignment), loose)
-    reached = graph.restrict(comp, touching).select("component").distinct()
-    placed = comp.join(reached, "component", "left_semi").select(
-        "id", draw_int("component", salt=f"{seed}:missing", k=parts, start=1).alias("part")
-    )
-    return assignment.select("id", "part").unionByName(placed)
+    ends = graph.edge_parts(edges, assignment, hubs).where("src_part = -1 OR dst_part = -1")
+    open_edges = Store(edges.sparkSession, "assign-missing").save(ends, "open")
+    return assignment.select("id", "part").unionByName(place_missing(open_edges, parts, seed))
+
+
+@dataclass
+class Ends:
+    """Edges with the parts of both ends, looked up once."""
+
+    assignment: DataFrame  # (id, part), with the parts of vertices that had none
+    ends: DataFrame  # (src, dst, src_part, dst_part), the same
+    missing: int  # vertices that had none
+    store: Store
+
+
+def final_ends(edges: DataFrame, assignment: DataFrame, parts: int, seed: int, hubs: Hubs | None = None) -> Ends:
+    """Look both ends of all edges up once; only edges with an open end meet the new parts."""
+    store = Store(edges.sparkSession, "ends")
+    ends = store.save(graph.edge_parts(edges, assignment, hubs), "first")
+    is_open = F.expr("src_part = -1 OR dst_part = -1")
+    open_edges = store.save(ends.where(is_open), "open")
+    placed = store.save(place_missing(open_edges, parts, seed), "placed")
+    near = find_hubs(open_edges)
+    again = lookup(open_edges, "src", placed.withColumnRenamed("part", "a"), near, ("dst",), how="left")
+    again = lookup(again, "dst", placed.withColumnRenamed("part", "b"), near, ("src",), how="left")
+    again = again.select("src", "dst", F.coalesce("a", "src_part").alias("src_part"), F.coalesce("b", "dst_part").alias("dst_part"))
+    full = store.save(assignment.select("id", "part").unionByName(placed), "assignment")
+    missing = _open_ends(open_edges).distinct().count()
+    return Ends(full, ends.where(~is_open).unionByName(again), missing, store)
 
 
 def combine_assignment(core: DataFrame, parts: DataFrame) -> DataFrame:
@@ -115,22 +152,25 @@ def core_degree_mean(edges: DataFrame, core: DataFrame) -> DataFrame:
     return graph.restrict(graph.degrees(edges), core).agg(F.avg("degree").alias("core_degree_mean"))
 
 
+def core_degree_of(ends: DataFrame) -> DataFrame:
+    """One row (core_degree_mean) from edges whose ends were looked up before."""
+    each = F.array(F.struct(F.col("src").alias("id"), F.col("src_part").alias("p")), F.struct(F.col("dst").alias("id"), F.col("dst_part").alias("p")))
+    degree = ends.select(F.inline(each)).where("p = 0").groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return degree.agg(F.avg("degree").alias("core_degree_mean"))
+
+
 def route_stats(
     edges: DataFrame, assignment: DataFrame, parts: int, seed: int, hubs: Hubs | None = None
 ) -> DataFrame:
     """One row of the routing report: n_core, n_cut, n_missing, n_assigned, core_degree_mean."""
-    full = assign_missing(edges, assignment, parts, seed, hubs)
-    cut = graph.edge_parts(edges, full, hubs).agg(
-        F.count_if(F.size(_targets(parts)) == 0).alias("n_cut")
-    )
-    sizes = full.agg(
+    found = final_ends(edges, assignment, parts, seed, hubs)
+    cut = found.ends.agg(F.count_if(F.size(_targets(parts)) == 0).alias("n_cut"))
+    sizes = found.assignment.agg(
         F.count_if(F.col("part") == 0).alias("n_core"), F.count(F.lit(1)).alias("n_assigned")
     )
-    missing = missing_vertices(edges, assignment).agg(F.count(F.lit(1)).alias("n_missing"))
-    degree = core_degree_mean(edges, assignment.where(F.col("part") == 0))
     one = F.lit(1).alias("_one")
-    out = sizes.withColumn("_one", one)
-    for row in (cut, missing, degree):  # single rows
+    out = sizes.withColumns({"n_missing": F.lit(found.missing).cast("bigint"), "_one": one})
+    for row in (cut, core_degree_of(found.ends)):  # single rows
         out = out.join(F.broadcast(row.withColumn("_one", one)), "_one")
     return out.drop("_one")
 

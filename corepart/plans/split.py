@@ -42,20 +42,19 @@ def route_split(
     """Route all edges by a given assignment, after giving loose vertices a part."""
     hubs = find_hubs(edges) if hubs is None else hubs
     store = Store(edges.sparkSession, "split")
-    full = store.save(route.assign_missing(edges, assignment, parts, seed, hubs), "assignment")
-    ends = store.save(graph.edge_parts(edges, full, hubs), "ends")  # looked up once for both
-    routed = store.save(route.route_ends(ends, parts), "edges")
-    cut = route.cut_edges(ends, ignore_core=True, attr="part")
+    found = route.final_ends(edges, assignment, parts, seed, hubs)
+    full, routed = store.save(found.assignment, "assignment"), store.save(route.route_ends(found.ends, parts), "edges")
+    cut = route.cut_edges(found.ends, ignore_core=True, attr="part")
     sizes = {r.part: r.n_vertices for r in route.part_report(full).collect()}  # one row per part
     report = {
         "parts": parts,
         "core": sizes.get(0, 0),
         "sizes": sizes,
         "cut": cut.count(),
-        "missing": route.missing_vertices(edges, assignment).count(),
-        "core_degree_mean": route.core_degree_mean(edges, assignment.where(F.col("part") == 0)).first()[0],
+        "missing": found.missing,
+        "core_degree_mean": route.core_degree_of(found.ends).first()[0],
     }
-    store.drop("ends")
+    found.store.keep_only()
     return Split(full, routed, report)
 
 

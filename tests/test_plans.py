@@ -104,3 +104,25 @@ def test_fewer_and_fewer_move(spark, hub_edges):
     out = partition.partition_with_core(hub_edges, 3, 0.05, max_rounds=6, seed=3, affinity="ratio", tol=0.0)
     moved = [r["moved"] for r in out.report]
     assert moved[0] > moved[-1] and out.state.count() == graph.vertices(hub_edges).count()
+
+
+def test_routing_looks_the_edges_up_once(spark, hub_edges, monkeypatch):
+    """One look-up per end of all edges; after it only edges with an open end are joined."""
+    looked = []
+    real = graph.lookup
+
+    def counted(rows, key, *rest, **named):
+        looked.append((key, rows.count()))
+        return real(rows, key, *rest, **named)
+
+    monkeypatch.setattr(graph, "lookup", counted)
+    monkeypatch.setattr(route, "lookup", counted)
+    parts = graph.vertices(hub_edges).select("id", (F.col("id") % 4).cast("int").alias("part")).where("id % 10 <> 3")
+    found = route.final_ends(hub_edges, parts, 3, 1)
+    whole, open_edges = hub_edges.count(), graph.edge_parts(hub_edges, parts).where("src_part = -1 OR dst_part = -1").count()
+    assert 0 < open_edges < whole
+    assert [n for k, n in looked if k in ("src", "dst") and n == whole][:2] == [whole, whole]
+    assert sum(n == whole for k, n in looked[:-2]) == 2
+    assert found.ends.count() == whole
+    again = graph.edge_parts(hub_edges, found.assignment)
+    assert sorted(map(tuple, found.ends.collect())) == sorted(map(tuple, again.select(*found.ends.columns).collect()))
