@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corepart.llm.registry import query, table
+from corepart.store import Store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORT = 8  # hexadecimal digits of a digest in the join
+SLOT_ROWS = 1_000_000  # rows of one url that go to one task
+OFTEN = 10_000  # urls that may be broadcast with their number of slots, the most frequent ones
 BROADCAST_RULES = 50_000  # rule rows that may be broadcast: some megabytes
 
 
@@ -52,7 +55,7 @@ def _rule_index(rules: DataFrame) -> DataFrame:
     return out.select(F.substring("r_full", 1, SHORT).alias("short"), "*").distinct()
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", slot_rows: int = SLOT_ROWS) -> DataFrame:
     """(row, host, path, rule, verdict): one row per row of `pages`, which is kept whole in `row`.
 
     `rules` has (host, path, verdict). A rule fits its host and all subdomains when the url's
@@ -76,15 +79,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     # No rule has more labels or slashes than these, so longer expressions fit none.
     labels = F.least(_labels(F.col("host")), F.lit(most.labels))
     slashes = F.least(_slashes(F.col("path")), F.lit(most.slashes))
+    named = rows.where(F.col("host") != "")
+    urls = named.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     expressions = (
-        rows.where(F.col("host") != "")
-        .select("host", "path")
-        .distinct()
+        urls
         .withColumn("i", F.explode(F.sequence(F.lit(1), labels)))
         .withColumn("j", F.explode(F.sequence(F.lit(0), slashes)))
         .select(
             "host",
             "path",
+            "n",
             F.sha2(
                 F.concat(
                     F.expr("substring_index(host, '.', -i)"),
@@ -99,9 +103,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         expressions.join(index, "short")
         .where((F.col("full") == F.col("r_full")) & F.col("path").startswith(F.col("r_path")))
         .groupBy("host", "path")
-        .agg(F.max(F.struct(F.length("rule"), F.length("r_host"), "verdict", "rule")).alias("best"))
+        .agg(F.max(F.struct(F.length("rule"), F.length("r_host"), "verdict", "rule")).alias("best"), F.max("n").alias("n"))
     )
-    return rows.join(best, ["host", "path"], "left").select(
+    # Urls without a host can match nothing and meet no key. The rows of a url that comes often are
+    # dealt to slots, and its verdict is copied to each.
+    store = Store(pages.sparkSession, "url-rules")
+    best = store.save(best.withColumn("fan", F.ceil(F.col("n") / slot_rows).cast("int")).drop("n"), "best")
+    often = best.where("fan > 1").orderBy(F.desc("fan"), "host", "path").limit(OFTEN).select("host", "path", F.col("fan").alias("f"))
+    named = named.join(F.broadcast(often), ["host", "path"], "left")
+    named = named.withColumn("slot", F.floor(F.rand(1) * F.coalesce("f", F.lit(1))).cast("int")).drop("f")
+    verdicts = best.join(F.broadcast(often), ["host", "path"], "left")
+    verdicts = verdicts.withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("f", F.lit(1)) - 1))).drop("f", "fan")
+    judged = named.join(verdicts, ["host", "path", "slot"], "left").drop("slot")
+    nameless = rows.where(F.col("host") == "").withColumn("best", F.lit(None).cast(verdicts.schema["best"].dataType))
+    return judged.unionByName(nameless).select(
         "row",
         "host",
         "path",

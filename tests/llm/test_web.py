@@ -44,6 +44,17 @@ def test_url_rules_against_brute_force(spark):
             assert got[i] == (host, path, best[3] if best else None, best[2] if best else "allow"), url
 
 
+def test_urls_that_come_often_are_dealt_to_slots(spark):
+    often, long = "http://a.com/en/x", "http://b.a.com/" + "en/" * 40000 + "?q"
+    urls = [often] * 50 + [None] * 40 + ["no scheme"] * 5 + [long, long, "http://a.com/de/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    rules = spark.createDataFrame([("block", "a.com", "/en/"), ("allow", "b.a.com", "/en/en/")], "verdict string, host string, path string")
+    rows = {r.row.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules, slot_rows=4).collect()}
+    assert len(rows) == len(urls)
+    want = {often: ("a.com/en/", "block"), long: ("b.a.com/en/en/", "allow")}
+    assert all(rows[i] == want.get(u, (None, "allow")) for i, u in enumerate(urls))
+
+
 def test_url_rules_empty_tables_and_clashing_columns(spark):
     rules = spark.createDataFrame(url_rules.RULES, "verdict string, host string, path string")
     assert url_rules.judge_urls(empty(spark, PAGES), rules).count() == 0
