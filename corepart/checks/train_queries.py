@@ -427,6 +427,75 @@ def embed_learns(spark, sf):
     return e.groupBy("part").agg(F.count(F.lit(1)).alias("n_pairs")).withColumn("learned", F.lit(won > 0.55))
 
 
+D_IN, D_HID = 4, 3  # of the step that SQL repeats
+
+
+def sql_sampled(name: str, number: int, fanout: int) -> tuple[str, str]:
+    u = sql_draw("part", "src", "dst", salt=f"{SEED}:block:0:{number}")
+    return (name, f"SELECT part, src, dst FROM pe1 QUALIFY row_number() OVER (PARTITION BY part, dst ORDER BY {u}, src) <= {fanout}")
+
+
+def sql_weight(i: str, j: str, which: str) -> str:
+    return {"self": f"((({i}) * 7 + ({j}) * 3) % 11 - 5) / 10.0::DOUBLE", "neigh": f"((({i}) * 5 + ({j}) * 2) % 13 - 6) / 10.0::DOUBLE"}[which]
+
+
+STEP_NEG = sql_draw("part", "src || ':' || dst", "0", salt=f"{SEED}:negative")
+SAGE_STEP = [
+    *ROUTED_NEXT, PART_V, SQL_FEAT,
+    ("f4", f"SELECT part, id, r.range AS i, feat[r.range + 1]::DOUBLE AS x FROM pv JOIN feat USING (id), range({D_IN}) r"),
+    sql_sampled("inner5", 0, 5), sql_sampled("outer10", 1, 10),
+    ("mn", "SELECT s.part, s.dst AS id, f.i, avg(f.x) AS m FROM inner5 s JOIN f4 f ON f.part = s.part AND f.id = s.src GROUP BY ALL"),
+    ("own", f"""SELECT part, id, i, x::FLOAT::DOUBLE AS x FROM f4
+      UNION ALL SELECT part, id, i + {D_IN}, coalesce(m, 0.0)::FLOAT::DOUBLE FROM f4 LEFT JOIN mn USING (part, id, i)"""),
+    ("h", f"""SELECT part, id, j.range AS a, greatest(sum(x * CASE WHEN i < {D_IN} THEN {sql_weight('i', 'j.range', 'self')}
+      ELSE {sql_weight(f'i - {D_IN}', 'j.range', 'neigh')} END) + (j.range - 1) / 4.0::DOUBLE, 0.0) AS x FROM own, range({D_HID}) j GROUP BY part, id, j.range"""),
+    ("mh", "SELECT s.part, s.dst AS id, a, avg(h.x) AS m FROM outer10 s JOIN h ON h.part = s.part AND h.id = s.src GROUP BY ALL"),
+    ("hm", "SELECT part, id, a, x, coalesce(m, 0.0) AS m FROM h LEFT JOIN mh USING (part, id, a)"),
+    ("o", f"""SELECT part, id, b.range AS b, sum(x * {sql_weight('a', 'b.range', 'self')} + m * {sql_weight('a', 'b.range', 'neigh')})
+      + (b.range - 1) / 4.0::DOUBLE AS y FROM hm, range({D_HID}) b GROUP BY part, id, b.range"""),
+    ("pw", "SELECT part, dst AS id, round(pow(count(*), 0.75) * 1000000)::BIGINT AS w FROM pe1 GROUP BY part, dst"),
+    ("wl", "SELECT part, id, w, sum(w) OVER (PARTITION BY part ORDER BY id ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY part) AS span FROM pw"),
+    ("tr", f"SELECT p.part, src, dst, id AS neg FROM pe1 p JOIN wl ON wl.part = p.part AND floor({STEP_NEG.replace('part', 'p.part')} * span)::BIGINT BETWEEN upto - w AND upto - 1"),
+    ("sc", """SELECT t.part, t.src, t.dst, t.neg, sum(s.y * p.y) AS sp, sum(s.y * n.y) AS sn FROM tr t JOIN o s ON s.part = t.part AND s.id = t.src
+      JOIN o p ON p.part = t.part AND p.id = t.dst AND p.b = s.b JOIN o n ON n.part = t.part AND n.id = t.neg AND n.b = s.b GROUP BY ALL"""),
+    ("gs", "SELECT *, 1 / (1 + exp(-sp)) - 1 AS gp, 1 / (1 + exp(-sn)) AS gn FROM sc"),
+    ("go", """SELECT part, id, b, sum(g) AS g FROM (
+      SELECT g.part, src AS id, p.b, gp * p.y + gn * n.y AS g FROM gs g JOIN o p ON p.part = g.part AND p.id = dst JOIN o n ON n.part = g.part AND n.id = neg AND n.b = p.b
+      UNION ALL SELECT g.part, dst, s.b, gp * s.y FROM gs g JOIN o s ON s.part = g.part AND s.id = src
+      UNION ALL SELECT g.part, neg, s.b, gn * s.y FROM gs g JOIN o s ON s.part = g.part AND s.id = src) GROUP BY ALL"""),
+    ("np", "SELECT part, count(*) AS n FROM tr GROUP BY part"),
+    ("gw", f"""SELECT part, 'self' AS name, (a * {D_HID} + b)::INTEGER AS pos, {sql_weight('a', 'b', 'self')} AS w, sum(x * g) AS g FROM hm JOIN go USING (part, id) GROUP BY part, a, b
+      UNION ALL SELECT part, 'neigh', (a * {D_HID} + b)::INTEGER, {sql_weight('a', 'b', 'neigh')}, sum(m * g) FROM hm JOIN go USING (part, id) GROUP BY part, a, b
+      UNION ALL SELECT part, 'bias', b::INTEGER, (b - 1) / 4.0::DOUBLE, sum(g) FROM go GROUP BY part, b"""),
+]
+
+
+@query(
+    "sage_step",
+    with_(
+        *SAGE_STEP,
+        select=f"""SELECT part, name, pos, {sql_round('w - 0.01::DOUBLE * (g / (2 * n)) / (abs(g / (2 * n)) + 1e-8::DOUBLE)')} AS val FROM gw JOIN np USING (part)
+        UNION ALL SELECT part, 'loss', 0, {sql_round('sum(ln(1 + exp(-sp)) + ln(1 + exp(sn))) / (2 * count(*))')} FROM gs GROUP BY part""",
+    ),
+)
+def sage_step(spark, sf):
+    """One step of the graph layers over all pairs of every part, from weights that SQL can repeat: the loss
+    before it and the second layer after it."""
+    edges = Store(spark, "sage-step").save(walks.part_edges_clean(routed_next(spark, sf)), "edges")
+    feats = feat_map(spark, sf, g_next(spark, sf)).withColumn("feat", F.slice("feat", 1, D_IN))
+    feats = walks.part_graph_feats(walks.part_vertices(edges), feats)
+    pairs = edges.select("part", F.concat_ws(":", "src", "dst").alias("pair"), "src", "dst")
+    start = [_weights(D_IN, D_HID), _weights(D_HID, D_HID)]
+    flat = np.concatenate([x.ravel() for layer in start for x in (layer.w_self, layer.w_neigh, layer.bias)])
+    layers, losses = embed.train_sage(pairs, edges, feats, hidden=D_HID, dropout=0.0, batch_size=10**9, seed=SEED, start=flat)
+    rows = [(h["part"], "loss", 0, float(h["loss"])) for h in losses]
+    for part, (_, second) in layers.items():  # a few weights per part
+        for name, table in (("self", second.w_self), ("neigh", second.w_neigh), ("bias", second.bias)):
+            rows += [(part, name, i, float(x)) for i, x in enumerate(np.ravel(table))]
+    out = spark.createDataFrame(rows, "part int, name string, pos int, val double")
+    return out.withColumn("val", rounded("val"))
+
+
 LINES = ("ln", "SELECT part, src, dst, row_number() OVER (PARTITION BY part, src, dst) AS line FROM routed")
 KEPT = ("kept", f"SELECT part, src, dst FROM ln WHERE {sql_draw('part', 'src', 'dst', 'line', salt=f'{SEED}:sample')} < 0.5")
 
