@@ -11,6 +11,7 @@ from corepart.functions import rounded
 from corepart.operators import graph, labels
 from corepart.operators.skew import find_hubs
 from corepart.plans import partition
+from corepart.store import Store
 
 # --- SQL for one round --------------------------------------------------------------
 
@@ -143,7 +144,7 @@ def seed_random(spark, sf):
 )
 def seed_pagerank(spark, sf):
     ranks = graph.pagerank(g_next(spark, sf), tol=None, max_iter=10)
-    scores = ranks.select("id", rounded("rank", 9).alias("score")).persist()
+    scores = Store(spark, "seed-pagerank").save(ranks.select("id", rounded("rank", 9).alias("score")), "scores")
     t = labels.core_threshold(scores, labels.core_size(scores.count(), CORE_RATE))
     return labels.seed_labels(scores, t, PARTS, SEED)
 
@@ -164,7 +165,7 @@ class Round:
 
     def __init__(self, spark, sf, affinity="floor", core=True):
         e = g_trade(spark, sf)
-        self.state = state0(e).persist()
+        self.state = Store(spark, "round").save(state0(e), "state")
         n = self.state.count()
         self.hubs = find_hubs(e)
         self.caps = labels.capacity(n, PARTS, SLACK, CORE_RATE if core else None)

@@ -116,10 +116,10 @@ def adjacency_pieces(edges: DataFrame, piece: int = PIECE) -> DataFrame:
     store = Store(edges.sparkSession, "adjacency-pieces")
     simple = store.save(undirected(edges), "simple")
     hubs = find_hubs(simple)
-    ids = store.save(dense_ids(vertices(simple)), "ids")
+    ids = store.save(dense_index(vertices(simple), ["id"], out="idx", store=store), "ids")
     nbrs = lookup(adjacency(simple), "nbr", ids.withColumnRenamed("idx", "nbr_idx"), hubs, ("id",))
     nbrs = lookup(nbrs, "id", ids, hubs, ("nbr",)).select("idx", "nbr_idx")
-    placed = store.save(dense_index(nbrs, ["idx", "nbr_idx"]), "placed")
+    placed = store.save(dense_index(nbrs, ["idx", "nbr_idx"], store=store), "placed")
     cut = F.floor(F.col("pos") / piece).alias("cut")
     rows = placed.groupBy("idx", cut).agg(F.min("pos").alias("at"), F.array_sort(F.collect_list(F.col("nbr_idx") + 1)).alias("l"))
     starts = placed.groupBy("idx").agg(F.min("pos").alias("start"))

@@ -6,6 +6,8 @@ small row per partition carries the offsets. No partition sees more than its ran
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,9 +34,13 @@ def _add_offsets(stored: DataFrame, local: str, size, out: str) -> DataFrame:
     )
 
 
-def dense_index(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
-    """Add `out` = 0-based position in the global order of `order` (which must be unique)."""
-    store = Store(df.sparkSession, "dense-index")
+def dense_index(df: DataFrame, order: list[str], out: str = "pos", store: Store | None = None) -> DataFrame:
+    """Add `out` = 0-based position in the global order of `order` (which must be unique).
+
+    The sorted rows are a table that the result is read from: in the caller's `store`, to be dropped with it,
+    or in one of its own.
+    """
+    store = Store(df.sparkSession, "dense-index") if store is None else Store(df.sparkSession, "", store.path(f"index-{uuid.uuid4().hex}"))
     mid = F.monotonically_increasing_id()
     numbered = (
         df.repartitionByRange(*order)

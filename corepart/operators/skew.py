@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 
+RESIDENT_BYTES = 64 << 20  # of a written table in one kept partition
+
+
 @dataclass(frozen=True)
 class Hubs:
     """(id, number of slots) of the hub vertices: never more than `top` of find_hubs."""
@@ -57,9 +60,12 @@ def resident(rows: DataFrame, key: str, hubs: Hubs | None, spread_by: tuple[str,
     """Keep rows partitioned by `key` (and slot) for many `lookup`s on that key.
 
     Rounds then shuffle only the small per-vertex side. `rows` should come from a written
-    table: a block lost with its executor is read and partitioned again. Call unpersist() after.
+    table: a block lost with its executor is read and partitioned again, and its files' size gives the
+    number of partitions, one for RESIDENT_BYTES and no fewer than the session's. Call unpersist() after.
     """
     slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    written = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    slices = max(slices, -(-written // RESIDENT_BYTES))
     on = [key]
     if hubs:
         rows, on = _with_slots(rows, key, hubs, spread_by), [key, "_slot"]

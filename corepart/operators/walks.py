@@ -103,7 +103,7 @@ class WalkIndex:
             copied = copied.drop("copies")
         else:
             copied = simple.withColumn("copy", F.lit(0))
-        numbered = dense_index(copied, [*by, "src", "copy", "dst"])
+        numbered = dense_index(copied, [*by, "src", "copy", "dst"], store=self.store)
         self.rows = self.store.save(numbered, "numbered")
         starts = self.rows.groupBy(*by, "src").agg(F.min("pos").alias("start"), F.count_if(F.col("copy") == 0).alias("deg"))
         starts = starts.withColumnRenamed("src", "id").withColumn("_slot", F.lit(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corepart.operators import graph, labels, route, sage, walks
 from corepart.operators.skew import Hubs, find_hubs, lookup, resident
 from corepart.plans import partition
+from corepart.store import Store
 
 
 def rows(df):
@@ -91,3 +92,13 @@ def test_same_partitioning(hub_edges, hubs):
         for h in (Hubs(), hubs)
     ]
     assert run[0] == run[1]
+
+
+def test_kept_partitions_follow_the_table(spark, hub_edges, monkeypatch):
+    from corepart.operators import skew
+
+    table = Store(spark, "resident-test").save(hub_edges, "edges")
+    assert resident(table, "src", None, ("dst",)).rdd.getNumPartitions() == 4
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    monkeypatch.setattr(skew, "RESIDENT_BYTES", size // 20)
+    assert resident(table, "dst", None, ("src",)).rdd.getNumPartitions() >= 20
