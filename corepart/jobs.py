@@ -28,6 +28,11 @@ def _core_arguments(p: argparse.ArgumentParser) -> None:
     p.add_argument("--lam-rank", type=float, default=0.5)
 
 
+def _file_arguments(p: argparse.ArgumentParser) -> None:
+    p.add_argument("--feats")
+    p.add_argument("--named", action="store_true", help="also write part_0.txt, part_1.txt, … and their .feat files")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="corepart.jobs")
     top.add_argument("--seed", type=int, default=0)
@@ -49,14 +54,15 @@ def parser() -> argparse.ArgumentParser:
     _loop_arguments(job("partition-plain", "label propagation without a core; write `id part` lines", "edges", "out"))
     p = job("split", "partition the graph outside a core file and write part files", "edges", "core", "out")
     _loop_arguments(p)
-    p.add_argument("--feats")
-    p = job("grow", "grow a random core of a given size, then split", "edges", "out")
+    _file_arguments(p)
+    p = job("grow", "grow a random core of a given size, then split; a part is the simple graph inside part and core", "edges", "out")
     _loop_arguments(p)
     p.add_argument("--core-size", type=int, required=True)
-    p.add_argument("--feats")
+    _file_arguments(p)
     p = job("route", "write part files for a given `id part` assignment", "edges", "assignment", "out")
     p.add_argument("--parts", type=int, required=True)
     p.add_argument("--lines", action="store_true", help="the assignment has one part per line, line number = id")
+    _file_arguments(p)
     p = job("route-plain", "write part files without a core for a line-indexed assignment", "edges", "assignment", "out")
     p.add_argument("--feats")
     p = job("embed", "train every part, align the parts, write `id v1 … vd` lines", "parts_dir", "out")
@@ -66,7 +72,6 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dim", type=int, default=128)
     p.add_argument("--epochs", type=int, default=1)
     p.add_argument("--batch-size", type=int, default=2000)
-    p.add_argument("--steps-per-epoch", type=int, default=embed.STEPS, help="most passes over the vectors in an epoch")
     p.add_argument("--walk-length", type=int, default=4)
     p.add_argument("--context", type=int, default=2)
     p.add_argument("--p", type=float, default=1.0)
@@ -94,7 +99,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
         edges = sources.read_parts(spark, a.parts_dir)
         _, seconds = embed.embed_job(
             edges, a.parts, a.method, a.out, feats=feats, dim=a.dim, epochs=a.epochs,
-            batch_size=a.batch_size, steps_per_epoch=a.steps_per_epoch, seed=a.seed, state_path=a.state,
+            batch_size=a.batch_size, seed=a.seed, state_path=a.state,
             walk_length=a.walk_length, context=a.context, p=a.p, q=a.q, ridge=a.ridge, dedupe=a.dedupe,
         )
         print(f"seconds: {seconds:.1f}")
@@ -130,12 +135,14 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     elif a.job in ("split", "grow"):
         core = sources.read_core(spark, a.core) if a.job == "split" else graph.grow_core(edges, a.core_size, a.seed)
         done = split.split_graph(edges, core, a.parts, a.slack, a.tol, a.max_rounds, a.seed, a.affinity, a.lam_edge)
-        done.write(a.out, sources.read_features(spark, a.feats) if a.feats else None)
+        if a.job == "grow":
+            done.part_edges = route.part_with_core_edges(edges, done.assignment, a.parts, find_hubs(edges))
+        done.write(a.out, sources.read_features(spark, a.feats) if a.feats else None, named=a.named)
         print(done.report)
     elif a.job == "route":
         assignment = sources.read_assignment(spark, a.assignment, keyed=not a.lines)
         done = split.route_split(edges, assignment, a.parts, a.seed)
-        done.write(a.out)
+        done.write(a.out, sources.read_features(spark, a.feats) if a.feats else None, named=a.named)
         print(done.report)
     else:
         assignment = sources.read_assignment(spark, a.assignment, keyed=False)

@@ -191,7 +191,7 @@ def write_named_features(part_feats: DataFrame, path: str, first_part: int = 1,
 
 
 def _read_named(spark: SparkSession, path: str, suffix: str, first_part: int) -> DataFrame:
-    lines = spark.read.option("pathGlobFilter", f"part_*.txt{suffix}").text(path)
+    lines = spark.read.text(f"{path.rstrip('/')}/part_*.txt{suffix}")  # nothing below, such as folders of parts
     number = F.regexp_extract(F.col("_metadata.file_name"), r"part_(\d+)\.txt", 1).cast("int")
     return lines.select((number + first_part).alias("part"), "value")
 

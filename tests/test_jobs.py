@@ -61,3 +61,11 @@ def test_split_reports_every_edge(hub_edges):
     assert done.part_edges.count() + done.report["cut"] == hub_edges.count() + 2 * inner
     assert done.report["core"] == 20
     assert done.assignment.count() == done.assignment.select("id").distinct().count()
+
+
+def test_grow_writes_the_simple_graph_of_each_part(spark, work, capsys):
+    run(spark, work, "grow", "@edges", "@grown", "--parts", "2", "--max-rounds", "2", "--core-size", "20", "--named")
+    assert "'core': 20" in capsys.readouterr().out
+    folders, files = sources.read_parts(spark, f"{work}/grown/edges"), sources.read_named_parts(spark, f"{work}/grown")
+    assert sorted(map(tuple, folders.collect())) == sorted(map(tuple, files.collect()))
+    assert files.where("src > dst").isEmpty() and files.distinct().count() == files.count() > 0
