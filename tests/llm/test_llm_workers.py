@@ -34,5 +34,6 @@ def test_workers_without_the_package(tmp_path):
     sys.path.insert(0, REPO)
     from corepart.llm.queries import QUERIES
 
-    names = [*sorted(QUERIES), "pipeline"]
+    native = {"op2_poisson_mix", "op6_url_rules", "op10_exact_dedup"}  # they start no Python workers
+    names = sorted(set(QUERIES) - native)
     assert run_elsewhere(tmp_path, names) == names
