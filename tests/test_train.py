@@ -1,10 +1,11 @@
 """Gradients, training runs, resuming, alignment."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corepart.operators import align, sage
+from corepart.operators import align, buckets, sage
 from corepart.plans import embed
 from corepart.store import Store
 
@@ -260,3 +261,45 @@ def test_loss_of_scores(spark):
     pos = spark.createDataFrame([(0.0,), (800.0,)], "score double")
     neg = spark.createDataFrame([(0.0,), (-800.0,)], "score double")
     assert sage.link_loss(pos, neg).first().loss == pytest.approx(np.log(2) / 2)
+
+
+def test_units_of_a_round_have_tasks_of_their_own():
+    counts, most = {1: 4, 2: 1, 3: 7}, {1: 3}
+    for r in range(7):
+        first, n = buckets.first_units(counts, most, r)
+        taken = []
+        for part, b in counts.items():
+            for lo, hi in {tuple(sorted((i, (r - i) % b))) for i in range(b)} if b > r else ():
+                pair = lo if lo <= r else lo - (r - r // 2)
+                taken += [first[part] + pair * most.get(part, 1) + slot for slot in range(most.get(part, 1))]
+        assert sorted(taken) == list(range(n))
+
+
+def test_steps_take_as_long_with_more_vectors_and_copies_are_averaged():
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(50) * 3
+    vectors = pa.RecordBatch.from_arrays(
+        [pa.array(ids), pa.array(np.zeros(50, np.int64)), pa.array(np.where(ids < 60, 2.0, 5.0)), buckets._rows(np.zeros((50, 6)) + [1, 2, 0, 0, 0, 0])],
+        ["src", "dst", "y", "held"],
+    )
+    unit = buckets._Unit(1, 0, [vectors], 2)
+    assert (unit.id[unit.places(ids, 0)] == ids).all()
+    unit.step(unit.places(ids[:3], 0), unit.places(ids[3:6], 0), np.ones(3), 1.0, 0.1)
+    (rows,) = unit.batches()
+    t = dict(zip(rows.column("id").to_pylist(), rows.column("t").to_pylist(), strict=True))
+    assert all(t[i] == (3 if i < 60 else 6) for i in ids) and rows.column("hits").to_numpy().sum() == 6
+    touched = np.isin(unit.id, ids[:6])
+    assert (unit.state[~touched] == [1, 2, 0, 0, 0, 0]).all() and (unit.state[touched] != [1, 2, 0, 0, 0, 0]).all()
+    # two copies of a vector, in different batches: their mean by the steps
+    batch = lambda i, x, hits: pa.RecordBatch.from_arrays(
+        [pa.array([1], pa.int32()), pa.array([0], pa.int32()), pa.array([i]), *[buckets._rows(np.array([[x, x]]))] * 3, pa.array([int(x)]), pa.array([hits]), pa.array([0], pa.int32())],
+        ["part", "role", "id", "vec", "m", "v", "t", "hits", "unit"],
+    )
+    got = [r for b in buckets._mean_of_copies(iter([batch(1, 4.0, 1), batch(1, 8.0, 3), batch(2, 5.0, 0), batch(2, 9.0, 0)])) for r in b.to_pylist()]
+    assert [(r["id"], r["vec"], r["t"]) for r in got] == [(1, [7.0, 7.0], 8), (2, [5.0, 5.0], 9)]
+
+
+def test_scores_carry_columns(spark):
+    emb = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 1.0])], "id bigint, feat array<double>")
+    pairs = spark.createDataFrame([(1, 2, "a"), (2, 2, "b")], "src bigint, dst bigint, tag string")
+    assert sorted(map(tuple, sage.edge_scores(pairs, emb, keep=("tag",)).collect())) == [(1, 2, "a", 5.0), (2, 2, "b", 10.0)]
