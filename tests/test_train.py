@@ -299,6 +299,36 @@ def test_steps_take_as_long_with_more_vectors_and_copies_are_averaged():
     assert [(r["id"], r["vec"], r["t"]) for r in got] == [(1, [7.0, 7.0], 8), (2, [5.0, 5.0], 9)]
 
 
+def test_a_large_batch_is_scored_in_chunks(monkeypatch):
+    rng = np.random.default_rng(5)
+    d, hidden, f, n = 2, 3, 2, 9
+    blocks = sage.Blocks(np.arange(n), rng.normal(size=(n, 2 * d)).astype("float32"), np.full((n, f), -1))
+    set_, params = sage.Training(d, hidden, f, 0.0, 0.1, 10, (1,)), sage.init_params(d, hidden, 4)
+    pairs = rng.integers(0, n, (40, 3))
+    whole = sage.batch_gradient(params, blocks, pairs, set_, 1)
+    monkeypatch.setattr(sage, "PAIRS", 7)
+    cut = sage.batch_gradient(params, blocks, pairs, set_, 1)
+    assert np.allclose(whole[0], cut[0]) and whole[1] == pytest.approx(cut[1])
+
+
+def test_blocks_are_shipped_once_for_as_many_pairs_as_vertices(spark, monkeypatch):
+    """Shards of a part with 60 vertices and 900 pairs in batches of 4: 16 pairs each would ship all blocks 57 times."""
+    rows = [(1, i, (i + k) % 60) for i in range(60) for k in range(1, 16)]
+    edges = Store(spark, "shards-test").save(spark.createDataFrame(rows, "part int, src bigint, dst bigint"), "edges")
+    feats = spark.range(60).select(F.lit(1).alias("part"), "id", F.array(F.lit(1.0), F.col("id") / 10).alias("feat"))
+    pairs = edges.select("part", F.concat_ws(":", "src", "dst").alias("pair"), "src", "dst")
+    seen, plain = [], sage.shard_rows
+
+    def shard_rows(rows, *more):
+        out = plain(rows, *more)
+        seen.append(out.where("kind = 0").count())
+        return out
+
+    monkeypatch.setattr(sage, "shard_rows", shard_rows)
+    embed.train_sage(pairs, edges, feats, hidden=2, batch_size=4, syncs=2)
+    assert sum(seen) <= 60 * 16 + 60
+
+
 def test_scores_carry_columns(spark):
     emb = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 1.0])], "id bigint, feat array<double>")
     pairs = spark.createDataFrame([(1, 2, "a"), (2, 2, "b")], "src bigint, dst bigint, tag string")
