@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corepart.functions import draw, draw_int
 from corepart.operators import graph
+from corepart.operators.skew import tasks_for
 
 PARTS = 4
 SEED = 7
@@ -38,10 +39,17 @@ def g_next(spark, sf) -> DataFrame:
 
 
 def g_basket(spark, sf) -> DataFrame:
-    """part → part of the same order, each pair of numbers p < q once."""
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    """part → part of the same order, each pair of numbers p < q once.
+
+    There are as many tasks as the lines, and then the pairs, need: a task's memory does not grow with the tables.
+    """
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey IS NOT NULL AND l_partkey IS NOT NULL")
+    lines = lines.repartition(tasks_for(spark, lines.count()), "l_orderkey").distinct()
+    sizes = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0  # pairs before the same ones are merged
     a, b = lines.withColumnRenamed("l_partkey", "src"), lines.withColumnRenamed("l_partkey", "dst")
-    return a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
+    pairs = a.join(b.hint("merge"), "l_orderkey").where("src < dst").select("src", "dst")
+    return pairs.repartition(tasks_for(spark, most), "src", "dst").distinct()
 
 
 def g_geo(spark, sf) -> DataFrame:

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 
 RESIDENT_BYTES = 64 << 20  # of a written table in one kept partition
+TASK_ROWS = 1_000_000  # that one task sorts or tells apart
 
 
 @dataclass(frozen=True)
@@ -56,20 +57,30 @@ def _with_slots(rows: DataFrame, key: str, hubs: Hubs, spread_by: tuple[str, ...
     return rows.join(hubs.table(rows, key), key, "left").withColumn("_slot", slot.cast("int")).drop("_fan")
 
 
-def resident(rows: DataFrame, key: str, hubs: Hubs | None, spread_by: tuple[str, ...]) -> DataFrame:
-    """Keep rows partitioned by `key` (and slot) for many `lookup`s on that key.
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: one for TASK_ROWS and no fewer than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
 
-    Rounds then shuffle only the small per-vertex side. `rows` should come from a written
-    table: a block lost with its executor is read and partitioned again, and its files' size gives the
-    number of partitions, one for RESIDENT_BYTES and no fewer than the session's. Call unpersist() after.
-    """
+
+def dealt(rows: DataFrame, key: str, hubs: Hubs | None, spread_by: tuple[str, ...]) -> DataFrame:
+    """Rows partitioned by `key` (and slot) for a `lookup` on that key. `rows` should come from a written table: its
+    files' size gives the number of partitions, one for RESIDENT_BYTES and no fewer than the session's."""
     slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     written = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     slices = max(slices, -(-written // RESIDENT_BYTES))
     on = [key]
     if hubs:
         rows, on = _with_slots(rows, key, hubs, spread_by), [key, "_slot"]
-    return rows.repartition(slices, *on).persist(StorageLevel.MEMORY_AND_DISK)
+    return rows.repartition(slices, *on)
+
+
+def resident(rows: DataFrame, key: str, hubs: Hubs | None, spread_by: tuple[str, ...]) -> DataFrame:
+    """Keep rows partitioned by `key` (and slot) for many `lookup`s on that key.
+
+    Rounds then shuffle only the small per-vertex side. `rows` should come from a written
+    table: a block lost with its executor is read and partitioned again, as `dealt` says. Call unpersist() after.
+    """
+    return dealt(rows, key, hubs, spread_by).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def lookup(
@@ -80,18 +91,21 @@ def lookup(
     spread_by: tuple[str, ...] = (),
     by: tuple[str, ...] = (),
     how: str = "inner",
+    hint: str | None = None,
 ) -> DataFrame:
     """Join `attrs` (one row per `by` + id) onto `rows` by `by` + `key`.
 
-    `spread_by` names columns of `rows` that vary among the rows of one hub.
+    `spread_by` names columns of `rows` that vary among the rows of one hub. `hint` names a join method:
+    "merge" keeps tables that are small as files, but have a row per vertex, from being sent through the driver.
     """
+    told = (lambda df: df.hint(hint)) if hint else (lambda df: df)
     right = attrs if key == "id" else attrs.withColumnRenamed("id", key)
     on = [*by, key]
     if not hubs:
-        return rows.join(right, on, how)
+        return rows.join(told(right), on, how)
     left = rows if "_slot" in rows.columns else _with_slots(rows, key, hubs, spread_by)
     slots = F.sequence(F.lit(0), F.coalesce(F.col("_fan") - 1, F.lit(0)))
     right = (
         right.join(hubs.table(right, key), key, "left").withColumn("_slot", F.explode(slots)).drop("_fan")
     )
-    return left.join(right, [*on, "_slot"], how).drop("_slot")
+    return left.join(told(right), [*on, "_slot"], how).drop("_slot")

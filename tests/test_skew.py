@@ -102,3 +102,15 @@ def test_kept_partitions_follow_the_table(spark, hub_edges, monkeypatch):
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     monkeypatch.setattr(skew, "RESIDENT_BYTES", size // 20)
     assert resident(table, "dst", None, ("src",)).rdd.getNumPartitions() >= 20
+
+
+def test_basket_pairs_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    from corepart.checks.fixtures import g_basket
+    from corepart.operators import skew
+
+    lines = [(o, (o * 7 + k * k) % 40) for o in range(60) for k in range(5)] + [(None, 1), (None, 2), (3, None)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = sorted({(p, q) for o, p in lines for o2, q in lines if o is not None and o == o2 and None not in (p, q) and p < q})
+    monkeypatch.setattr(skew, "TASK_ROWS", 20)
+    pairs = g_basket(spark, str(tmp_path))
+    assert pairs.rdd.getNumPartitions() >= 20 and rows(pairs) == want
