@@ -204,3 +204,19 @@ def test_settled_ranks_are_not_sent_again(spark):
         want[i + 1] = 0.15 + 0.85 * want[i]
     scale = len(want) / sum(want.values())
     assert ranks == pytest.approx({k: v * scale for k, v in want.items()}, abs=2e-3)
+
+
+def test_links_of_ranks_are_dealt_by_the_size_of_the_pairs(spark, toy, monkeypatch):
+    from corepart.operators import skew
+
+    seen, plain = [], graph.lookup
+
+    def lookup(rows, *more, **named):
+        seen.append(rows.rdd.getNumPartitions())
+        return plain(rows, *more, **named)
+
+    want = {r.id: r.rank for r in graph.pagerank(toy, tol=None, max_iter=2).collect()}
+    monkeypatch.setattr(skew, "RESIDENT_BYTES", 50)
+    monkeypatch.setattr(graph, "lookup", lookup)
+    got = {r.id: r.rank for r in graph.pagerank(toy, tol=None, max_iter=2).collect()}
+    assert seen[0] > 4 and got == pytest.approx(want)  # the session has 4
