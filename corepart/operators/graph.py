@@ -321,6 +321,8 @@ def components(
     component. `history` gets the edges of each round.
     """
     store = Store(v.sparkSession, "components")
+    # Tables of vertices can be small as files and still many rows: their joins are told not to go through the driver.
+    spread = lambda table: table.hint("merge")
     left, rounds = store.save(undirected(edges), "edges-0"), 0
     least = vertices(left).select("id", F.col("id").alias("least"))
     while (n := left.count()) > few:
@@ -330,33 +332,33 @@ def components(
         # One aggregation: who comes first around a vertex, and how many edges it has.
         ends = F.array(F.struct(F.col("src").alias("id"), order("dst").alias("near")), F.struct(F.col("dst").alias("id"), order("src").alias("near")))
         near = left.select(F.inline(ends)).groupBy("id").agg(F.min("near").alias("near"), F.count(F.lit(1)).alias("n"))
-        joined = near.join(least, "id").select("id", F.least("near", order("id"))["id"].alias("rep"), "least", "n")
+        joined = near.join(spread(least), "id").select("id", F.least("near", order("id"))["id"].alias("rep"), "least", "n")
         reps = store.save(joined, f"reps-{rounds}")
         big = hubs_of(reps, "n") if hubs is None or rounds else hubs
-        moved = lookup(left, "src", reps.select("id", F.col("rep").alias("a")), big, ("dst",))
-        moved = lookup(moved, "dst", reps.select("id", F.col("rep").alias("b")), big, ("src",))
+        moved = lookup(left, "src", reps.select("id", F.col("rep").alias("a")), big, ("dst",), hint="merge")
+        moved = lookup(moved, "dst", reps.select("id", F.col("rep").alias("b")), big, ("src",), hint="merge")
         least = store.save(reps.groupBy(F.col("rep").alias("id")).agg(F.min("least").alias("least")), f"least-{rounds + 1}")
         rounds += 1
         left = store.save(undirected(moved.select(F.col("a").alias("src"), F.col("b").alias("dst"))), f"edges-{rounds}")
         store.drop(f"edges-{rounds - 1}")
     found = left.repartition(1).mapInArrow(_joined_up, "id bigint, rep bigint")  # at most `few` rows
     if rounds:
-        last = store.save(found.join(least, "id"), "last")
+        last = store.save(found.join(spread(least), "id"), "last")
         tops = last.groupBy("rep").agg(F.min("least").alias("component"))
-        found = last.join(tops, "rep").select("id", "component")
+        found = last.join(spread(tops), "rep").select("id", "component")
     else:
         found = found.withColumnRenamed("rep", "component")
     for r in reversed(range(rounds)):
         # representatives that had no edge left stand for their own component
-        known = store.read(f"least-{r + 1}").join(found, "id", "left")
+        known = store.read(f"least-{r + 1}").join(spread(found), "id", "left")
         found = known.select("id", F.coalesce("component", "least").alias("component"))
         reps = store.read(f"reps-{r}")
         counts = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("rep", "id")
-        through = lookup(reps.select("id", "rep"), "rep", found, hubs_of(counts, "n"), ("id",)).select("id", "component")
+        through = lookup(reps.select("id", "rep"), "rep", found, hubs_of(counts, "n"), ("id",), hint="merge").select("id", "component")
         found = store.save(through, f"found-{r}")
         store.drop(f"found-{r + 1}")
         store.drop(f"reps-{r}")
-    out = v.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    out = v.select("id").distinct().join(spread(found), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     out = store.save(out, "components")
     store.keep_only("components")
     return out

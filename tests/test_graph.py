@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corepart.operators import graph, labels, route
 from corepart.plans import partition
+from corepart.store import Store
 
 
 def union_find(pairs, ids):
@@ -220,3 +221,18 @@ def test_links_of_ranks_are_dealt_by_the_size_of_the_pairs(spark, toy, monkeypat
     monkeypatch.setattr(graph, "lookup", lookup)
     got = {r.id: r.rank for r in graph.pagerank(toy, tol=None, max_iter=2).collect()}
     assert seen[0] > 4 and got == pytest.approx(want)  # the session has 4
+
+
+def test_components_send_no_vertex_table_to_the_driver(spark, monkeypatch):
+    """Tables of vertices are small as files: without a hint their joins would be broadcast."""
+    plans, plain = [], Store.save
+
+    def save(self, df, tag, *more):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(self, df, tag, *more)
+
+    monkeypatch.setattr(Store, "save", save)
+    e = spark.range(300).select("id", (F.col("id") + 5).alias("dst")).withColumnRenamed("id", "src")
+    comp = graph.components(graph.vertices(e), e, few=20)
+    assert {r.component for r in comp.select("component").distinct().collect()} == set(range(5))
+    assert len(plans) > 5 and not [tag for tag, plan in plans if "BroadcastHashJoin" in plan]
