@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corepart.llm.kept import kept
+from corepart.llm.packed import packed, pieces
 from corepart.llm.registry import query, table
+from corepart.llm.saving import BATCH_ROWS, settings
 
 PAIRS, TRIPLES = 1024, 4096
 DIM = PAIRS + TRIPLES
@@ -30,6 +32,7 @@ SLACK = 1.05  # times the greatest training distance, for rejection
 SIZES = (32, 128, 512, 2048)  # characters from which a limit holds; shorter texts are never too far
 PIECE = 1 << 18  # characters handled at once
 ROWS = 512  # texts in one matrix
+ARROW_ROWS = 1000  # rows a task gets at once while the model is learned
 UNKNOWN = "und"
 
 
@@ -78,17 +81,33 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, bool]:
     return counts, found
 
 
-def unit_rows(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    rows = np.log1p(counts).astype(np.float32) * idf
-    length = np.sqrt((rows * rows).sum(1, keepdims=True))
-    return rows / np.where(length > 0, length, 1)
-
-
 def size_class(counts: np.ndarray) -> int:
     """0 for the shortest texts, up to len(SIZES); a text has about as many pairs as characters."""
     return int(np.searchsorted(SIZES, counts[:PAIRS].sum(), "right"))
 
 
+def log_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The logarithms of each text's counts, its size class, and whether it has a letter.
+
+    The counts of one text are held at a time.
+    """
+    rows = np.empty((len(texts), DIM), np.float32)
+    sizes, found = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+    for i, text in enumerate(texts):
+        counts, found[i] = gram_counts(text)
+        sizes[i] = size_class(counts)
+        rows[i] = np.log1p(counts)
+    return rows, sizes, found
+
+
+def unit_rows(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Rows of `log_counts`, weighted and normalised in place."""
+    rows *= idf
+    length = np.sqrt((rows * rows).sum(1, keepdims=True))
+    rows /= np.where(length > 0, length, 1)
+    return rows
+
+
 def limits(texts: list[str], idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The greatest distance of texts and of their parts, by size; no less than that of larger ones.
 
@@ -98,12 +117,11 @@ def limits(texts: list[str], idf: np.ndarray, centres: np.ndarray) -> np.ndarray
     for size in (None, *SIZES):
         for lo in range(0, len(texts), ROWS):
             parts = [t if size is None else t[(len(t) - size) // 2 :][: size + size // 4] for t in texts[lo : lo + ROWS] if size is None or len(t) > size]
-            counted = [c for c, found in map(gram_counts, parts) if found]
-            if counted:
-                far = 1 - (unit_rows(np.stack(counted), idf) @ centres.T).max(1)
-                sizes = [size_class(c) for c in counted]
-                np.maximum.at(out, sizes, far)
-                seen[sizes] = True
+            rows, sizes, found = log_counts(parts)
+            if found.any():
+                far = 1 - (unit_rows(rows[found], idf) @ centres.T).max(1)
+                np.maximum.at(out, sizes[found], far)
+                seen[sizes[found]] = True
     out = np.minimum(np.maximum.accumulate(out[::-1])[::-1] * SLACK, 0.999)
     for size in range(1, len(out)):
         if not seen[size] and seen[:size].any():
@@ -158,15 +176,14 @@ class LanguageModel:
         """Language, cosine and rejection of each text."""
         langs, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         for lo in range(0, len(texts) if self.langs else 0, ROWS):
-            counted = [gram_counts(t) for t in texts[lo : lo + ROWS]]
-            cosine = unit_rows(np.stack([c for c, _ in counted]), self.idf) @ self.centres.T
+            rows, sizes, found = log_counts(texts[lo : lo + ROWS])
+            cosine = unit_rows(rows, self.idf) @ self.centres.T
             best = cosine.argmax(1)
-            for i, (b, (c, found)) in enumerate(zip(best, counted, strict=True)):
-                if found:
-                    langs[lo + i] = self.langs[b]
-                    scores[lo + i] = min(max(float(cosine[i, b]), 0.0), 1.0)
-                    limit = self.radius[b, size_class(c)]
-                    rejected[lo + i] = 1 - cosine[i, b] > limit
+            for i in np.flatnonzero(found):
+                b = best[i]
+                langs[lo + i] = self.langs[b]
+                scores[lo + i] = min(max(float(cosine[i, b]), 0.0), 1.0)
+                rejected[lo + i] = 1 - cosine[i, b] > self.radius[b, sizes[i]]
         return langs, scores, rejected
 
 
@@ -209,21 +226,24 @@ def learn_languages(labelled: DataFrame, sample: int = SAMPLE, centroids: int =
     usable row gives a model that knows no language.
     """
     known = labelled.select("text", "lang").where(F.col("lang").isNotNull() & (F.col("text") != ""))
-    seen, n = document_frequencies(known.select("text"))
+    with settings(labelled.sparkSession, {BATCH_ROWS: str(ARROW_ROWS)}):
+        seen, n = document_frequencies(known.select("text"))
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(0.1)
     shared = labelled.sparkSession.sparkContext.broadcast(idf)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        counted = [c for c, found in map(gram_counts, group["text"]) if found]
-        if not counted:
+        rows, _, found = log_counts(list(group["text"]))
+        if not found.any():
             return pd.DataFrame({"lang": [], "vec": [], "radius": []})
-        rows = unit_rows(np.stack(counted), shared.value)
+        rows = unit_rows(rows[found], shared.value)
         centres = cluster(rows, centroids)
         far = limits(list(group["text"]), shared.value, centres).tolist()
         return pd.DataFrame({"lang": group["lang"].iloc[0], "vec": list(centres.astype(float)), "radius": [far] * len(centres)})
 
     drawn = draw_sample(known, sample)
-    found = sorted(drawn.groupBy("lang").applyInPandas(fit, "lang string, vec array<double>, radius array<double>").collect())
+    fitted = drawn.groupBy("lang").applyInPandas(fit, "lang string, vec array<double>, radius array<double>")
+    with settings(labelled.sparkSession, {BATCH_ROWS: str(ARROW_ROWS)}):
+        found = sorted(fitted.collect())
     return LanguageModel(
         idf,
         [r.lang for r in found],
@@ -242,14 +262,14 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", name: st
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(*shared.value)
-        for batch in batches:
-            langs, scores, rejected = model.judge(batch.column("text").to_pylist())
+        for piece, texts in pieces(batches, at):
+            langs, scores, rejected = model.judge(texts.to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)],
+                [piece.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)],
                 ["row", "lang_pred", "score", "rejected"],
             )
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    rows, at = packed(docs, "row", text)
     schema = T.StructType([rows.schema["row"]]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return rows.mapInArrow(judge, schema)
 

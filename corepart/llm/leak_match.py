@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corepart.llm.kept import kept
+from corepart.llm.packed import packed, pieces
 from corepart.llm.registry import query, table
 
 ERROR_RATE = 0.05
@@ -181,14 +181,14 @@ def leaks(
 
 def without_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """The rows of `docs`, all columns, that hold no item."""
-    out = docs.select(F.struct("*").alias("doc"), "text")
-    kind = T.StructType([out.schema["doc"]]).add("text", "string")
+    out, at = packed(docs, "doc")
+    kind = out.schema
     for block in item_blocks(items, "item_id", "text"):
 
         def sift(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(block.value, error_rate)
-            for batch in batches:
-                yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column("text")], pa.bool_()))
+            for piece, texts in pieces(batches, at):
+                yield piece.filter(pa.array([not matcher.find(t.as_py()) for t in texts], pa.bool_()))
 
         out = out.mapInArrow(sift, kind)
     return out.select("doc.*")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pytest
 from helpers import WORDS, awkward, empty, words
 from pyspark.sql import functions as F
 
-from corepart.llm import centroid_language, leak_match, poisson_mix, shingles, token_rollup, toxicity_chain
+from corepart.llm import centroid_language, leak_match, packed, poisson_mix, shingles, token_rollup, toxicity_chain
 from corepart.store import Store
 
 
@@ -66,6 +67,43 @@ def test_language_of_texts_longer_than_all_learned_ones(spark, n):
     assert model.judge(["привет мир как дела сегодня " * 9])[2].all()
 
 
+def test_language_matrix_holds_one_float_per_gram():
+    rnd = random.Random(8)
+    texts = [speech(rnd, ["ka", "to", "mi", "ra"], 30) for _ in range(centroid_language.ROWS)] + [None, "", "12 34"]
+    idf = np.ones(centroid_language.DIM, np.float32)
+    rows, sizes, found = centroid_language.log_counts(texts[:40])
+    centres = centroid_language.cluster(centroid_language.unit_rows(rows, idf), 2)
+    model = centroid_language.LanguageModel(idf, ["aa", "aa"], centres, np.full((2, 5), 2.0))
+    model.judge(texts[:1])  # the table of letters is made once
+    tracemalloc.start()
+    langs, _, _ = model.judge(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * 4 * centroid_language.DIM * centroid_language.ROWS
+    assert langs == ["aa"] * centroid_language.ROWS + ["und"] * 3 and found.all() and sizes.max() <= 4
+
+
+def test_whole_rows_travel_once_and_leave_in_pieces(spark, languages):
+    docs = spark.createDataFrame([(i, f"text number {i}", float(i)) for i in range(1300)], "doc_id bigint, text string, x double")
+    model = centroid_language.learn_languages(languages[1])
+    items = spark.createDataFrame([(1, "text number 77")], "item_id bigint, text string")
+    judged, left = centroid_language.identify(docs, model), leak_match.without_leaks(docs, items)
+    for out, name in ((judged, "row"), (left, "doc")):
+        (line,) = [x for x in out._jdf.queryExecution().analyzed().toString().splitlines() if "MapInArrow" in x]
+        assert line.count(f"({name}#") == 1 and "text#" not in line
+    assert sorted(r.row.doc_id for r in judged.collect()) == list(range(1300))
+    assert sorted((r.doc_id, r.text, r.x) for r in left.collect()) == [(i, f"text number {i}", float(i)) for i in range(1300) if i != 77]
+    nested = docs.select("doc_id", F.struct("text").alias("in"))
+    other = centroid_language.identify(nested, model, text="in.text").select("row.doc_id", "lang_pred", "score").collect()
+    assert sorted(other) == sorted(judged.select("row.doc_id", "lang_pred", "score").collect())
+    rows, at = packed.packed(docs.select("x", "text"), "row")
+    kind = pa.struct([("x", pa.float64()), ("text", pa.string())])
+    batch = pa.RecordBatch.from_arrays([pa.array([{"x": float(i), "text": str(i)} for i in range(1300)], kind)], ["row"])
+    cut = list(packed.pieces(iter([batch.slice(3), batch.slice(0, 0)]), at))
+    assert rows.columns == ["row"] and [p.num_rows for p, _ in cut] == [512, 512, 273]
+    assert [t for _, texts in cut for t in texts.to_pylist()] == [str(i) for i in range(3, 1300)]
+
+
 def test_language_sample_has_different_texts_despite_copies(spark):
     few, many = [f"few {i}" for i in range(20)], [f"many {i}" for i in range(3000)]
     rows = [(t, "aa") for t in few] + [(t, "bb") for t in many] + [(many[5], "cc")] * 3
