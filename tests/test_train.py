@@ -333,3 +333,40 @@ def test_scores_carry_columns(spark):
     emb = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 1.0])], "id bigint, feat array<double>")
     pairs = spark.createDataFrame([(1, 2, "a"), (2, 2, "b")], "src bigint, dst bigint, tag string")
     assert sorted(map(tuple, sage.edge_scores(pairs, emb, keep=("tag",)).collect())) == [(1, 2, "a", 5.0), (2, 2, "b", 10.0)]
+
+
+def test_buckets_grow_with_pairs_where_slots_would_copy_many_vectors(spark):
+    table = spark.createDataFrame([(1, i) for i in range(12)] + [(2, i) for i in range(3)], "part int, id bigint")
+    size = 4 * 8 * 3 * 3  # three vectors of four numbers
+    assert buckets.bucket_counts(table, 4, size) == {1: 4, 2: 1}
+    assert buckets.bucket_counts(table, 4, size, {1: 80, 2: 10}, 10) == {1: 4, 2: 1}  # ten pairs between two buckets
+    assert buckets.bucket_counts(table, 4, size, {1: 500, 2: 500}, 10) == {1: 10, 2: 3}
+    assert buckets.bucket_counts(table, 4, size, {1: 500_000, 2: 500_000}, 1000) == {1: 4, 2: 1}  # few vectors: slots
+
+
+def test_examples_are_packed_once_and_whole(spark):
+    """Rounds get rows of many examples: each example once, with the buckets where its ends meet, in the order of ord."""
+    rng = np.random.default_rng(8)
+    n = {1: 3000, 2: 40}
+    rows = [(p, int(rng.integers(-(1 << 63), (1 << 63) - 1)), *rng.integers(-9, 50, 2).tolist(), float(i % 2)) for p in n for i in range(n[p])]
+    rows += [(1, rows[0][1], 5, 6, 0.0), (1, rows[0][1], 5, 6, 0.0)]  # equal in ord, and repeated
+    n[1] += 2
+    table = spark.createDataFrame(rows, "part int, ord bigint, src bigint, dst bigint, y double").repartition(3)
+    counts = {1: 3, 2: 1}
+    packed, slots = buckets.deal_examples(table, counts, Store(spark, "packed"), "rows", 100, n)
+    held = packed.collect()
+    assert len(held) < 800
+    pieces, got, b = buckets.pieces_of(n, counts, 100), [], F.create_map(F.lit(1), F.lit(3), F.lit(2), F.lit(1))[F.col("part")]
+    where = {(r.part, r.id): r.b for r in table.select("part", F.explode(F.array("src", "dst")).alias("id")).distinct().select("*", buckets.bucket("id", b).alias("b")).collect()}
+    for r in held:
+        src, dst, y = buckets.unpacked(pa.scalar(r.blob), r.n)
+        assert r.n == len(src) == len(dst) == len(y) and 0 <= r.piece < pieces[r.part] and r.round == (r.lo + r.hi) % counts[r.part]
+        assert all({where[r.part, s], where[r.part, t]} == {r.lo, r.hi} for s, t in zip(src.tolist(), dst.tolist(), strict=True))
+        got += [(r.part, r.lo, r.hi, r.ord, i, s, t, v) for i, (s, t, v) in enumerate(zip(src.tolist(), dst.tolist(), y.tolist(), strict=True))]
+    want = sorted((p, *sorted((where[p, s], where[p, t])), o, s, t, v) for p, o, s, t, v in rows)
+    assert [(*g[:3], *g[5:]) for g in sorted(got)] == [(*w[:3], *w[4:]) for w in want]
+    sizes = {}
+    for w in want:
+        sizes[w[:3]] = sizes.get(w[:3], 0) + 1
+    assert {tuple(r) for r in slots.collect()} == {(*k, -(-v // 100)) for k, v in sizes.items() if v > 100}
+    assert sum(buckets.round_tasks(n, counts, 12)[-1:]) >= 12 - len(counts)
