@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corepart.operators import align, buckets, sage
+from corepart.operators import align, buckets, sage, walks
 from corepart.plans import embed
 from corepart.store import Store
 
@@ -370,3 +370,35 @@ def test_examples_are_packed_once_and_whole(spark):
         sizes[w[:3]] = sizes.get(w[:3], 0) + 1
     assert {tuple(r) for r in slots.collect()} == {(*k, -(-v // 100)) for k, v in sizes.items() if v > 100}
     assert sum(buckets.round_tasks(n, counts, 12)[-1:]) >= 12 - len(counts)
+
+
+def test_a_block_is_multiplied_once_a_pass(monkeypatch):
+    """However many vertices have it as a neighbour: gathered once for the sums, once for their gradient."""
+
+    class Counted:
+        def __init__(self, values):
+            self.values, self.rows = values, 0
+
+        def __getitem__(self, places):
+            self.rows += np.size(places)
+            return self.values[places]
+
+    monkeypatch.setattr(sage, "CHUNK", 4)
+    rng = np.random.default_rng(5)
+    d, hidden, f, n = 2, 3, 4, 12
+    own = Counted(rng.normal(size=(n, 2 * d)).astype("float32"))
+    blocks = sage.Blocks(np.arange(n), own, rng.integers(0, n, (n, f)))
+    sage.batch_gradient(sage.init_params(d, hidden, 4), blocks, rng.integers(0, 9, (40, 3)), sage.Training(d, hidden, f, 0.5, 0.1, 40, (1,)), 1)
+    assert own.rows <= 2 * n
+
+
+def test_weights_of_negatives_are_made_once_a_run(spark, clusters, feats, monkeypatch):
+    made, plain = [], walks.neg_weights
+
+    def neg_weights(*args):
+        made.append(1)
+        return plain(*args)
+
+    monkeypatch.setattr(walks, "neg_weights", neg_weights)
+    embed.embed_parts(clusters, "sage", feats, dim=2, epochs=2, batch_size=1000, seed=1)
+    assert len(made) == 1
